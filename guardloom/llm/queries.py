@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardloom.llm import bpe, lookalike, sketch
+from guardloom.llm import bpe, langid, lookalike, pii, sketch
 from guardloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,38 @@ def p1_canonical(spark, sf_dir):
     return lookalike.canonical_forms(table(spark, sf_dir, "infer_requests"), "rec_no", "text")
 
 
+# --- 2 languages --------------------------------------------------------------------
+
+
+def _language_model(spark, sf_dir):
+    """Centroids from the labelled documents; the sample is bounded per language."""
+    return langid.fit(langid.labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id"))
+
+
+def _segments(spark, sf_dir):
+    return langid.segments(table(spark, sf_dir, "infer_requests"), _language_model(spark, sf_dir), "rec_no", "text")
+
+
+@query()
+def p2_found(spark, sf_dir):
+    labels = langid.label_of("params")
+    rows = table(spark, sf_dir, "infer_requests").select("rec_no", "text", F.coalesce(labels, F.lit("")).alias("label"))
+    both = rows.select(F.struct("rec_no", "label").alias("k"), "text")
+    segs = langid.segments(both, _language_model(spark, sf_dir), "k", "text")
+    out = segs.filter(F.col("lang") != F.col("k.label")).select("k.rec_no", "lang")
+    return out.dropDuplicates(["rec_no", "lang"])
+
+
+@query()
+def p2_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query()
+def p2_languages(spark, sf_dir):
+    return langid.document_language(_segments(spark, sf_dir), "rec_no")
+
+
 # --- 4 percentiles ------------------------------------------------------------------
 
 _SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -96,3 +128,24 @@ def p4_sketches(spark, sf_dir):
 @query()
 def p8_ids(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# --- 5 personal information ---------------------------------------------------------
+
+
+def _texts(spark, sf_dir):
+    """The texts of problems 3 and 5 with where they come from."""
+    a = table(spark, sf_dir, "infer_requests").select(F.lit("infer_requests").alias("origin"), "rec_no", "source", "text")
+    b = table(spark, sf_dir, "round_trip_traces").select(F.lit("round_trip_traces").alias("origin"), F.col("trace_no").alias("rec_no"), "source", F.col("final_output").alias("text"))
+    return a.unionByName(b)
+
+
+@query()
+def p5_found(spark, sf_dir):
+    return pii.found_kinds(_texts(spark, sf_dir), ["origin", "rec_no"], "text")
+
+
+@query()
+def p5_redacted(spark, sf_dir):
+    key = spark.conf.get("spark.guardloom.pii.key", "no secret: set spark.guardloom.pii.key")
+    return pii.redacted(_texts(spark, sf_dir), ["origin", "rec_no"], "text", key)
