@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardloom.llm import bpe, langid, lookalike, pii, sketch
+from guardloom.llm import abuse, bpe, langid, lookalike, pii, sketch
 from guardloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,44 @@ def p2_languages(spark, sf_dir):
     return langid.document_language(_segments(spark, sf_dir), "rec_no")
 
 
+# --- 3 abusive content --------------------------------------------------------------
+
+
+def _texts(spark, sf_dir):
+    """The texts of problems 3 and 5 with where they come from."""
+    a = table(spark, sf_dir, "infer_requests").select(F.lit("infer_requests").alias("origin"), "rec_no", "source", "text")
+    b = table(spark, sf_dir, "round_trip_traces").select(F.lit("round_trip_traces").alias("origin"), F.col("trace_no").alias("rec_no"), "source", F.col("final_output").alias("text"))
+    return a.unionByName(b)
+
+
+def _abuse_scores(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return abuse.scored(t, ["origin", "rec_no", "source"], "text", abuse.fit(abuse.sample_texts(t, "text")))
+
+
+@query()
+def p3_found(spark, sf_dir):
+    return _abuse_scores(spark, sf_dir).filter("abusive").select("origin", "rec_no")
+
+
+@query()
+def p3_scores(spark, sf_dir):
+    return _abuse_scores(spark, sf_dir).select("origin", "rec_no", "probability", "score", "abusive")
+
+
+@query()
+def p3_rates(spark, sf_dir):
+    """Texts, cases and rate of every source; a null source is a source."""
+    x = _abuse_scores(spark, sf_dir).groupBy("origin", "source")
+    return x.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("abusive").alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("int")), 6).alias("rate"))
+
+
+@query()
+def p3_passages(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return abuse.flagged_passages(t, ["origin", "rec_no"], "text", abuse.fit(abuse.sample_texts(t, "text")))
+
+
 # --- 4 percentiles ------------------------------------------------------------------
 
 _SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -133,13 +171,6 @@ def p8_ids(spark, sf_dir):
 # --- 5 personal information ---------------------------------------------------------
 
 
-def _texts(spark, sf_dir):
-    """The texts of problems 3 and 5 with where they come from."""
-    a = table(spark, sf_dir, "infer_requests").select(F.lit("infer_requests").alias("origin"), "rec_no", "source", "text")
-    b = table(spark, sf_dir, "round_trip_traces").select(F.lit("round_trip_traces").alias("origin"), F.col("trace_no").alias("rec_no"), "source", F.col("final_output").alias("text"))
-    return a.unionByName(b)
-
-
 @query()
 def p5_found(spark, sf_dir):
     return pii.found_kinds(_texts(spark, sf_dir), ["origin", "rec_no"], "text")
