@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardloom.llm import abuse, bpe, langid, lookalike, pii, sketch
-from guardloom.session import table
+from guardloom.llm import abuse, bpe, langid, lookalike, mixture, pii, reading, sketch
+from guardloom.llm.common import spread
+from guardloom.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +181,60 @@ def p5_found(spark, sf_dir):
 def p5_redacted(spark, sf_dir):
     key = spark.conf.get("spark.guardloom.pii.key", "no secret: set spark.guardloom.pii.key")
     return pii.redacted(_texts(spark, sf_dir), ["origin", "rec_no"], "text", key)
+
+
+# --- 9 mixtures ---------------------------------------------------------------------
+
+
+def _counted(spark, sf_dir):
+    """doc_id, source and tokens of all documents, counted once and written to the shared folder."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return materialize(bpe.token_counts(d, "text").drop("text"))
+
+
+@query()
+def p9_mixture(spark, sf_dir):
+    return mixture.mix(_counted(spark, sf_dir), "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p9_shares(spark, sf_dir):
+    counted, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    mixed = mixture.mix(counted, "doc_id", "source", "n_tokens", targets)
+    return mixture.shares(mixed, targets, counted, "source", "n_tokens")
+
+
+# --- 10 reading level ---------------------------------------------------------------
+
+
+def _reading_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return reading.fit(reading.sample(docs, "text", "source", "lang"), bpe.shipped(spark).value.get)
+
+
+def _graded(spark, sf_dir):
+    return reading.graded(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", "lang", _reading_model(spark, sf_dir))
+
+
+@query()
+def p10_found(spark, sf_dir):
+    return _graded(spark, sf_dir).filter("english_prose and level in ('easy', 'hard')").select("doc_id", "level")
+
+
+@query()
+def p10_grades(spark, sf_dir):
+    return _graded(spark, sf_dir)
+
+
+@query()
+def p10_profile(spark, sf_dir):
+    """How demanding each source is: English prose by level."""
+    g = _graded(spark, sf_dir).filter("english_prose").groupBy("source")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean_grade"), *[F.count_if(F.col("level") == x).alias(f"n_{x}") for x in ("easy", "middle", "hard")])
+
+
+@query()
+def p10_validation(spark, sf_dir):
+    """Error of the grades of each source by trees that never saw it."""
+    rows = [(s, n, e, m) for s, n, e, m in _reading_model(spark, sf_dir).validation]
+    return spark.createDataFrame(rows, "source string, n int, rmse double, mean_grade double")
