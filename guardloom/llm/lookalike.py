@@ -14,6 +14,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.session import materialize
+
 #: Letters that readers take for the Latin letter below them.
 LOOKALIKES = {
     # Cyrillic
@@ -70,10 +72,14 @@ def _table() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _LIGATURES = _table()
 
 
+_NOT_ASCII = r"[^\x20-\x7e\n]"
+
+
 def skeleton(col: Column | str) -> Column:
     """The text with look-alike characters mapped; built-in functions only.
 
-    Blanks at the ends draw nothing and go, as do carriage returns.
+    Blanks at the ends draw nothing and go, as do carriage returns. Plain ASCII
+    texts skip the tables.
     """
     c = F.col(col) if isinstance(col, str) else col
     s = F.translate(F.regexp_replace(c, INVISIBLE, ""), _FROM, _TO)
@@ -81,8 +87,8 @@ def skeleton(col: Column | str) -> Column:
     spelt = s
     for lig, to in _LIGATURES.items():
         spelt = F.replace(spelt, F.lit(lig), F.lit(to))
-    s = F.when(s.rlike(few), spelt).otherwise(s)
-    return F.regexp_replace(s, r"^ +| +$", "")
+    mapped = F.when(c.rlike(few), spelt).otherwise(s)
+    return F.trim(F.when(c.rlike(_NOT_ASCII), mapped).otherwise(c))
 
 
 def look_key(col: Column | str) -> Column:
@@ -90,6 +96,45 @@ def look_key(col: Column | str) -> Column:
     return F.collate(skeleton(col), "UNICODE")
 
 
+def _bases() -> tuple[str, str]:
+    """Composed characters and the first character of their canonical decomposition, by rule."""
+    src, dst = [], []
+    for cp in [*range(0x00C0, 0x3000), *range(0x3000, 0x3130), *range(0xF900, 0xFB50)]:
+        d = unicodedata.normalize("NFD", chr(cp))
+        if d != chr(cp):
+            src.append(chr(cp))
+            dst.append(d[0])
+    return "".join(src), "".join(dst)
+
+
+_COMPOSED, _BASE = _bases()
+
+
+def coarse_hash(col: Column | str) -> Column:
+    """A 64-bit hash that is equal for texts of equal look, and for few others.
+
+    The skeleton without any accents (and without Hangul, whose syllables are
+    written in two ways): what the collation holds equal is equal here, so only
+    rows that share a hash with a different text need be collated.
+    """
+    s = skeleton(col)
+    bare = F.regexp_replace(F.translate(s, _COMPOSED, _BASE), r"[\p{M}ᄀ-ᇿ가-힣]", "")
+    return F.xxhash64(F.when(s.rlike(_NOT_ASCII), bare).otherwise(s))
+
+
+def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__id, __t, __m of the rows that share their coarse hash with a different text.
+
+    Minima and maxima per hash are kept while counting, so no hash is too hot;
+    the join splits a hot one.
+    """
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter("__t is not null")
+    rows = rows.select("__id", "__t", coarse_hash("__t").alias("__h"))
+    own = F.xxhash64(F.col("__t"), F.length("__t"))
+    several = rows.groupBy("__h").agg(F.min(own).alias("__lo"), F.max(own).alias("__hi")).filter("__lo <> __hi").select("__h")
+    return rows.join(several, "__h", "left_semi").select("__id", "__t", F.md5("__t").alias("__m"))
+
+
 def _oddness(text: Column) -> Column:
     """How many characters of a text are not the plain ones; the canonical member has the fewest."""
     odd = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\p{P}\p{S} \n]", "")) + F.length(F.regexp_replace(text, r"[^＀-￯ﬀ-ﬆⅠ-ⅿ‐‑]", ""))
@@ -97,16 +142,15 @@ def _oddness(text: Column) -> Column:
     return odd + mixed
 
 
-def classes(df: DataFrame, text_col: str) -> DataFrame:
-    """Classes of equal looks: look (collated), canonical, n_rows, n_forms > 1 as ``varied``.
+def classes(rows: DataFrame) -> DataFrame:
+    """Classes of equal looks among candidates: look (collated), canonical, n_rows, varied.
 
     The canonical member is the one with the fewest odd characters, then the
     smallest in code point order. Members are never gathered: minima are kept
-    while counting, so a class may hold any share of the rows. Null texts
-    belong to no class.
+    while counting, so a class may hold any share of the rows. ``varied`` says
+    that the class has more than one spelling.
     """
-    t = df.select(F.col(text_col).alias("__t")).filter("__t is not null")
-    t = t.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
+    t = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
     t = t.select("__t", "__n", look_key("__t").alias("look"), _oddness(F.col("__t")).alias("__odd"))
     return t.groupBy("look").agg(
         F.min_by("__t", F.struct("__odd", "__t")).alias("canonical"),
@@ -115,11 +159,24 @@ def classes(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__id, __m (digest of the text), canonical of the rows in classes of several spellings."""
+    rows = materialize(candidates(df, id_col, text_col))
+    varied = classes(rows).filter("varied").select("look", "canonical")
+    return rows.withColumn("look", look_key("__t")).join(varied, "look").select("__id", "__m", "canonical")
+
+
 def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, canonical: every text in its class's one form; null texts stay null, blank ones ''."""
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__t"), look_key(text_col).alias("look"))
-    back = rows.join(classes(df, text_col).select("look", "canonical"), "look", "left")
-    return back.select(id_col, F.when(F.length(skeleton("canonical")) == 0, F.lit("")).otherwise(F.col("canonical")).alias("canonical"))
+    """id, canonical: every text in its class's one form.
+
+    A text that no other text looks like is its own form. Null texts stay null;
+    texts that draw nothing become ''.
+    """
+    found = _members(df, id_col, text_col).select(F.col("__id").alias(id_col), "canonical")
+    rows = df.select(F.col(id_col), F.col(text_col).alias("__t"))
+    own = F.coalesce("canonical", "__t")
+    blank = own.rlike(rf"^(?:[\s{BLANKS}]|{INVISIBLE})*$")
+    return rows.join(found, id_col, "left").select(id_col, F.when(blank, F.lit("")).otherwise(own).alias("canonical"))
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,9 +185,7 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Only classes with more than one spelling reach the join, whose key is the
     class; the result lists all such pairs, so a class costs what it yields.
     """
-    varied = classes(df, text_col).filter("varied").select("look", F.md5(F.col("canonical")).alias("cls"))
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), look_key(text_col).alias("look")).filter("__t is not null")
-    members = rows.join(varied, "look").select("__id", F.xxhash64("__t").alias("__h"), F.md5("__t").alias("__m"), "cls")
+    members = _members(df, id_col, text_col).select(F.col("__id"), "__m", F.md5("canonical").alias("cls"))
     a = members.select("cls", F.col("__id").alias(f"{id_col}_a"), F.col("__m").alias("ma"))
     b = members.select("cls", F.col("__id").alias(f"{id_col}_b"), F.col("__m").alias("mb"))
     on = a.join(b, "cls").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ma") != F.col("mb")))
