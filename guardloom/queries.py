@@ -23,3 +23,4 @@ def query(sql: str | None = None):
 
 
 from guardloom import queries_data  # noqa: E402,F401
+from guardloom import queries_guard  # noqa: E402,F401
