@@ -70,7 +70,7 @@ def severity_of_risk(risk: Column) -> Column:
 
 
 def confidence_band(c: Column) -> Column:
-    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    c = F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
     return F.when(c < 0.5, "low").when(c < 0.8, "medium").when(c.isNotNull(), "high")
 
 
