@@ -18,6 +18,11 @@ FOLD_FROM, FOLD_TO = HOMOGLYPHS[0] + _WIDE[0] + "   　", HOMOGLYPHS[1] + _WIDE[
 LEET = ("013457@$!", "oieastasi")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def plain(c: Column) -> Column:
     """Lower case, without invisible characters, widths and look-alike letters undone."""
     return F.lower(F.translate(F.regexp_replace(c, INVISIBLE, ""), FOLD_FROM, FOLD_TO))
@@ -89,14 +94,24 @@ def entropy(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Arrays of n words as text, in order; shorter input gives none."""
-    k = F.size(words) - F.lit(n - 1)
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(w: Column) -> Column:
+        k = F.size(w) - F.lit(n - 1)
+        return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+    return let(words, of)
 
 
 def trigrams(c: Column) -> Column:
     """Character trigrams in order."""
-    k = F.length(c) - F.lit(2)
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(s: Column) -> Column:
+        k = F.length(s) - F.lit(2)
+        return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(s, i, F.lit(3)))).otherwise(none)
+
+    return let(c, of)
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from guardloom.functions.text import let
+
 HIT = "struct<rule_id:string,severity:string,message:string>"
 NO_HITS = f"array<{HIT}>"
 #: Weights that add up to a risk, and the order of decisions.
@@ -17,11 +19,6 @@ PRECEDENCE = {"BLOCK": 5, "REDACT": 4, "TRANSFORM": 3, "WARN": 2, "ALLOW": 1}
 DISPLAY_RISK = {"low": 25, "medium": 60, "high": 90}
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def most_repeats(items: Column) -> Column:
     """How often the most frequent item of an array occurs; 0 if it is empty. Sorts, so n log n."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))

@@ -14,12 +14,19 @@ def _bounded(prefix: str, text: str):
     return [replace(r, pattern=f"{_B}({r.pattern}){_E}") for r in rules(prefix, text)]
 
 
+def _begins(prefix: str, text: str):
+    """Patterns after a word end; what follows is up to them."""
+    from dataclasses import replace
+
+    return [replace(r, pattern=f"{_B}({r.pattern})") for r in rules(prefix, text)]
+
+
 INJECTION = _bounded("injection", """
 override | high | Asks to set earlier instructions aside | ignore disregard forget override bypass | (ignore|disregard|forget|override|bypass) (all |any |the |your |my |these |those )*(previous |prior |above |earlier |preceding |system |safety )+(instructions?|prompts?|rules|directions|guidelines|messages?)
 new_rules | high | Announces new instructions | new your | (new|updated) (system )?(instructions?|rules) (follow|are|apply|:)
 persona | high | Assigns an unrestricted persona | you act pretend | (you are now|act as|pretend to be|pretend you are) (a |an |the )?(dan|unrestricted|unfiltered|uncensored|jailbroken|evil|root|developer mode)
 no_limits | high | Claims that limits do not apply | without no unrestricted | (without (any )?(restrictions?|limits?|limitations?|filters?|censorship)|no (restrictions|rules|limits|filters) apply)
-role_markup | medium | Carries chat role markup | system assistant inst im | (<\\|?(system|assistant|im_start|im_end|endoftext)\\|?>|\\[/?inst\\]|<<sys>>)
+role_markup | medium | Carries chat role markup | system assistant inst im sys endoftext | (<\\|?(system|assistant|im_start|im_end|endoftext)\\|?>|\\[/?inst\\]|<<sys>>)
 hide_from_user | high | Asks to hide something from the user | tell inform mention reveal | (do not|don't|never) (tell|inform|mention|reveal)( this| it)?( to)? the user
 developer | medium | Claims developer or admin rights | developer admin sudo | (developer|admin|debug|maintenance|sudo) (mode|override|access) (enabled|on|activated|granted)
 """)
@@ -115,26 +122,26 @@ SECRETS = [
     ("generic_token", "high", "Assigned secret", r"(?i)(api[_-]?key|secret|token|passwd|password)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{20,}"),
 ]
 CODE = {
-    "python": _bounded("code.python", """
+    "python": _begins("code.python", """
 eval | high | Evaluates text as code | eval exec | (eval|exec)\\(
 shell | high | Runs a shell command | os subprocess | (os\\.system|subprocess\\.(call|run|popen))\\(
 pickle | high | Loads a pickle | pickle | pickle\\.loads?\\(
 yaml | medium | Loads unsafe YAML | yaml | yaml\\.load\\(
 """),
-    "javascript": _bounded("code.javascript", """
+    "javascript": _begins("code.javascript", """
 eval | high | Evaluates text as code | eval function | (eval|new function)\\(
 inner_html | medium | Writes raw HTML | innerhtml write | (innerhtml ?=|document\\.write\\()
 child | high | Starts a process | child_process child process | child_process
 """),
-    "java": _bounded("code.java", """
+    "java": _begins("code.java", """
 exec | high | Runs a command | getruntime processbuilder | (getruntime\\(\\)\\.exec|new processbuilder)
 deserialise | high | Reads an object stream | objectinputstream | objectinputstream
 """),
-    "shell": _bounded("code.shell", """
+    "shell": _begins("code.shell", """
 remove | high | Removes everything | rm | rm -rf /
 pipe | high | Runs what it downloads | curl wget | (curl|wget) [^|\\n]{1,80}\\| ?(sudo )?(ba)?sh
 """),
-    "sql": _bounded("code.sql", """
+    "sql": _begins("code.sql", """
 concat | high | Builds SQL from text | select insert update delete | (select|insert|update|delete) [^\\n]{0,80}['\\"] ?\\+ ?[a-z_]+
 drop | high | Drops a table | drop | drop (table|database) [a-z_]+
 """),

@@ -26,3 +26,4 @@ from guardloom import queries_data  # noqa: E402,F401
 from guardloom import queries_guard  # noqa: E402,F401
 from guardloom import queries_metrics  # noqa: E402,F401
 from guardloom import queries_state  # noqa: E402,F401
+from guardloom import queries_ops  # noqa: E402,F401
