@@ -78,7 +78,7 @@ def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage",
     """``df`` with ``verdict`` (decision, risk, decided_by, hits, sanitized) and ``results``.
 
     All detectors run, also after one blocks. A detector whose stages leave out
-    the row's stage gives no result there. Rewrites of the detectors that may
+    the row's stage gives no result there; a null or unknown stage is in none. Rewrites of the detectors that may
     transform are what later ones read, in the stages input and output. One
     projection without a shuffle; prepared texts are computed once per rewrite.
     Null texts count as empty. ``custom`` detectors run last.

@@ -52,7 +52,7 @@ def guard_fact_table(spark, sf_dir):
 
 def _detector(name: str, settings: dict, sql: str | None = None):
     def run(spark, sf_dir):
-        d = _documents(spark, sf_dir).withColumn("metadata", _metadata())
+        d = _documents(spark, sf_dir).withColumn("metadata", _metadata()).withColumn("stage", F.lit("output"))
         policy = {name: {"enabled": True, "stages": list(pl.STAGES), **settings}}
         g = pl.guard(d, "text", policy, metadata="metadata")
         return g.select("doc_id", "verdict.decision", "verdict.risk", F.transform("verdict.hits", lambda h: h["rule_id"]).alias("rules")).select("doc_id", "decision", "risk", F.array_join("rules", ",").alias("rules"))
