@@ -310,7 +310,7 @@ def segments(df: DataFrame, model: Centroids, id_col: str, text_col: str) -> Dat
                     confs.append(sum(c * n for _, c, n in part) / sum(n for _, _, n in part))
                     counts.append(k - j)
                     no, j = no + 1, k
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype=b.iloc[:, 0].dtype), "segment_no": pd.Series(nos, dtype="int32"), "lang": langs, "confidence": pd.Series(confs, dtype="float64"), "n_sentences": pd.Series(counts, dtype="int32")})
+            yield pd.DataFrame({id_col: pd.Series(ids, dtype=b.iloc[:, 0].dtype), "segment_no": pd.Series(nos, dtype="int32"), "lang": pd.Series(langs, dtype=object), "confidence": pd.Series(confs, dtype="float64"), "n_sentences": pd.Series(counts, dtype="int32")})
 
     rows = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")).filter("__text is not null"))
     return rows.mapInPandas(run, f"`{id_col}` {kind}, segment_no int, lang string, confidence double, n_sentences int")

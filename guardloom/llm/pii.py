@@ -361,7 +361,7 @@ def redacted(df: DataFrame, id_cols: list[str], text_col: str, key: str) -> Data
     @F.pandas_udf("struct<redacted string, n_items int>")
     def mask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.DataFrame({"redacted": [None if t is None else redact(t, secret) for t in s], "n_items": pd.Series([len(find(t)) if t else 0 for t in s], dtype="int32")})
+            yield pd.DataFrame({"redacted": pd.Series([None if t is None else redact(t, secret) for t in s], dtype=object), "n_items": pd.Series([len(find(t)) if t else 0 for t in s], dtype="int32")})
 
     rows = spread(df.select(*id_cols, F.col(text_col).alias("__text")))
     return rows.select(*id_cols, mask("__text").alias("__m")).select(*id_cols, "__m.redacted", "__m.n_items")
