@@ -37,7 +37,7 @@ def relevance(question: Column, answer: Column) -> Column:
         count = lambda bag, w: F.size(F.filter(bag, lambda v: v == w)).cast("double")
         dot = F.aggregate(words, F.lit(0.0), lambda s, w: s + count(qs, w) * count(as_, w))
         norm = lambda bag: F.sqrt(F.aggregate(F.array_distinct(bag), F.lit(0.0), lambda s, w: s + count(bag, w) * count(bag, w)))
-        names = F.transform(F.regexp_extract_all(question, F.lit(r"\b([A-Z][a-z]+)\b"), 1), F.lower)
+        names = F.transform(F.regexp_extract_all(question, F.lit(r"(?<=\s)([A-Z][a-z]+)\b"), 1), F.lower)
         entity = F.when(F.size(names) > 0, tx.overlap(names, as_)).otherwise(1.0)
         score = 0.5 * dot / (norm(qs) * norm(as_)) + 0.25 * entity + 0.25 * tx.overlap(content_words(question), as_)
         return F.when((F.size(qs) == 0) | (F.size(as_) == 0), 0.5).otherwise(F.least(F.lit(1.0), score))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guardloom.functions import checksums as ck
 from guardloom.functions import text as tx
-from guardloom.operators import agentic, joins, layering, quality
+from guardloom.operators import agentic, hooks, joins, layering, quality
 from guardloom.operators.detectors import equations, valence
 from guardloom.operators.hits import rank, rank_sql
 from guardloom.plans import policy as po
@@ -214,3 +214,28 @@ def shingle_registry(spark, sf_dir):
     """How many keyed shingles each policy note registers."""
     d = table(spark, sf_dir, "documents").filter("source = 'policy_notes'")
     return d.select("doc_id", F.size(agentic.shingle_digests(F.coalesce("text", F.lit("")), "k")).alias("n_shingles"))
+
+
+# --- declarations -------------------------------------------------------------------
+
+
+def _manifests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("source = 'tool_manifests'").select("doc_id", "text")
+
+
+@query()
+def manifest_scan(spark, sf_dir):
+    """Server manifests: injected descriptions, dangerous rights, inner hosts."""
+    return _manifests(spark, sf_dir).select("doc_id", hooks.manifest_verdict("text").alias("v")).select("doc_id", "v.decision", "v.risk", F.array_join("v.rules", ",").alias("rules"))
+
+
+@query()
+def tool_permission_audit(spark, sf_dir):
+    return _manifests(spark, sf_dir).select("doc_id", hooks.tool_audit_verdict("text").alias("v")).select("doc_id", "v.decision", "v.risk", F.array_join("v.rules", ",").alias("rules"))
+
+
+@query()
+def schema_field_errors(spark, sf_dir):
+    """Manifests against a schema; one row per error."""
+    schema = {"type": "object", "required": ["name", "version", "permissions"], "properties": {"name": {"type": "string", "pattern": "^[a-z_0-9]+$"}, "version": {"type": "string"}, "parameters": {"type": "object", "required": ["type"]}}, "additionalProperties": False}
+    return hooks.field_errors(_manifests(spark, sf_dir), "doc_id", "text", schema)
