@@ -82,20 +82,28 @@ def _early(w: str) -> bool:
 
 @dataclass
 class Words:
-    """What is known of a word: early or not, its rank in a public vocabulary; remembered per worker."""
+    """What is known of a word, worked out once per worker.
+
+    A tuple: early, log of its rank in a public vocabulary, rare, syllables,
+    three syllables or more, subordinating, preposition, pronoun, form of be,
+    formal, connective, function word, letters.
+    """
 
     find: object
 
     def __post_init__(self):
-        self.known: dict[str, tuple[bool, float, bool, int]] = {}
+        self.known: dict[str, tuple] = {}
 
-    def of(self, w: str) -> tuple[bool, float, bool, int]:
+    def of(self, w: str) -> tuple:
         got = self.known.get(w)
         if got is None:
             rank = self.find(f" {w}".encode())
             early = _early(w)
             syllables = max(1, len(_SYLLABLE.findall(w[:-1] if w.endswith("e") and not w.endswith("le") else w)))
-            got = (early, math.log(rank + 1000) if rank >= 0 else math.log(80_000), rank < 0 and not early and len(w) > 2, syllables)
+            got = (
+                early, math.log(rank + 1000) if rank >= 0 else math.log(80_000), rank < 0 and not early and len(w) > 2, syllables, syllables >= 3, w in _SUBORDINATE,
+                w in _PREPOSITION, w in _PRONOUN, w in _BE, len(w) > 6 and bool(_FORMAL.search(w)), w in _CONNECTIVE, w in _FUNCTION, len(w),
+            )
             if len(self.known) > 300_000:
                 self.known.clear()
             self.known[w] = got
@@ -140,24 +148,26 @@ def word_grade_features(sents: list[list[str]], grades: dict[str, float] | None,
     return [sum(g) / len(g), g[(len(g) - 1) * 9 // 10], g[(len(g) - 1) // 10]]
 
 
+def _spread(values: list) -> tuple[float, float, float]:
+    """Mean, standard deviation and ninth decile."""
+    n = len(values)
+    mean = sum(values) / n
+    return mean, math.sqrt(max(0.0, sum(v * v for v in values) / n - mean * mean)), float(sorted(values)[(n - 1) * 9 // 10])
+
+
 def features(sents: list[list[str]], words: Words, grades: dict[str, float] | None, middle: float) -> list[float]:
     flat = [w for s in sents for w in s]
-    n, m = len(flat), len(sents)
+    n = len(flat)
     if not n:
         return [0.0] * len(NAMES)
-    facts = [words.of(w) for w in flat]
-    per = np.array([len(s) for s in sents], float)
-    letters = np.array([len(w) for w in flat], float)
-    rank = np.array([f[1] for f in facts])
-    topical = [set(w for w in s if w not in _FUNCTION) for s in sents]
+    early, rank, rare, syllables, long_, sub, prep, pron, be, formal, conn, _, letters = zip(*map(words.of, flat))
+    topical = [set(s) - _FUNCTION for s in sents]
     overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(topical, topical[1:])]
-    share = lambda known: sum(w in known for w in flat) / n
     return [
-        per.mean(), per.std(), float(np.quantile(per, 0.9)), letters.mean(), letters.std(), float(np.quantile(letters, 0.9)),
-        sum(f[3] for f in facts) / n, sum(f[3] >= 3 for f in facts) / n, sum(f[0] for f in facts) / n, sum(f[2] for f in facts) / n,
-        rank.mean(), float(np.quantile(rank, 0.9)), math.log(len(set(flat)) + 1) / math.log(n + 1),
-        0.0, 0.0, share(_SUBORDINATE), share(_PREPOSITION), share(_PRONOUN), share(_BE), sum(bool(_FORMAL.search(w)) and len(w) > 6 for w in flat) / n,
-        float(np.mean(overlap)) if overlap else 0.0, share(_CONNECTIVE), math.log(n),
+        *_spread([len(s) for s in sents]), *_spread(letters), sum(syllables) / n, sum(long_) / n, sum(early) / n, sum(rare) / n,
+        sum(rank) / n, sorted(rank)[(n - 1) * 9 // 10], math.log(len(set(flat)) + 1) / math.log(n + 1),
+        0.0, 0.0, sum(sub) / n, sum(prep) / n, sum(pron) / n, sum(be) / n, sum(formal) / n,
+        sum(overlap) / len(overlap) if overlap else 0.0, sum(conn) / n, math.log(n),
         *word_grade_features(sents, grades, middle),
     ]
 
