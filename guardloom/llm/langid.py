@@ -65,7 +65,7 @@ def label_of(params: Column | str) -> Column:
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿͏]")
 _TO_LATIN = {ord(a): b for src, dst in LOOKALIKES.items() for a, b in zip(src, dst)}
 _CYRILLIC = list(LOOKALIKES.items())[:2]
-_TO_CYRILLIC = {ord(b): a for src, dst in _CYRILLIC for a, b in reversed(list(zip(src, dst))) if b not in "qwhdsljiQWSIJF"}
+_TO_CYRILLIC = {ord(b): a for src, dst in _CYRILLIC for a, b in reversed(list(zip(src, dst))) if b not in "qwhdsljivQWSIJF"}
 _LATIN = re.compile("[a-zA-Z]")
 _NOT_LATIN = re.compile("[Ͱ-֏]")
 _OTHER = re.compile("[а-яА-ЯёЁ]")

@@ -20,7 +20,7 @@ from guardloom.session import materialize
 LOOKALIKES = {
     # Cyrillic
     "АВЕЅІЈКМНОРСТУХҮԌԚԜҺҒӀ": "ABESIJKMHOPCTYXYGQWhFI",
-    "аеіјорсухѕһԁԛԝӏгҽүԍ": "aeijopcyxshdqwlreyg",
+    "аеіјорсухѕһԁԛԝӏгҽүԍѵѡ": "aeijopcyxshdqwlreygvw",
     # Greek
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ": "ABEZHIKMNOPTYXCj",
     "ονικυραϲγ": "ovikupacy",

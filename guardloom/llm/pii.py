@@ -93,7 +93,7 @@ _PHONE_PLAIN = re.compile(r"(?<![\w.+-])[2-9]\d{8,9}(?![\w-])")
 _ID_CUE = re.compile(
     r"(?:\b(?:NHS|NINO|NI|SSN|SIN|ITIN|TIN|NIR|DNI|NIF|NIE|CPF|BSN|PESEL)\b|soc(?:ial|\.)? ?sec(?:urity|\.)?|national (?:id|identity|insurance)|passport|driv(?:ing|er'?s?) licen[cs]e|identity (?:card|document)|id card|tax(?:payer)? (?:id|ident\w*|number)"
     r"|Steuer-?ID|Steuer(?:identifikations)?nummer|Steuer-?Nr|Sozialversicherungs(?:nummer|-?Nr)|(?:Personal)?ausweis(?:nummer|-?Nr)?|Reisepass(?:nummer)?|Führerschein(?:nummer)?|Versichertennummer"
-    r"|carte d['’]identité|passeport|permis de conduire|sécurité sociale|numéro fiscal|documento de identidad|pasaporte|permiso de conducir|seguridad social|tarjeta sanitaria|cédula)"
+    r"|carte d['’]identit[ée]|passeport|permis de conduire|s[ée]curit[ée] sociale|numéro fiscal|documento de identidad|pasaporte|permiso de conducir|seguridad social|tarjeta sanitaria|cédula)"
     r"(?:[ .:#]{0,2}(?:number|num|nummer|numéro|número|no|nr|n°|nº|núm|is|est|es|ist|lautet)\b\.?|[ .:#]{0,2}n[°º])?[ .:#=]{0,3}"
     r"(?P<v>(?-i:(?:[A-Z]{1,3} ?)?\d(?:[ .\-/]?[0-9]){4,20}(?:[ -]?[A-Z]{1,2}(?![a-zà-ÿ])(?: ?\d{3})?)?))",
     re.I,
@@ -180,7 +180,7 @@ def _nhs(d: str) -> bool:
 #: A run of digits and their separators, and those of plain record references.
 _RUN = re.compile(r"[(+]?\d(?:[ .()/-]{0,2}\d){7,}")
 _REFERENCE = re.compile(r"\(?\d{4}-\d{5}|\(?\d{9}")
-_ID_WORDS = ("nhs", "nino", " ni n", " ni ", "ssn", " sin ", " tin ", "itin ", "nir ", "dni", "nif", " nie ", "cpf", "bsn", "pesel", "soc. sec", "soc sec", "social sec", "national i", "passport", "ing licen", "er licen", "er's licen", "ers licen", "identity c", "identity d", "id card", "tax id", "taxpayer", "tax number", "steuer", "sozialv", "ausweis", "reisepass", "führerschein", "versicherten", "d'identité", "d’identité", "passeport", "permis de cond", "sécurité soc", "numéro fiscal", "documento de id", "pasaporte", "seguridad soc", "permiso de cond", "tarjeta san", "cédula")
+_ID_WORDS = ("nhs", "nino", " ni n", " ni ", "ssn", " sin ", " tin ", "itin ", "nir ", "dni", "nif", " nie ", "cpf", "bsn", "pesel", "soc. sec", "soc sec", "social sec", "national i", "passport", "ing licen", "er licen", "er's licen", "ers licen", "identity c", "identity d", "id card", "tax id", "taxpayer", "tax number", "steuer", "sozialv", "ausweis", "reisepass", "führerschein", "versicherten", "d'identit", "d’identit", "passeport", "permis de cond", "sécurité soc", "securite soc", "numéro fiscal", "documento de id", "pasaporte", "seguridad soc", "permiso de cond", "tarjeta san", "cédula")
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
