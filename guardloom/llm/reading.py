@@ -172,14 +172,17 @@ def features(sents: list[list[str]], words: Words, grades: dict[str, float] | No
     ]
 
 
-def describe(text: str | None, words: Words, grades: dict[str, float] | None, middle: float) -> tuple[list[float], bool]:
-    """The features of a text, and whether it is English prose."""
+def describe(text: str | None, words: Words, grades: dict[str, float] | None, middle: float, lang: str | None = None) -> tuple[list[float], bool]:
+    """The features of a text, and whether it is English prose.
+
+    A label decides on the language; without one the share of function words does.
+    """
     sents = prose(text)
     x = features(sents, words, grades, middle)
     if sents:
         x[NAMES.index("commas")] = text.count(",") / len(sents)
         x[NAMES.index("breaks")] = sum(map(text.count, ";:()")) / len(sents)
-    return x, bool(sents) and not is_json(text) and is_english(sents)
+    return x, bool(sents) and not is_json(text) and (lang == "en" if lang else is_english(sents))
 
 
 def weak_grade(x: list[float]) -> float:
@@ -367,10 +370,10 @@ def graded(df: DataFrame, keep: list[str], text_col: str, lang_col: str, model:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m, words = shared.value, Words(table.value.get)
         for texts, langs in batches:
-            got = [describe(t, words, m.grades, m.middle) for t in texts]
+            got = [describe(t, words, m.grades, m.middle, lang if isinstance(lang, str) else None) for t, lang in zip(texts, langs)]
             has = np.array([bool(t and t.strip()) for t in texts], bool)
             g = m.grade(np.array([x for x, _ in got])) if len(got) else np.empty(0)
-            english = [bool(e) and (lang is None or lang == "en") for (_, e), lang in zip(got, langs)]
+            english = [bool(e) for _, e in got]
             yield pd.DataFrame({"grade": np.where(has, np.round(g, 4), np.nan), "english": english})
 
     rows = spread(df.select(*keep, F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")))

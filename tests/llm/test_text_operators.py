@@ -262,7 +262,7 @@ def test_levels(spark, grader):
     df = spark.createDataFrame(rows, "i int, text string, lang string").withColumn("grade", F.lit("clash"))
     got = {r.i: r for r in reading.graded(df, ["i"], "text", "lang", grader).collect()}
     assert got[0].level == "easy" and got[1].level == "hard" and got[2].level == "middle"
-    assert got[0].english_prose and not got[3].english_prose and not got[4].english_prose and not got[7].english_prose
+    assert got[0].english_prose and got[1].english_prose and got[2].english_prose and not got[3].english_prose and not got[4].english_prose and not got[7].english_prose
     assert got[5].grade is None and got[6].level is None
     assert reading.graded(df.limit(0), ["i"], "text", "lang", grader).count() == 0
 
