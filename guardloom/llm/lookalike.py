@@ -163,7 +163,7 @@ def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __m (digest of the text), canonical of the rows in classes of several spellings."""
     rows = materialize(candidates(df, id_col, text_col))
     varied = classes(rows).filter("varied").select("look", "canonical")
-    return rows.withColumn("look", look_key("__t")).join(varied, "look").select("__id", "__m", "canonical")
+    return materialize(rows.withColumn("look", look_key("__t")).join(varied, "look").select("__id", "__m", "canonical"))
 
 
 def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,11 +182,13 @@ def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of rows that look the same but are different strings: ``<id>_a`` < ``<id>_b``.
 
-    Only classes with more than one spelling reach the join, whose key is the
-    class; the result lists all such pairs, so a class costs what it yields.
+    Spellings of a class are paired first, then each pair of spellings is
+    joined with its rows, so copies of one text never meet each other: the
+    joins yield what the result lists and nothing that is thrown away.
     """
-    members = _members(df, id_col, text_col).select(F.col("__id"), "__m", F.md5("canonical").alias("cls"))
-    a = members.select("cls", F.col("__id").alias(f"{id_col}_a"), F.col("__m").alias("ma"))
-    b = members.select("cls", F.col("__id").alias(f"{id_col}_b"), F.col("__m").alias("mb"))
-    on = a.join(b, "cls").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ma") != F.col("mb")))
-    return on.select(f"{id_col}_a", f"{id_col}_b")
+    members = _members(df, id_col, text_col).select("__id", "__m", F.md5("canonical").alias("cls"))
+    spellings = members.select("cls", "__m").distinct()
+    two = spellings.select("cls", F.col("__m").alias("ma")).join(spellings.select("cls", F.col("__m").alias("mb")), "cls").filter("ma < mb")
+    rows = members.select("__id", "__m")
+    pairs = two.select("ma", "mb").join(rows.select(F.col("__m").alias("ma"), F.col("__id").alias("x")), "ma").join(rows.select(F.col("__m").alias("mb"), F.col("__id").alias("y")), "mb")
+    return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
