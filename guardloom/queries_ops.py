@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from guardloom.functions import checksums as ck
 from guardloom.functions import text as tx
-from guardloom.operators import agentic, hooks, joins, layering, quality
+from guardloom.operators import agentic, hooks, joins, layering, metrics, quality
 from guardloom.operators.detectors import equations, valence
 from guardloom.operators.hits import rank, rank_sql
 from guardloom.plans import policy as po
+from guardloom.plans.round_trip import round_trip
 from guardloom.queries import query
 from guardloom.session import table
 
@@ -239,3 +240,32 @@ def schema_field_errors(spark, sf_dir):
     """Manifests against a schema; one row per error."""
     schema = {"type": "object", "required": ["name", "version", "permissions"], "properties": {"name": {"type": "string", "pattern": "^[a-z_0-9]+$"}, "version": {"type": "string"}, "parameters": {"type": "object", "required": ["type"]}}, "additionalProperties": False}
     return hooks.field_errors(_manifests(spark, sf_dir), "doc_id", "text", schema)
+
+
+# --- round trips and replies --------------------------------------------------------
+
+
+@query()
+def round_trips(spark, sf_dir):
+    """Each trace's prompt and output under a small policy, guarded in order."""
+    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", F.get_json_object("stages", "$[0].input_text").alias("prompt"), F.col("final_output").alias("answer"))
+    policy = {n: {"enabled": True} for n in ("secrets", "exfiltration", "jailbreak", "toxicity", "pii")}
+    x = round_trip(t, "prompt", "answer", policy)
+    return x.select("trace_no", F.col("input_verdict.decision").alias("input_decision"), F.col("output_verdict.decision").alias("output_decision"), "final_decision", F.sha2(F.coalesce("final_output_shown", F.lit("")), 256).alias("shown_sha256"))
+
+
+_CATALOG = [("injection", "jailbreak", False), ("injection", "exfiltration", True), ("disclosure", "pii", False), ("disclosure", "secrets", False), ("supply_chain", "mcp_manifest_scanner", False), ("overreliance", "hallucination", False), ("overreliance", "citation_integrity", True), ("theft", None, False)]
+
+
+@query(
+    f"""
+    SELECT category, CASE WHEN f > 0 THEN round(c / f, 4) END AS ratio, CASE WHEN f = 0 THEN 'no_control' WHEN c = f THEN 'full' WHEN c > 0 THEN 'partial' ELSE 'uncovered' END AS status FROM (
+      SELECT category, sum(CASE WHEN d IS NOT NULL THEN w ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN detector IS NOT NULL THEN w ELSE 0 END)::DOUBLE AS f FROM (
+        SELECT category, detector, CASE WHEN adjacent THEN 0.25 ELSE 1.0 END AS w FROM (VALUES {', '.join(f"('{c}', {'NULL' if d is None else repr(d)}, {str(a).lower()})" for c, d, a in _CATALOG)}) AS v(category, detector, adjacent)) k
+      LEFT JOIN (SELECT DISTINCT detector_name AS d FROM detector_timings) e ON k.detector = e.d GROUP BY category)
+    """
+)
+def control_coverage(spark, sf_dir):
+    """How much of each risk category the detectors seen in the timings cover."""
+    catalog = spark.createDataFrame(_CATALOG, "category string, detector string, adjacent boolean")
+    return metrics.coverage(catalog, table(spark, sf_dir, "detector_timings").select(F.col("detector_name").alias("detector")))

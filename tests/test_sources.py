@@ -11,6 +11,7 @@ from guardloom.operators.dedup import uuid_key
 from guardloom.operators.hits import by_threshold, hit, hits_of, normalize_risk
 from guardloom.plans import pipeline as pl
 from guardloom.plans import policy as po
+from guardloom.plans.round_trip import round_trip
 from guardloom.sources import files
 from guardloom.streaming import stateful
 
@@ -125,3 +126,22 @@ def test_quality(spark):
     df = spark.createDataFrame([("How many seats are free?", "Seven seats are free. They are in row 3.", "seats are free in row three"), ("", "", None)], "q string, a string, s string")
     r = df.select(quality.groundedness(F.col("a"), F.array("s")).alias("g"), quality.relevance(F.col("q"), F.col("a")).alias("r"), quality.coherence(F.col("a")).alias("c"), quality.fluency(F.col("a")).alias("f"), quality.intent_resolution(F.col("q"), F.col("a")).alias("i"), quality.task_adherence(F.col("a"), [("max_words", 20), ("odd", 1)]).alias("t")).collect()
     assert all(0 <= v <= 1 for x in r for v in x) and r[0].g == 1.0 and r[0].r > 0.4 and r[0].t == 0.75 and r[1].r == 0.5
+
+
+def test_round_trip(spark):
+    policy = {"secrets": {"enabled": True}, "pii": {"enabled": True}}
+    token = "ghp_" + "a1B2" * 9
+    rows = [(1, "hello", "write to ann@example.org"), (2, f"my key {token}", "thanks"), (3, "hello", f"key {token}"), (4, None, None)]
+    df = spark.createDataFrame(rows, "i int, p string, a string")
+    got = {r.i: (r.final_decision, r.final_output_shown) for r in round_trip(df, "p", "a", policy).collect()}
+    assert got == {1: ("REDACT", "write to [EMAIL]"), 2: ("BLOCK", None), 3: ("BLOCK", None), 4: ("ALLOW", None)}
+
+
+def test_replies(spark):
+    one = spark.range(1)
+    v = lambda kind, s: one.select(layering.vendor_moderation(kind, F.lit(s)).alias("v")).first().v
+    assert tuple(v("severity", '{"categories": [{"severity": 2}, {"severity": 4}]}')) == ("BLOCK", 57)
+    assert tuple(v("scores", '{"flagged": true, "scores": {"hate": 0.91, "self-harm": 0.1}}')) == ("BLOCK", 91)
+    assert tuple(v("guardrail", '{"action": "GUARDRAIL_INTERVENED"}')) == ("BLOCK", 90) and tuple(v("guardrail", "{}")) == ("ALLOW", 0)
+    j = lambda s: one.select(layering.judge_reply(F.lit(s)).alias("v")).first().v
+    assert j('thinking {"decision": "allow"} so {"decision": "warn", "risk_score": 40, "reason": "r"}').decision == "WARN" and j("none") is None and j('{"decision": "odd"}') is None
