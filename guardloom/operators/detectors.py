@@ -85,15 +85,15 @@ def gibberish(t: Text, cfg: dict) -> Column:
     vowels = F.length(F.regexp_replace(letters, "[^aeiou]", ""))
     ratio = (F.length(letters) - vowels) / F.greatest(vowels, F.lit(1))
     special = tx.share_of(t.raw, r"[\p{L}\p{N}\s]")
-    most = most_repeats(F.filter(t.tokens, lambda w: F.length(w) > 2))
+    most = most_repeats(F.filter(F.split(F.lower(t.raw), r"\s+"), lambda w: F.length(w) > 2))
     known = F.size(F.filter(t.tokens, lambda w: w.isin(rb.CLOUD_WORDS))) / F.greatest(F.size(t.tokens), F.lit(1))
     hits = hits_of(
         F.when(t.raw.rlike(tx.INVISIBLE), hit("gibberish.invisible", "high", "Characters that draw nothing")),
         F.when((F.length(dense) > 20) & (tx.entropy(dense) > cfg.get("entropy", 5.5)), hit("gibberish.entropy", "medium", "Entropy above the limit")),
-        F.when(1 - special > cfg.get("special_ratio", 0.4), hit("gibberish.special", "medium", "Mostly signs")),
-        F.when(most >= cfg.get("repetition", 5), hit("gibberish.repetition", "medium", "A word repeats")),
-        F.when((F.length(letters) > 20) & ((ratio > 6) | (ratio < 0.3)), hit("gibberish.letters", "medium", "Unusual mix of vowels and consonants")),
-        F.when((F.length(letters) > 30) & (F.length(letters) * 2 > F.length(dense)) & (known < cfg.get("known_ratio", 0.02)), hit("gibberish.words", "high", "Hardly any known word")),
+        F.when(1 - special > cfg.get("special_ratio", 0.4), hit("gibberish.excessive_special_chars", "medium", "Mostly signs")),
+        F.when(most >= cfg.get("repetition", 5), hit("gibberish.token_stuffing", "medium", "A word repeats")),
+        F.when((F.length(letters) > 20) & ((ratio > 6) | ((ratio > 0) & (ratio < 0.3))), hit("gibberish.incoherent", "medium", "Unusual mix of vowels and consonants")),
+        F.when((F.length(letters) > 30) & (F.length(letters) * 2 > F.length(dense)) & (known < cfg.get("known_ratio", 0.02)), hit("gibberish.no_recognizable_words", "high", "Hardly any known word")),
     )
     return by_action("gibberish", F.when(F.length(t.raw) >= least, hits).otherwise(no_hits()), cfg.get("action", "BLOCK"))
 

@@ -80,6 +80,18 @@ _SQL = {
     "tool_output_injection": _bank_sql(rb.INJECTION + rb.ACTION_LURES + rb.EXFILTRATION, 1000),
     "memory_write_poisoning": _bank_sql(rb.INJECTION + rb.FUTURE, 50),
 }
+_q = lambda p: p.replace("'", "''")
+_SQL["sensitive_business_data"] = _bank_sql(rb.SENSITIVE, 60).replace("'BLOCK'", "'REDACT'")
+_SQL["secrets"] = f"""
+    SELECT doc_id, CASE WHEN len(rules) > 0 THEN 'REDACT' ELSE 'ALLOW' END AS decision, CASE WHEN len(rules) > 0 THEN 100 ELSE 0 END::INTEGER AS risk, array_to_string(rules, ',') AS rules
+    FROM (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{_q(p)}') THEN 'secrets.{n}' END" for n, _, _, p in rb.SECRETS)}], lambda x: x IS NOT NULL) AS rules FROM documents)
+    """
+_SQL["topic_restriction"] = f"""
+    SELECT doc_id, CASE WHEN len(rules) > 0 THEN 'BLOCK' ELSE 'ALLOW' END AS decision, CAST(least(100, 50 * len(rules)) AS INTEGER) AS risk, array_to_string(rules, ',') AS rules
+    FROM (SELECT doc_id, CASE WHEN regexp_matches(p, '{_q(rb.RESOURCE)}') OR regexp_matches(p, '{_q(rb.INFORMATIONAL)}') OR regexp_matches(p, '{_q(rb.WARNING)}') THEN [] ELSE
+            list_filter([{", ".join(f"CASE WHEN list_has_any(k, {strong.split()!r}) OR len(list_intersect(list_distinct(k), {broad.split()!r})) >= 2 THEN 'topic.{t}' END" for t, (strong, broad) in rb.TOPICS.items())}], lambda x: x IS NOT NULL) END AS rules
+          FROM (SELECT doc_id, p, {tx.tokens_sql("p")} AS k FROM (SELECT doc_id, {tx.plain_sql("coalesce(text, '')")} AS p FROM documents)))
+    """
 _SETTINGS = {
     "competitor": {"competitors": ["Lumadock", "Norvik Pad", "Quelbit"], "aliases": {"Quelbit": ["Quelbit Cloud"]}, "action": "RESTRICT"},
     "compliance": {"action": "APPEND"},
