@@ -72,7 +72,18 @@ def _table() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _LIGATURES = _table()
 
 
+def _invisible() -> str:
+    """The characters of INVISIBLE below U+10000, for tables that delete them; by category and range."""
+    more = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0x00, 0x09), *range(0x0B, 0x20), *range(0x7F, 0xA0)]))
+    return more + "".join(c for c in map(chr, range(0xA0, 0x10000)) if unicodedata.category(c) == "Cf" and c not in more)
+
+
+_GONE = "".join(c for c in _invisible() if c not in _FROM)
+
+
 _NOT_ASCII = r"[^\x20-\x7e\n]"
+#: Invisible characters beyond the tables: tags and variation selectors.
+_ASTRAL_INVISIBLE = r"[\x{E0001}-\x{E007F}\x{E0100}-\x{E01EF}\x{1D173}-\x{1D17A}\x{110BD}\x{110CD}\x{13430}-\x{1343F}\x{1BCA0}-\x{1BCA3}]"
 
 
 def skeleton(col: Column | str) -> Column:
@@ -82,7 +93,8 @@ def skeleton(col: Column | str) -> Column:
     texts skip the tables.
     """
     c = F.col(col) if isinstance(col, str) else col
-    s = F.translate(F.regexp_replace(c, INVISIBLE, ""), _FROM, _TO)
+    s = F.translate(c, _FROM + _GONE, _TO)  # characters without a counterpart are deleted
+    s = F.when(c.rlike(_ASTRAL_INVISIBLE), F.regexp_replace(s, _ASTRAL_INVISIBLE, "")).otherwise(s)
     few = "[" + "".join(_LIGATURES) + "]"
     spelt = s
     for lig, to in _LIGATURES.items():
@@ -96,43 +108,60 @@ def look_key(col: Column | str) -> Column:
     return F.collate(skeleton(col), "UNICODE")
 
 
-def _bases() -> tuple[str, str]:
-    """Composed characters and the first character of their canonical decomposition, by rule."""
-    src, dst = [], []
-    for cp in [*range(0x00C0, 0x3000), *range(0x3000, 0x3130), *range(0xF900, 0xFB50)]:
+def _coarse_table() -> tuple[str, str]:
+    """The look-alike table with accents dropped as well, by rule.
+
+    Composed characters become the first one of their canonical decomposition;
+    the marks that occur in such decompositions are deleted, with the invisible
+    characters and Hangul (whose syllables are written in two ways).
+    """
+    to, gone = dict(zip(_FROM, _TO)), set(_GONE)
+    gone |= {chr(cp) for cp in [*range(0x1100, 0x1200), *range(0xAC00, 0xD7A4)]}
+    for cp in [*range(0x00C0, 0x3130), *range(0xF900, 0xFB50)]:
         d = unicodedata.normalize("NFD", chr(cp))
         if d != chr(cp):
-            src.append(chr(cp))
-            dst.append(d[0])
-    return "".join(src), "".join(dst)
+            to.setdefault(chr(cp), d[0])
+            gone |= set(d[1:])
+    for c, x in list(to.items()):  # to the end: a width variant of a composed letter, an accented look-alike
+        while (y := to.get(x, unicodedata.normalize("NFD", x)[:1])) != x:
+            x = y
+        to[c] = x
+    kept = {c: x for c, x in to.items() if c not in gone}
+    return "".join(kept) + "".join(sorted(gone)), "".join(kept.values())
 
 
-_COMPOSED, _BASE = _bases()
+_COARSE_FROM, _COARSE_TO = _coarse_table()
 
 
 def coarse_hash(col: Column | str) -> Column:
     """A 64-bit hash that is equal for texts of equal look, and for few others.
 
-    The skeleton without any accents (and without Hangul, whose syllables are
-    written in two ways): what the collation holds equal is equal here, so only
-    rows that share a hash with a different text need be collated.
+    What the collation holds equal is equal here, so only rows that share a
+    hash with a different text need be collated.
     """
-    s = skeleton(col)
-    bare = F.regexp_replace(F.translate(s, _COMPOSED, _BASE), r"[\p{M}ᄀ-ᇿ가-힣]", "")
-    return F.xxhash64(F.when(s.rlike(_NOT_ASCII), bare).otherwise(s))
+    c = F.col(col) if isinstance(col, str) else col
+    bare = F.translate(c, _COARSE_FROM, _COARSE_TO)
+    few = "[" + "".join(_LIGATURES) + "]"
+    spelt = bare
+    for lig, to in _LIGATURES.items():
+        spelt = F.replace(spelt, F.lit(lig), F.lit(to))
+    bare = F.when(c.rlike(few), spelt).otherwise(bare)
+    bare = F.when(c.rlike(_ASTRAL_INVISIBLE), F.regexp_replace(bare, _ASTRAL_INVISIBLE, "")).otherwise(bare)
+    return F.xxhash64(F.trim(F.when(c.rlike(_NOT_ASCII), bare).otherwise(c)))
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __t, __m of the rows that share their coarse hash with a different text.
 
-    Minima and maxima per hash are kept while counting, so no hash is too hot;
-    the join splits a hot one.
+    Hashes are worked out once and written (two numbers a row). Minima and
+    maxima per hash are kept while counting, so no hash is too hot; the texts
+    themselves are moved once, by their row's id.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).filter("__t is not null")
-    rows = rows.select("__id", "__t", coarse_hash("__t").alias("__h"))
-    own = F.xxhash64(F.col("__t"), F.length("__t"))
-    several = rows.groupBy("__h").agg(F.min(own).alias("__lo"), F.max(own).alias("__hi")).filter("__lo <> __hi").select("__h")
-    return rows.join(several, "__h", "left_semi").select("__id", "__t", F.md5("__t").alias("__m"))
+    keyed = materialize(rows.select("__id", coarse_hash("__t").alias("__h"), F.xxhash64(F.col("__t"), F.length("__t")).alias("__o")))
+    several = keyed.groupBy("__h").agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi")).filter("__lo <> __hi").select("__h")
+    ids = keyed.join(several, "__h", "left_semi").select("__id")
+    return rows.join(ids, "__id", "left_semi").select("__id", "__t", F.md5("__t").alias("__m"))
 
 
 def _oddness(text: Column) -> Column:
