@@ -412,7 +412,11 @@ def structure(t: Text, cfg: dict) -> Column:
 
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-#: type -> (severity, pattern, guard on what was matched)
+_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_DAY, _MON, _YEAR = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:19|20)\d\d"
+_STREET = r"(?:street|st|avenue|ave|road|rd|highway|hwy|drive|dr|court|ct|boulevard|blvd|lane|ln|way|place|pl|circle|cir|parkway|pkwy|square|sq|trail|trl)"
+_NAME = r"[A-Z][a-z]{1,20}"
+#: type -> (severity, pattern, guard on what was matched); with a guard ("any" takes all) only group 1 is redacted.
 PII_TYPES = {
     "email": ("medium", rf"({_EMAIL})", None),
     "ssn": ("high", r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])", None),
@@ -421,9 +425,110 @@ PII_TYPES = {
     "phone": ("medium", r"(?<![\w.])(\+?\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4})(?![\w-])", None),
     "iban": ("high", r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7})\b", None),
     "nino": ("high", r"\b([A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])\b", None),
-    "nif_es": ("high", r"\b(\d{8}-?[A-Z])\b", "nif"),
-    "mac": ("low", r"\b((?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})\b", None),
+    "nif_es": ("high", r"\b(\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])\b", "nif"),
+    "mac": ("low", r"\b((?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4})\b", None),
+    # general
+    "api_key": ("high", r"\b((?:sk|pk)_(?:live|test)_[A-Za-z0-9]{24,}|gh[po]_[A-Za-z0-9]{36,}|AKIA[0-9A-Z]{16}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+|(?i:api[_-]?(?:key|token))[=:\s]+[\"']?[\w-]{32,})", None),
+    "user_agent": ("low", r"(?i)(Mozilla/\d\.\d\s*\([^)]{10,}\))", None),
+    "ipv6": ("low", r"(?<![\w:.])((?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*::)(?:[0-9a-fA-F]{1,4}:){1,7}(?::[0-9a-fA-F]{1,4}){0,6}:?|::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4})(?![\w:])", None),
+    "gps_coordinates": ("medium", r"(\[-?\d{1,3}\.\d{1,8},\s*-?\d{1,3}\.\d{1,8}\])", None),
+    "ethereum_address": ("medium", r"\b(0x[0-9A-Fa-f]{40})\b", None),
+    "bitcoin_address": ("medium", r"\b([13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{39,59})\b", None),
+    "masked_number": ("medium", r"(?i)(?<![\w*])((?:X{4}[\s-]){2,3}X{4}[\s-]\d{4}|(?:\*{4}[\s-]?){3}\d{4}|\d{4}[\s-]\*{4}[\s-]\*{4}[\s-]\d{4})\b", None),
+    "password": ("high", r"(?i)(?:password|passcode|passphrase|pin|secret\s+key|api\s+secret|token|credential)s?[\s:=-]{1,5}(?=[^\s]*\d)([\w!@#$%^&*()\[\]\-+=<>?]{8,80})", "any"),
+    "medical_record": ("high", r"(?i)\b(?:MRN|Medical Record|Patient ID)[:\s#]*((?=[a-z]*\d)[A-Z0-9]{6,12})\b", "any"),
+    "health_insurance_id": ("high", r"(?i)\b(?:Member ID|Policy|Insurance ID|Subscriber)[:\s#]*((?=[a-z]*\d)[A-Z0-9]{8,15})\b", "any"),
+    "date_of_birth": ("medium", rf"(?i)\b({_MON}[/-]{_DAY}[/-]{_YEAR}|{_YEAR}[/-]{_MON}[/-]{_DAY}|{_DAY}[/-]{_MON}[/-]{_YEAR}|{_MONTH}\s+{_DAY}(?:st|nd|rd|th)?,?\s+{_YEAR}|{_DAY}(?:st|nd|rd|th)?\s+{_MONTH}\s+{_YEAR})\b", None),
+    "person_name": ("medium", rf"\b(?:Dear|Hi|Hello|Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?|[Mm]y\s+name\s+is|I'?m(?=\s+{_NAME}\s+{_NAME})|patient|client|student|user|member|subscriber|employee|recipient|caller|sender|buyer|seller|applicant|owner|holder|resident|tenant)\s+({_NAME}(?:\s+{_NAME}){{0,2}})\b", "any"),
+    "username": ("low", r"(?i)(?:(?<![\w.+%-])(?=@)|(?:username|user\s*name|login|handle)[\s:=]+[\"']?(?=[\w.-]*[\d_]))(@?[A-Za-z0-9_.-]{3,30})\b", "any"),
+    # regional, by country
+    "in_pan": ("high", r"\b([A-Z]{5}\d{4}[A-Z])\b", None),
+    "in_aadhaar": ("high", r"\b([2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4})\b", "verhoeff"),
+    "in_gstin": ("high", r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9])\b", None),
+    "in_din": ("medium", r"\b(?:DIN|din)[:\s#]*(\d{8})\b", "any"),
+    "in_ifsc": ("medium", r"\b([A-Z]{4}0[A-Z0-9]{6})\b", None),
+    "in_upi": ("medium", r"\b([A-Za-z0-9._-]{3,}@[A-Za-z]{2,20})\b(?!\.)", None),
+    "uk_utr": ("medium", r"\b(?:UTR|utr)[:\s#]*(\d{10})\b", "any"),
+    "uk_nhs": ("high", r"\b(\d{3}[\s-]?\d{3}[\s-]?\d{4})\b", "nhs"),
+    "uk_vat": ("medium", r"\b(GB\s?\d{9}(?:\s?\d{3})?)\b", None),
+    "de_vat": ("medium", r"\b(DE\s?\d{9})\b", None),
+    "fr_vat": ("medium", r"\b(FR\s?[A-HJ-NP-Z0-9]{2}\s?\d{9})\b", None),
+    "it_vat": ("medium", r"\b(IT\s?\d{11})\b", None),
+    "nl_vat": ("medium", r"\b(NL\s?\d{9}B\d{2})\b", None),
+    "es_vat": ("medium", r"\b(ES\s?[A-Z0-9]\d{7}[A-Z0-9])\b", None),
+    "be_vat": ("medium", r"\b(BE\s?0?\d{9})\b", None),
+    "nl_bsn": ("high", r"\b([1-9]\d{8})\b", "bsn"),
+    "it_cf": ("high", r"\b([A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z])\b", None),
+    "dk_cpr": ("high", r"\b((?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d{2}[-\s]?\d{4})\b", None),
+    "ro_cnp": ("high", r"\b([1-8]\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{6})\b", None),
+    "pl_pesel": ("high", r"\b(\d{2}(?:[02][1-9]|[13][0-2])(?:0[1-9]|[12]\d|3[01])\d{5})\b", None),
+    "gr_amka": ("high", r"\b((?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])\d{7})\b", None),
+    "sg_nric": ("high", r"\b([STFG]\d{7}[A-Z])\b", None),
+    "my_ic": ("high", r"\b(\d{6}[-\s]\d{2}[-\s]?\d{4})\b", None),
+    "th_id": ("high", r"\b(\d[-\s]\d{4}[-\s]?\d{5}[-\s]?\d{2}[-\s]?\d)\b", None),
+    "ph_tin": ("high", r"\b(\d{3}[-\s]\d{3}[-\s]?\d{3}[-\s]?\d{3})\b", None),
+    "id_ktp": ("high", r"\b(\d{16})\b", "ktp"),
+    "tw_id": ("high", r"\b([A-Z][12]\d{8})\b", None),
+    "jp_mynumber": ("high", r"(?:\bMyNumber|マイナンバー|個人番号)[:\s#]*(\d{4}[\s-]?\d{4}[\s-]?\d{4})\b", "any"),
+    "au_tfn": ("high", r"(?i)\bTFN[:\s#]*(\d{3}[\s-]?\d{3}[\s-]?\d{2,3})\b", "tfn"),
+    "au_abn": ("medium", r"(?i)\bABN[:\s#]*(\d{2}[\s-]?\d{3}[\s-]?\d{3}[\s-]?\d{3})\b", "abn"),
+    "au_acn": ("medium", r"(?i)\bACN[:\s#]*(\d{3}[\s-]?\d{3}[\s-]?\d{3})\b", "acn"),
+    "hk_id": ("high", r"\b([A-Z]{1,2}\d{6}[(\[][A0-9][)\]])", None),
+    "ca_sin": ("high", r"(?i)\b(?:SIN|NAS)[:\s#]*(\d{3}[-\s]?\d{3}[-\s]?\d{3})\b", "sin"),
+    "br_cpf": ("high", r"\b(\d{3}\.?\d{3}\.?\d{3}-?\d{2})\b", "cpf"),
+    "br_cnpj": ("high", r"\b(\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2})\b", "cnpj"),
+    "mx_curp": ("high", r"\b([A-Z]{4}\d{6}[HM][A-Z]{5}[A-Z0-9]\d)\b", None),
+    "mx_rfc": ("high", r"(?<![\w&])([A-Z&Ñ]{3,4}\d{6}[A-Z0-9]{3})\b", None),
+    # wide shapes, after all that are narrower
+    "imei": ("medium", r"\b(\d{2}-\d{6}-\d{6}-\d|\d{15})\b", None),
+    "bank_account": ("high", r"\b(\d{8,17})\b", None),
+    "address": ("medium", rf"(?i)\b(\d{{1,5}}\s+[A-Za-z][\w\s]{{1,30}}{_STREET}\b(?:[,.\s]+[\w\s]{{1,30}}[,.\s]+[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?\b)?)", None),
+    "url": ("low", r"(?i)(https?://[^\s<>\"']{8,}|\bwww\.[a-z0-9.-]+\.[a-z]{2,}[^\s<>\"']*)", None),
+    "tax_id": ("high", r"\b(9\d{2}-\d{2}-\d{4}|\d{2}-\d{7})\b", None),
+    "vin": ("medium", r"\b((?=[A-Z]*\d)[A-HJ-NPR-Z0-9]{17})\b", None),
+    "national_id": ("high", r"\b([A-Z]{2}\d{7,10}[A-Z]?)\b", None),
+    "passport": ("high", r"\b([A-Z]{1,2}\d{6,9})\b", None),
+    "drivers_license": ("high", r"\b([A-Z]{1,2}\d{5,8}|[A-Z]\d{3}-\d{3}-\d{2}-\d{3}-\d)\b", None),
+    "license_plate": ("low", r"\b((?=[A-Z]{0,4}[\s-]?[A-Z]{0,4}\d)[A-Z0-9]{1,4}[\s-]?[A-Z0-9]{2,4}(?:[\s-]?[A-Z0-9]{1,4})?)\b", None),
 }
+#: Shapes that ordinary words, codes and links have too: only where ``types`` names them.
+PII_ON_REQUEST = ("address", "url", "tax_id", "vin", "national_id", "passport", "drivers_license", "license_plate")
+#: Other names of types in policies.
+PII_ALIASES = {"ip_address": ("ipv4", "ipv6"), "mac_address": ("mac",), "uk_nino": ("nino",), "es_nif": ("nif_es",)}
+
+
+def _pii_types(cfg: dict) -> list[str]:
+    """The types to look for, in the order of PII_TYPES: all that need no request, or those named."""
+    named = cfg.get("types")
+    if named is None:
+        return [k for k in PII_TYPES if k not in PII_ON_REQUEST]
+    wanted = {k for n in named for k in PII_ALIASES.get(n, (n,))}
+    if unknown := wanted - PII_TYPES.keys():
+        raise ValueError(f"unknown types of personal data: {sorted(unknown)}")
+    return [k for k in PII_TYPES if k in wanted]
+
+
+def _partly(kind: str, m: Column) -> Column:
+    """What partial redaction leaves of a match; types without a form of their own give their tag."""
+    tail = lambda n: F.right(F.regexp_replace(m, "[^0-9A-Za-z]", ""), F.lit(n))
+    forms = {
+        "email": lambda: F.concat(F.left(m, F.lit(1)), F.lit("***@"), F.substring_index(m, "@", -1)),
+        "phone": lambda: F.concat(F.lit("(***) ***-"), tail(4)),
+        "ssn": lambda: F.concat(F.lit("***-**-"), tail(4)),
+        "tax_id": lambda: F.concat(F.lit("***-**-"), tail(4)),
+        "credit_card": lambda: F.concat(F.lit("****-****-****-"), tail(4)),
+        "ipv4": lambda: F.concat(F.substring_index(m, ".", 2), F.lit(".x.x")),
+        "iban": lambda: F.concat(F.left(m, F.lit(2)), F.lit("****"), tail(4)),
+        "mac": lambda: F.concat(F.lit("**:**:**:**:**:"), tail(2)),
+        "api_key": lambda: F.concat(F.left(m, F.lit(4)), F.lit("..."), F.right(m, F.lit(4))),
+        "bank_account": lambda: F.concat(F.lit("****"), tail(4)),
+        "passport": lambda: F.concat(F.lit("***"), tail(3)),
+        "drivers_license": lambda: F.concat(F.lit("***"), tail(4)),
+        "vin": lambda: F.concat(F.lit("*" * 13), tail(4)),
+        "license_plate": lambda: F.concat(F.lit("***"), tail(2)),
+        "date_of_birth": lambda: F.lit("**/**/****"),
+    }
+    return forms[kind]() if kind in forms else F.lit(f"[{kind.upper()}]")
 
 
 def _kept(found: Column, guard) -> Column:
@@ -434,30 +539,38 @@ def _each(found: Column, h: Column) -> Column:
     return F.transform(found, lambda m: h)
 
 
-def _replaced(text: Column, items: Column, put: Column) -> Column:
-    return F.aggregate(items, text, lambda acc, m: F.replace(acc, m, put))
+def _replaced(text: Column, items: Column, put) -> Column:
+    return F.aggregate(items, text, lambda acc, m: F.replace(acc, m, put(m)))
 
 
 def pii(t: Text, cfg: dict) -> Column:
     """Personal data by type: every match is a hit, also where types overlap.
 
-    Redaction takes the types in their order; the action words follow their
-    aliases, an unknown one redacts.
+    Redaction takes the types in their order, in full or (redaction_strategy
+    ``partial``) leaving the ends that _partly gives; the action words follow
+    their aliases, an unknown one redacts.
     """
     from guardloom.functions import checksums as ck
 
-    guards = {"luhn": ck.luhn, "ipv4": ck.ipv4, "nif": ck.nif_es}
+    guards = {
+        "luhn": ck.luhn, "ipv4": ck.ipv4, "nif": ck.nif_es, "verhoeff": ck.verhoeff, "nhs": ck.nhs_uk, "bsn": ck.bsn_nl, "ktp": ck.ktp_id, "tfn": ck.tfn_au,
+        "abn": ck.abn_au, "acn": ck.acn_au, "sin": lambda c: ck.luhn(c, 9), "cpf": ck.cpf_br, "cnpj": ck.cnpj_br,
+    }
     word = str(cfg.get("action", "REDACT")).upper()
     action = {"TRANSFORM": "REDACT", "MASK": "REDACT", "ANONYMIZE": "REDACT", "DENY": "BLOCK", "WARN": "ALLOW", "LOG": "ALLOW", "NONE": "ALLOW"}.get(word, word if word in ("REDACT", "BLOCK", "ALLOW") else "REDACT")
+    partial = cfg.get("redaction_strategy", "full") == "partial"
     hits, clean = [], t.raw
-    for kind in cfg.get("types", list(PII_TYPES)):
+    for kind in _pii_types(cfg):
         sev, p, guard = PII_TYPES[kind]
         found = F.regexp_extract_all(t.raw, F.lit(p), 1)
-        if guard:
+        if guard and guard != "any":
             found = _kept(found, guards[guard])
         hits.append(_each(found, hit(f"pii.{kind}", sev, f"Personal data: {kind}")))
         put = f"[{kind.upper()}]"
-        clean = _replaced(clean, F.array_distinct(found), F.lit(put)) if guard else F.regexp_replace(clean, p, put)
+        if guard or partial:
+            clean = _replaced(clean, F.array_distinct(found), (lambda m, k=kind: _partly(k, m)) if partial else (lambda m, put=put: F.lit(put)))
+        else:
+            clean = F.regexp_replace(clean, p, put)
     all_ = F.concat(*hits)
     return by_action("pii", all_, action, sanitized=lambda h: F.when((F.size(h) > 0) & F.lit(action == "REDACT"), clean))
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from guardloom.operators import detectors as d
 from guardloom.operators import layering, metrics, state
 from guardloom.plans import pipeline as pl
 from guardloom.plans import policy as po
@@ -97,6 +98,33 @@ def test_chaining(spark):
     assert v.sanitized == "Ask [EMAIL], see [URL REDACTED]" and v.decision == "REDACT" and v.decided_by == "pii"
 
 
+def test_pii_national_identifiers(spark):
+    cases = {
+        "br_cpf": ("CPF 529.982.247-25 here", "CPF 529.982.247-24 here"),
+        "nl_bsn": ("BSN 111222333 here", "BSN 111222334 here"),
+        "au_tfn": ("TFN 123 456 782 here", "TFN 123 456 789 here"),
+        "au_abn": ("ABN 51 824 753 556 here", "ABN 51 824 753 557 here"),
+        "uk_nhs": ("NHS 943 476 5919 here", "NHS 943 476 5918 here"),
+        "ca_sin": ("SIN 130 692 544 here", "SIN 130 692 545 here"),
+        "in_aadhaar": ("Aadhaar 2341 2341 2346 here", "Aadhaar 2341 2341 2347 here"),
+        "in_pan": ("PAN ABCPD1234E here", "PAN ABCP1234E here"),
+        "imei": ("IMEI 06-184755-866851-3 here", "IMEI 06-184755-86685-3 here"),
+        "passport": ("passport A12345678 here", "passport a few here"),
+    }
+    assert len(set(d.PII_TYPES) - {"ipv6"}) == 68
+    for kind, (good, bad) in cases.items():
+        yes, no = run(spark, "pii", [good, bad], types=[kind])
+        assert yes.rules == [f"pii.{kind}"] and no.rules == [], kind
+        assert yes.sanitized.endswith(f"[{kind.upper()}] here"), kind
+    assert "pii.br_cpf" in run(spark, "pii", ["CPF 529.982.247-25"])[0].rules
+
+
+def test_pii_partial(spark):
+    text = "ann@example.org, 192.0.2.77, 4111 1111 1111 1111, TFN 123 456 782"
+    got = run(spark, "pii", [text], redaction_strategy="partial", types=["email", "ip_address", "credit_card", "au_tfn"])[0]
+    assert got.sanitized == "a***@example.org, 192.0.x.x, ****-****-****-1111, TFN [AU_TFN]"
+
+
 def test_policy_layers():
     tree = {"default": {"pii": {"enabled": True, "action": "REDACT"}}, "tenants": {"t": {"pii": {"action": "BLOCK"}, "apps": {"a": {"bias": {"enabled": True}}}}}}
     got = po.resolve(tree, "t", "a")
