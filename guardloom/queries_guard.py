@@ -138,3 +138,10 @@ def text_entropy_short(spark, sf_dir):
     """Entropy of the short texts, which is where it is a signal."""
     d = _documents(spark, sf_dir).filter("text is not null and length(text) < 100")
     return d.select("doc_id", F.round(tx.entropy(F.col("text")), 4).alias("entropy"))
+
+
+@query()
+def text_entropy(spark, sf_dir):
+    """Entropy of every text, whatever its length; ``text_entropy_short`` is the part that SQL checks."""
+    d = _documents(spark, sf_dir).filter("text is not null")
+    return d.select("doc_id", F.round(tx.entropy(F.col("text")), 4).alias("entropy"))

@@ -22,7 +22,7 @@ from guardloom.session import table
 def join_fingerprints(spark, sf_dir):
     """Documents that share 8-word shingles with the policy notes (the protected texts), by shingle counts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    protected = d.filter("source = 'red_team_prompts'").select(F.col("doc_id").alias("protected_id"), F.col("text").alias("protected_text"))
+    protected = d.filter("source = 'policy_notes'").select(F.col("doc_id").alias("protected_id"), F.col("text").alias("protected_text"))
     return joins.fingerprint_overlap(d, "doc_id", "text", protected, "protected_id", "protected_text")
 
 
