@@ -4,7 +4,7 @@ Tokens and pairs of tokens get log-odds between abusive and other sentences,
 shrunk by a Dirichlet prior that follows their frequency in the corpus. One
 linear scan per text finds every segment whose sum cannot be made larger; the
 extreme-value law of such sums under the corpus's own token scores turns the
-best one into a probability. Seeds and a bounded sample of the texts train it.
+best one into a probability. Seeds train it, against counts over all texts.
 """
 
 from __future__ import annotations
@@ -13,20 +13,24 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardloom.llm.abuse_seeds import ABUSIVE, HARMLESS, phrases
 from guardloom.llm.common import spread
 from guardloom.llm.pii import fold
+from guardloom.session import materialize
 
-#: Texts from which the model is fitted, at most (picked by hash).
+#: Counts over all texts are scaled to what so many texts hold, if there are more: the prior's
+#: weight and the least counts are meant for that size, so the model does not drift with the corpus.
 SAMPLE = 10_000
+#: Distinct sentences and counts that a task keeps before it passes them on.
+HELD = 50_000
 #: Weight of the prior, in tokens.
 PRIOR = 60.0
 #: Log-odds are cut at plus and minus this.
@@ -95,12 +99,16 @@ class Speller:
         return tok
 
     def tokens(self, text: str) -> list[str]:
-        t = fold(text)[0].lower()
-        if not t.isascii():
-            t = _bare(t)
-        t = _SPACED.sub(_joined, _DOTTED.sub(_joined, t))
         word = self.word
-        return [word(x) for x in _TOKEN.findall(t)]
+        return [word(x) for x in as_written(text)]
+
+
+def as_written(text: str) -> list[str]:
+    """Tokens of the folded text, before their spelling is undone."""
+    t = fold(text)[0].lower()
+    if not t.isascii():
+        t = _bare(t)
+    return _TOKEN.findall(_SPACED.sub(_joined, _DOTTED.sub(_joined, t)))
 
 
 # --- model --------------------------------------------------------------------------
@@ -108,7 +116,7 @@ class Speller:
 
 @dataclass
 class Model:
-    """Its size is bounded by the sample's vocabulary."""
+    """Its size is bounded by what SAMPLE texts can hold."""
 
     one: dict  # token -> score
     two: dict  # "a b" -> score
@@ -175,10 +183,13 @@ def _pairs(toks: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(toks, toks[1:])]
 
 
-def _log_odds(bad: Counter, rest: Counter, prior: float) -> dict:
-    """Log-odds of each item between two samples under a Dirichlet prior of its share of both."""
-    total = sum(bad.values()) + sum(rest.values())
-    nb, nr = sum(bad.values()), sum(rest.values())
+def _log_odds(bad: Counter, rest: Counter, prior: float, nr: float | None = None) -> dict:
+    """Log-odds of each item between two samples under a Dirichlet prior of its share of both.
+
+    ``nr``: the size of ``rest``, where it does not list its rarest items.
+    """
+    nb, nr = sum(bad.values()), sum(rest.values()) if nr is None else nr
+    total = nb + nr
     out = {}
     for w in bad.keys() | rest.keys():
         a = prior * (bad[w] + rest[w]) / total + 0.02
@@ -187,12 +198,12 @@ def _log_odds(bad: Counter, rest: Counter, prior: float) -> dict:
     return out
 
 
-def _decay(scores: np.ndarray) -> float:
+def _decay(scores: np.ndarray, counts: np.ndarray | None = None) -> float:
     """The positive root of mean(exp(root * score)) = 1; exists as the mean is negative."""
     lo, hi = 1e-3, 5.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.exp(mid * scores).mean() < 1 else (lo, mid)
+        lo, hi = (mid, hi) if np.average(np.exp(mid * scores), weights=counts) < 1 else (lo, mid)
     return lo
 
 
@@ -250,6 +261,120 @@ def fit(texts: list[str], rounds: int = 1) -> Model:
     return model
 
 
+def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[Counter]:
+    """The sentences of a partition's texts with their counts, in bounded portions."""
+    n: Counter = Counter()
+    for b in batches:
+        for t in b["t"]:
+            n.update(s for s in _SENTENCE.split(t) if s)
+            if len(n) > HELD:
+                yield n
+                n = Counter()
+    yield n
+
+
+def _written_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b, n: tokens (b empty) and pairs of neighbours within a sentence, as written."""
+    n: Counter = Counter()
+
+    def out():
+        return pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["a", "b", "n"])
+
+    for sents in _sentences(batches):
+        for s, k in sents.items():
+            toks = as_written(s)
+            for key in zip(toks, [""] * len(toks)):
+                n[key] += k
+            for key in zip(toks, toks[1:]):
+                n[key] += k
+            if len(n) > 4 * HELD:
+                yield out()
+                n.clear()
+    yield out()
+
+
+def _spelt(words: frozenset, spark) -> Callable[[Column], Column]:
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word = Speller(shared.value).word
+        for s in batches:
+            yield pd.Series([word(x) if x else "" for x in s], dtype=object)
+
+    return run
+
+
+def fit_all(df: DataFrame, text_col: str) -> Model:
+    """The model of ``fit`` with its background counted over all texts, in two passes.
+
+    The first pass adds up tokens and pairs as written; their spelling is
+    undone on the counts. The second adds up the best segments of all sentences
+    for the extreme-value law. With more than SAMPLE texts, counts are scaled to
+    that many; items that then count less than 1 score as unknown, as do those
+    never seen. Up to SAMPLE texts the model is that of ``fit`` on all of them.
+    """
+    spark = df.sparkSession
+    rows = spread(df.select(F.col(text_col).alias("t")).filter("t is not null and t <> ''"))
+    total = df.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).count()
+    scale = min(1.0, SAMPLE / max(total, 1))
+    written = materialize(rows.mapInPandas(_written_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+
+    bad_seeds, good_seeds = phrases(ABUSIVE), phrases(HARMLESS)
+    rough = Speller(frozenset())
+    seeds = frozenset(x for p in bad_seeds + good_seeds for x in rough.tokens(p))
+    words = written.filter("b = ''").select(_spelt(frozenset(), spark)("a").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+    often = [r.w for r in words.filter(F.col("n") * scale >= 5).collect() if _PLAIN.fullmatch(r.w)]
+    speller = Speller(seeds | frozenset(often))
+
+    b1, b2, r1, r2 = Counter(), Counter(), Counter(), Counter()
+    for p in bad_seeds:
+        b1.update(t := speller.tokens(p))
+        b2.update(_pairs(t))
+    for p in good_seeds * 3:
+        r1.update(t := speller.tokens(p))
+        r2.update(_pairs(t))
+    spelt = _spelt(speller.vocabulary, spark)
+    items = materialize(written.select(spelt("a").alias("a"), spelt("b").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    is_pair = F.col("b") != ""
+    sums = items.agg(F.sum(F.when(~is_pair, F.col("n"))).alias("one"), F.sum(F.when(is_pair, F.col("n"))).alias("two")).first()
+    n1, n2 = sum(r1.values()) + scale * (sums.one or 0), sum(r2.values()) + scale * (sums.two or 0)
+    name = F.when(is_pair, F.concat_ws(" ", "a", "b")).otherwise(F.col("a"))
+    known = list({*b1, *r1, *b2, *r2})
+    c1, c2 = Counter(), Counter()
+    for r in items.select(name.alias("k"), is_pair.alias("two"), "n").filter((F.col("n") * scale >= 1) | F.col("k").isin(known)).collect():
+        (c2 if r.two else c1)[r.k] = r.n
+    for c, rest in ((c1, r1), (c2, r2)):
+        for k, n in c.items():
+            rest[k] += n if scale == 1 else n * scale
+    one = _log_odds(b1, r1, PRIOR, n1)
+    two = {w: s for w, s in _log_odds(b2, r2, PRIOR, n2).items() if b2[w] + r2[w] >= 2 and abs(s) > 0.3}
+    hot = frozenset(w for w, s in one.items() if s > 0.5) | frozenset(x for p, s in two.items() if s > 1.5 for x in p.split(" "))
+    model = Model(one, two, 1.0, 0.0, speller.vocabulary, hot)
+
+    # the items of all sentences; the seeds are none of them
+    scored_items = [(one[k], n) for k, n in c1.items()] + [(two[k], n) for k, n in c2.items() if k in two]
+    scored_items.append((UNKNOWN, (sums.one or 0) - sum(c1.values())))
+    scores, counts = np.array(scored_items, dtype=float).T
+    model.decay = _decay(scores, counts) if counts.sum() else _decay(np.array([-1.0]))
+    shared = spark.sparkContext.broadcast(model)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        tokens, got, n = Speller(m.vocabulary).tokens, 0.0, 0
+        for sents in _sentences(batches):
+            for s, k in sents.items():
+                if x := m.items(tokens(s)):
+                    got += k * (m.decay * best_segment(x)[0] - math.log(len(x)))
+                    n += k
+        yield pd.DataFrame({"x": [got], "n": [n]})
+
+    m = rows.mapInPandas(moments, "x double, n bigint").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
+    if m.n:
+        model.log_k = m.x / m.n - 0.5772
+    return model
+
+
 def judge(model: Model, speller: Speller, text: str | None) -> float:
     """The probability of the best segment; 1 for quiet texts."""
     if not text:
