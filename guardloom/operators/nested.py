@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,22 @@ def dewey_nodes(df: DataFrame, key: str, json_col: str, root: Entity) -> DataFra
     return rows.mapInArrow(run, out)
 
 
+def first_field(col: Column | str, root: Entity, name: str) -> Column:
+    """The field ``name`` (snake case) of the first root item, in any shape that dewey_nodes reads."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text):
+            x = _decoded(text)
+            first = next((v for i, v in _items(root, x) if i == 0), {}) if isinstance(x, (list, dict)) else {}
+            v = next((v for k, v in first.items() if snake(k) == name and v is not None), None)
+            return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+        return pd.Series([one(t) for t in s], dtype=object)
+
+    return run(col)
+
+
 def dewey_text(col: Column | str) -> Column:
     """A label as sortable text, ``00002.00000``."""
     c = F.col(col) if isinstance(col, str) else col

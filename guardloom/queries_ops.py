@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guardloom.functions import checksums as ck
 from guardloom.functions import text as tx
-from guardloom.operators import agentic, hooks, joins, layering, metrics, quality
+from guardloom.operators import agentic, hooks, joins, layering, metrics, nested, quality
 from guardloom.operators.detectors import equations, valence
 from guardloom.operators.hits import rank, rank_sql
 from guardloom.plans import policy as po
@@ -152,7 +152,7 @@ def stub_model_scores(spark, sf_dir):
 @query()
 def quality_scores(spark, sf_dir):
     """Scores of every model output against the text that was sent in."""
-    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", F.get_json_object("stages", "$[0].input_text").alias("q"), F.coalesce("final_output", F.lit("")).alias("a"))
+    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("q"), F.coalesce("final_output", F.lit("")).alias("a"))
     q = F.coalesce("q", F.lit(""))
     return t.select(
         "trace_no", quality.groundedness(F.col("a"), F.array(q)).alias("groundedness"), quality.relevance(q, F.col("a")).alias("relevance"), quality.coherence(F.col("a")).alias("coherence"),
@@ -248,7 +248,7 @@ def schema_field_errors(spark, sf_dir):
 @query()
 def round_trips(spark, sf_dir):
     """Each trace's prompt and output under a small policy, guarded in order."""
-    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", F.get_json_object("stages", "$[0].input_text").alias("prompt"), F.col("final_output").alias("answer"))
+    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("prompt"), F.col("final_output").alias("answer"))
     policy = {n: {"enabled": True} for n in ("secrets", "exfiltration", "jailbreak", "toxicity", "pii")}
     x = round_trip(t, "prompt", "answer", policy)
     return x.select("trace_no", F.col("input_verdict.decision").alias("input_decision"), F.col("output_verdict.decision").alias("output_decision"), "final_decision", F.sha2(F.coalesce("final_output_shown", F.lit("")), 256).alias("shown_sha256"))

@@ -59,6 +59,13 @@ def test_p6_edges(spark):
     assert empty.count() == 0
 
 
+def test_first_prompt_in_every_shape(spark):
+    docs = ['[{"input_text": "q"}]', '{"stages": [{"inputText": "q"}]}', '"[{\\"input_text\\": \\"q\\"}]"', '{"input": {"input_text": "q"}, "output": {}}', '[null, {"input_text": "no"}]', "no json", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "n bigint, stages string")
+    got = df.select("n", nested.first_field("stages", nested.STAGES, "input_text").alias("q")).orderBy("n").collect()
+    assert [r.q for r in got] == ["q"] * 4 + [None] * 3
+
+
 def test_parents_exist(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/round_trip_traces.parquet")
     n = nested.dewey_nodes(t, "trace_no", "stages", nested.STAGES)
