@@ -34,6 +34,8 @@ SURE = 0.7
 KEEP = 0.995
 #: A cosine above this is never a rejection, however tight a centroid's own sentences lie.
 NEAR = 0.08
+#: A sentence with a code character for so many words, and two or more in all, is code.
+CODE = 5
 #: Softness of the confidence.
 HEAT = 25.0
 
@@ -92,6 +94,7 @@ _BREAK = re.compile(r"(?<=[.!?…])[\"'»)\]]*\s+|\n+|(?<=[。！？])")
 _MARKS = re.compile(r"[@{<\[]|://")
 _NOISE = re.compile(r"\{[^{}]*\}|<[^<>]*>|\S+@\S+|https?://\S+|\[[^\[\]]*\]")
 _CODE = re.compile(r"[{}\[\]<>=;|\\/_$#*~^]")
+_MASK = re.compile(r"(?<=\w)\*+|\*+(?=\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ一-鿿가-힯]")
 
@@ -104,7 +107,8 @@ def sentences(text: str) -> list[str]:
             continue
         if _MARKS.search(s):
             s = _NOISE.sub(" ", s)
-        if len(_CODE.findall(s)) >= 2:
+        signs = len(_CODE.findall(s))
+        if signs >= 2 and (signs := len(_CODE.findall(_MASK.sub("", s)))) >= 2 and signs * CODE >= len(s.split()):
             continue
         words = _WORD.findall(one_script(s))
         letters = sum(map(len, words))

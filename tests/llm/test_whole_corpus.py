@@ -2,7 +2,7 @@
 
 import pytest
 
-from guardloom.llm import abuse
+from guardloom.llm import abuse, langid
 
 DATA = "/root/testdata/sf0.01"
 
@@ -20,3 +20,9 @@ def test_background_counts_all_texts(spark, monkeypatch):
     tenfold = abuse.fit_all(spark.createDataFrame([(x,) for x in texts * 10], "text string"), "text")
     assert tenfold.vocabulary == got.vocabulary
     assert tenfold.one == pytest.approx(got.one) and tenfold.log_k == pytest.approx(got.log_k)
+
+
+def test_masked_words_are_no_code():
+    assert len(langid.sentences("Das ist doch wirklich v*rd*mmt noch einmal zu viel.")) == 1
+    assert len(langid.sentences("Please send the forms and/or letters to the office at 3 km/h or slower today.")) == 1
+    assert langid.sentences("SELECT * FROM users WHERE id = 1;") == []
