@@ -57,19 +57,28 @@ def _width_variants() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
-def _table() -> tuple[str, str, dict[str, str]]:
+def _table() -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """Characters and what each becomes, ligatures, and by mark the composed letters that keep it apart."""
     one, many = _width_variants()
+    marked: dict[str, str] = {}
     for part in (LOOKALIKES, PUNCTUATION):
         for src, dst in part.items():
             assert len(src) == len(dst), (src, dst)
             one.update(zip(src, dst))
+    for cp in [*range(0x0370, 0x0590), *range(0x1F00, 0x2000)]:  # composed look-alikes, as their decomposition maps
+        d = unicodedata.normalize("NFD", chr(cp))
+        if d[1:] and d[0] in one:
+            to = unicodedata.normalize("NFC", one[d[0]] + d[1:])
+            one[chr(cp)] = to if len(to) == 1 else one[d[0]]
+            if len(to) > 1:
+                marked[d[1:]] = marked.get(d[1:], "") + chr(cp)
     one.update({c: " " for c in BLANKS})
     for c, to in list(one.items()):  # a width variant of a look-alike, in one step
         one[c] = one.get(to, to)
-    return "".join(one), "".join(one.values()), many
+    return "".join(one), "".join(one.values()), many, marked
 
 
-_FROM, _TO, _LIGATURES = _table()
+_FROM, _TO, _LIGATURES, _MARKED = _table()
 
 
 def _invisible() -> str:
@@ -93,7 +102,11 @@ def skeleton(col: Column | str) -> Column:
     texts skip the tables.
     """
     c = F.col(col) if isinstance(col, str) else col
-    s = F.translate(c, _FROM + _GONE, _TO)  # characters without a counterpart are deleted
+    kept = c
+    for marks, letters in _MARKED.items():
+        kept = F.regexp_replace(kept, f"([{letters}])", f"$1{marks}")
+    kept = F.when(c.rlike("[" + "".join(_MARKED.values()) + "]"), kept).otherwise(c)
+    s = F.translate(kept, _FROM + _GONE, _TO)  # characters without a counterpart are deleted
     s = F.when(c.rlike(_ASTRAL_INVISIBLE), F.regexp_replace(s, _ASTRAL_INVISIBLE, "")).otherwise(s)
     few = "[" + "".join(_LIGATURES) + "]"
     spelt = s

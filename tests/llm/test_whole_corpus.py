@@ -2,7 +2,7 @@
 
 import pytest
 
-from guardloom.llm import abuse, langid
+from guardloom.llm import abuse, langid, lookalike
 
 DATA = "/root/testdata/sf0.01"
 
@@ -26,3 +26,10 @@ def test_masked_words_are_no_code():
     assert len(langid.sentences("Das ist doch wirklich v*rd*mmt noch einmal zu viel.")) == 1
     assert len(langid.sentences("Please send the forms and/or letters to the office at 3 km/h or slower today.")) == 1
     assert langid.sentences("SELECT * FROM users WHERE id = 1;") == []
+
+
+def test_composed_and_decomposed_lookalikes(spark):
+    pairs = [("\u0435\u0308\u043b\u043a\u0430", "\u0451\u043b\u043a\u0430"), ("\u0415\u0308\u0436", "\u0401\u0436"), ("\u0456\u0308\u0436\u0430", "\u0457\u0436\u0430"), ("\u0443\u0306\u0436", "\u045e\u0436"), ("\u03bf\u0301\u03c7\u03b9", "\u03cc\u03c7\u03b9")]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = lookalike.same_look_pairs(spark.createDataFrame(rows, "n bigint, text string"), "n", "text").collect()
+    assert {(r.n_a, r.n_b) for r in got} == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
