@@ -163,9 +163,9 @@ def first_field(col: Column | str, root: Entity, name: str) -> Column:
 
 
 def dewey_text(col: Column | str) -> Column:
-    """A label as sortable text, ``00002.00000``."""
+    """A label as text, ``00002.00000``; sortable up to 99999, longer ordinals are whole."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.array_join(F.transform(c, lambda i: F.lpad(i.cast("string"), 5, "0")), ".")
+    return F.array_join(F.transform(c, lambda i: F.when(i > 99_999, i.cast("string")).otherwise(F.lpad(i.cast("string"), 5, "0"))), ".")
 
 
 def parent_of(dewey: Column | str) -> Column:

@@ -66,6 +66,11 @@ def test_first_prompt_in_every_shape(spark):
     assert [r.q for r in got] == ["q"] * 4 + [None] * 3
 
 
+def test_long_ordinals_stay_apart(spark):
+    df = spark.createDataFrame([([10_000],), ([100_000],), ([2, 0],)], "d array<int>")
+    assert [r.t for r in df.select(nested.dewey_text("d").alias("t")).collect()] == ["10000", "100000", "00002.00000"]
+
+
 def test_parents_exist(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/round_trip_traces.parquet")
     n = nested.dewey_nodes(t, "trace_no", "stages", nested.STAGES)
