@@ -5,6 +5,8 @@ Each takes and returns columns; null in gives null out unless said otherwise.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,19 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def words(*w: str) -> Column:
+    """The words as an array literal; one expression however many there are."""
+    return F.split(F.lit("\n".join(w)), "\n") if w else F.array().cast("array<string>")
+
+
+def hmac_sha256(c: Column, key: str | bytes) -> Column:
+    """HMAC-SHA256 of the text under a key, as 64 hex digits; two plain digests, so it stays in the JVM."""
+    k = key.encode() if isinstance(key, str) else key
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = bytearray(x ^ 0x36 for x in k), bytearray(x ^ 0x5C for x in k)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(c, "utf-8")), 256))), 256)
+
+
 def plain(c: Column) -> Column:
     """Lower case, without invisible characters, widths and look-alike letters undone."""
     return F.lower(F.translate(F.regexp_replace(c, INVISIBLE, ""), FOLD_FROM, FOLD_TO))
@@ -60,7 +75,7 @@ def tokens_sql(c: str) -> str:
 
 def sentences(c: Column, longer_than: int = 0) -> Column:
     """Parts that end in . ! or ? and a blank; trimmed, empty ones and short ones left out."""
-    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x))
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 
@@ -104,14 +119,8 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Character trigrams in order."""
-    none = F.array().cast("array<string>")
-
-    def of(s: Column) -> Column:
-        k = F.length(s) - F.lit(2)
-        return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(s, i, F.lit(3)))).otherwise(none)
-
-    return let(c, of)
+    """Character trigrams in order, by one scan with a lookahead."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1)
 
 
 def overlap(a: Column, b: Column) -> Column:

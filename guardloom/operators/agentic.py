@@ -1,7 +1,7 @@
-"""Detectors that also read the request's metadata (a JSON column).
+"""Detectors that also read the request's metadata.
 
-The blocks they know are parsed with fixed schemas; what is absent or of
-another type reads as null.
+``m`` is the metadata column parsed once by ``meta``: the blocks that detectors
+know have fixed schemas; what is absent or of another type reads as null.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def content_words(c: Column) -> Column:
 def hallucination(t: Text, cfg: dict, m: Column) -> Column:
     """Sentences against the sources: token overlap below the threshold is weak, below 0.6 of it ungrounded."""
     limit, least = cfg.get("threshold", 0.5), cfg.get("min_claim_words", 3)
-    x = meta(m)
+    x = m
     sources = F.concat(
         F.when(x["source_context"].isNotNull(), F.array(x["source_context"])).otherwise(F.array().cast("array<string>")),
         F.coalesce(F.transform(x["grounding_sources"], lambda s: F.coalesce(s["text"], s["content"], s["snippet"], F.lit(""))), F.array().cast("array<string>")),
@@ -74,7 +74,7 @@ def hallucination(t: Text, cfg: dict, m: Column) -> Column:
 
 def citation_integrity(t: Text, cfg: dict, m: Column) -> Column:
     """Cited numbers, URLs and quotes against the grounding sources (an anti-join within the row)."""
-    x = meta(m)
+    x = m
     given = F.coalesce(x["grounding_sources"], F.array().cast("array<struct<url:string,source_id:string,id:string,text:string,content:string,snippet:string>>"))
     n = F.size(given)
     numbers = F.array_distinct(F.regexp_extract_all(t.raw, F.lit(r"\[(\d{1,3})\]"), 1))
@@ -93,14 +93,14 @@ def citation_integrity(t: Text, cfg: dict, m: Column) -> Column:
 
 
 def shingle_digests(c: Column, key: str = "", n: int = 8) -> Column:
-    """Keyed digests of n-token shingles: sha256 over key and shingle, 32 hex digits, distinct."""
-    return F.array_distinct(F.transform(tx.ngrams(tx.tokens(c), n), lambda g: F.substring(F.sha2(F.concat(F.lit(key + "|"), g), 256), 1, 32)))
+    """Keyed digests of n-token shingles: HMAC-SHA256, 32 hex digits, distinct."""
+    return F.transform(F.array_distinct(tx.ngrams(tx.tokens(c), n)), lambda g: F.substring(tx.hmac_sha256(g, key), 1, 32))
 
 
 def system_prompt_leakage(t: Text, cfg: dict, m: Column) -> Column:
     """Output that shares shingles with a registered prompt."""
-    known = F.coalesce(meta(m)["system_prompt_fingerprints"], F.array().cast("array<string>"))
-    fixed = F.array(*[F.lit(x) for x in cfg.get("fingerprints", [])]).cast("array<string>")
+    known = F.coalesce(m["system_prompt_fingerprints"], F.array().cast("array<string>"))
+    fixed = tx.words(*cfg.get("fingerprints", []))
     shared = F.size(F.array_intersect(shingle_digests(t.raw, cfg.get("key", "")), F.concat(known, fixed)))
     hits = hits_of(F.when(shared >= cfg.get("match_threshold", 2), hit("system_prompt.leak", "high", "Repeats a registered prompt")))
     return by_action("system_prompt_leakage", hits, cfg.get("action", "BLOCK"))
@@ -108,7 +108,7 @@ def system_prompt_leakage(t: Text, cfg: dict, m: Column) -> Column:
 
 def tenant_scope_assertion(t: Text, cfg: dict, m: Column) -> Column:
     """Chunks of other tenants, chunks without an owner, filters applied after the query."""
-    x = meta(m)
+    x = m
     chunks = F.coalesce(x["retrieval"]["chunks"], F.array().cast("array<struct<tenant_id:string,score:double,score_kind:string,content:string>>"))
     foreign = F.filter(chunks, lambda c: c["tenant_id"].isNotNull() & (c["tenant_id"] != x["tenant_id"]))
     hits = F.concat(
@@ -126,7 +126,7 @@ def retrieval_jamming(t: Text, cfg: dict, m: Column) -> Column:
     """Chunks that make the answer fail: refusals, suppression, no content, one chunk that outranks the rest."""
     refusals = ["i cannot answer", "i can't answer", "i am unable to", "no information is available", "i cannot help", "this question cannot be answered", "i must decline", "not allowed to answer"]
     n = reduce(lambda a, b: a + b, [F.when(t.plain.contains(r), 1).otherwise(0) for r in refusals])
-    chunks = F.coalesce(meta(m)["retrieval"]["chunks"], F.array().cast("array<struct<tenant_id:string,score:double,score_kind:string,content:string>>"))
+    chunks = F.coalesce(m["retrieval"]["chunks"], F.array().cast("array<struct<tenant_id:string,score:double,score_kind:string,content:string>>"))
     far = F.exists(chunks, lambda c: c["score_kind"] == "distance")
     scores = F.array_sort(F.filter(F.transform(chunks, lambda c: c["score"]), lambda s: s.isNotNull() & ~F.isnan(s)))
     k = F.size(scores)
@@ -161,15 +161,16 @@ def excessive_agency(t: Text, cfg: dict, m: Column) -> Column:
 
 
 def approval_token(action: Column, by: Column, at: Column, key: str) -> Column:
-    """What a signed approval carries: sha256 over key, action digest, approver and time."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.sha2(action, 256), by, at.cast("bigint").cast("string")), 256)
+    """What a signed approval carries: HMAC over the action's digest, approver and time."""
+    return tx.hmac_sha256(F.concat_ws("|", F.sha2(action, 256), by, at.cast("bigint").cast("string")), key)
 
 
 def human_approval_gate(t: Text, cfg: dict, m: Column) -> Column:
     """Gated categories need an approval by a named person, signed where a key is configured."""
-    x = meta(m)["approval"]
+    x = m["approval"]
     spaced = F.regexp_replace(t.plain, r"[_\-\"{}\[\]:,]+", " ")
-    gated = [r for r in rb.AGENCY if r.severity == "high"][: cfg.get("gated", 4)]
+    names = cfg.get("gated_categories")
+    gated = [r for r in rb.AGENCY if (r.rule_id.rpartition(".")[2] in names if names is not None else r.severity == "high")]
     wanted = scan(spaced, tx.tokens(spaced), gated)
     named = F.coalesce(x["approved_by"], F.lit("")) != ""
     ok = F.coalesce(x["approved"], F.lit(False))
@@ -190,7 +191,7 @@ def non_negative(c: Column) -> Column:
 
 def unbounded_consumption(t: Text, cfg: dict, m: Column) -> Column:
     """Limits of one request; sums over sessions come by the keyed state. 50 a hit."""
-    u = meta(m)["usage"]
+    u = m["usage"]
     step = u["agent_step"]
     tokens, thinking = non_negative(u["tokens"]), non_negative(u["thinking_tokens"])
     cap = F.least(F.lit(cfg.get("max_iterations", 50)), F.coalesce(F.when(step["max_iterations"] > 0, step["max_iterations"]), F.lit(cfg.get("max_iterations", 50))))
@@ -207,12 +208,12 @@ def unbounded_consumption(t: Text, cfg: dict, m: Column) -> Column:
 
 def corpus_poisoning_monitor(t: Text, cfg: dict, m: Column) -> Column:
     """Written documents that claim authority, repeat a question or carry more trust than their source."""
-    c = meta(m)["corpus"]
+    c = m["corpus"]
     claims = reduce(lambda a, b: a + b, [F.when(t.plain.contains(p), 1).otherwise(0) for p in ("official answer", "the only correct answer", "authoritative source", "this document supersedes", "verified by the vendor")])
-    questions = F.filter(F.transform(F.split(t.plain, r"(?<=[?])|[.!\n]+"), F.trim), lambda s: s.endswith("?"))
+    questions = F.filter(F.transform(F.split(F.replace(t.plain, F.lit("?"), F.lit("?\n")), r"[.!\n]+"), lambda x: F.trim(x)), lambda s: s.endswith("?"))
     most = most_repeats(questions)
-    low = F.arrays_overlap(tx.tokens(c["source_trust"]), F.array(*map(F.lit, ("untrusted", "public", "external", "user", "unknown", "low"))))
-    high = F.arrays_overlap(tx.tokens(c["corpus_trust"]), F.array(*map(F.lit, ("trusted", "curated", "internal", "verified", "high"))))
+    low = F.arrays_overlap(tx.tokens(c["source_trust"]), tx.words("untrusted", "public", "external", "user", "unknown", "low"))
+    high = F.arrays_overlap(tx.tokens(c["corpus_trust"]), tx.words("trusted", "curated", "internal", "verified", "high"))
     hits = hits_of(
         F.when(claims >= cfg.get("authority", 1), hit("corpus.authority", "high", "Claims authority")),
         F.when(most >= cfg.get("question_repeats", 3), hit("corpus.question_stuffing", "high", "Repeats a question")),
@@ -222,7 +223,7 @@ def corpus_poisoning_monitor(t: Text, cfg: dict, m: Column) -> Column:
 
 
 def reasoning_trace_disclosure(t: Text, cfg: dict, m: Column) -> Column:
-    x = meta(m)["trace"]
+    x = m["trace"]
     long_ = F.length(x["reasoning_trace"]) >= cfg.get("min_trace", 40)
     env = F.lower(F.coalesce(x["env"], F.lit("")))
     gated = env.isin("prod", "production", "live", "")
@@ -236,8 +237,8 @@ def reasoning_trace_disclosure(t: Text, cfg: dict, m: Column) -> Column:
 
 
 def multimodal_injection(t: Text, cfg: dict, m: Column) -> Column:
-    """Instructions in what was extracted from attachments; media that nothing was extracted from."""
-    given = F.slice(F.coalesce(meta(m)["attachments"], F.array().cast("array<struct<type:string,extracted_text:string,transcript:string>>")), 1, 32)
+    """Instructions in what was extracted from attachments, of all of them; media that nothing was extracted from."""
+    given = F.coalesce(m["attachments"], F.array().cast("array<struct<type:string,extracted_text:string,transcript:string>>"))
     text = lambda a: F.concat_ws(" ", a["extracted_text"], a["transcript"])
     joined = F.array_join(F.transform(given, text), "\n")
     plain = tx.plain(joined)
@@ -252,7 +253,7 @@ def multimodal_injection(t: Text, cfg: dict, m: Column) -> Column:
 
 
 def semantic_cache_integrity(t: Text, cfg: dict, m: Column) -> Column:
-    x = meta(m)
+    x = m
     c = x["semantic_cache"]
     on = F.coalesce(c["hit"], F.lit(False))
     foreign = on & c["tenant_id"].isNotNull() & (c["tenant_id"] != x["tenant_id"])
@@ -269,7 +270,7 @@ def semantic_cache_integrity(t: Text, cfg: dict, m: Column) -> Column:
 
 def tools(t: Text, cfg: dict, m: Column) -> Column:
     """One tool call against the rules, which stop at the first failure. Blocks, risk 40."""
-    x = meta(m)
+    x = m
     name, args = x["tool_name"], x["tool_args"]
     allowed, denied, domains = cfg.get("allowed"), cfg.get("denied", []), cfg.get("domain_allowlist")
     values = F.coalesce(F.map_values(args), F.array().cast("array<string>"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from guardloom.functions.text import words
 from guardloom.operators.hits import hit, hits_of
 
 
@@ -41,11 +42,11 @@ def scan(plain: Column, tokens: Column, bank: Iterable[Rule]) -> Column:
     for r in bank:
         ok = plain.rlike(r.pattern)
         if r.words:
-            ok = F.arrays_overlap(tokens, F.array(*map(F.lit, r.words))) & ok
+            ok = F.arrays_overlap(tokens, words(*r.words)) & ok
         found.append(F.when(ok, hit(r.rule_id, r.severity, r.message)))
     hits = hits_of(*found)
     if all(r.words for r in bank) and bank:
-        hits = F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, all_words))), hits).otherwise(hits_of())
+        hits = F.when(F.arrays_overlap(tokens, words(*all_words)), hits).otherwise(hits_of())
     return hits
 
 

@@ -23,10 +23,6 @@ class Text:
     tokens: Column
 
 
-def _words(*w: str) -> Column:
-    return F.array(*map(F.lit, w))
-
-
 def _bank(name: str, bank, threshold: int, needs_block_action: bool):
     def run(t: Text, cfg: dict) -> Column:
         hits = scan(t.plain, t.tokens, bank)
@@ -78,7 +74,13 @@ def secrets(t: Text, cfg: dict) -> Column:
 
 
 def gibberish(t: Text, cfg: dict) -> Column:
-    """Unnatural text: invisible characters, entropy, symbols, repeats, letters, unknown words."""
+    """Unnatural text: invisible characters, entropy, symbols, repeats, letters, unknown words.
+
+    Words count as known by the frequent words of the languages in
+    ``rb.FREQUENT``; the rule leaves out texts of other scripts and JSON. Where a
+    repeated word is all there is, prose is warned about, not blocked, unless
+    ``repetition_blocks``.
+    """
     least = cfg.get("min_length", 10)
     dense = F.regexp_replace(t.raw, r"\s+", "")
     letters = F.regexp_replace(t.plain, "[^a-z]", "")
@@ -86,16 +88,25 @@ def gibberish(t: Text, cfg: dict) -> Column:
     ratio = (F.length(letters) - vowels) / F.greatest(vowels, F.lit(1))
     special = tx.share_of(t.raw, r"[\p{L}\p{N}\s]")
     most = most_repeats(F.filter(F.split(F.lower(t.raw), r"\s+"), lambda w: F.length(w) > 2))
-    known = F.size(F.filter(t.tokens, lambda w: w.isin(rb.CLOUD_WORDS))) / F.greatest(F.size(t.tokens), F.lit(1))
+    words = F.filter(F.split(t.plain, r"[^\p{L}]+"), lambda w: w != "")
+    known = let(words, lambda ws: F.size(F.filter(ws, lambda w: w.isin(rb.FREQUENT_WORDS))) / F.greatest(F.size(ws), F.lit(1)))
+    latin = F.length(F.regexp_replace(t.raw, r"[^\p{IsLatin}]", ""))
+    prose = (latin > 30) & (latin * 2 > F.length(dense)) & ~t.raw.rlike(r"^\s*[{\[]")
     hits = hits_of(
         F.when(t.raw.rlike(tx.INVISIBLE), hit("gibberish.invisible", "high", "Characters that draw nothing")),
         F.when((F.length(dense) > 20) & (tx.entropy(dense) > cfg.get("entropy", 5.5)), hit("gibberish.entropy", "medium", "Entropy above the limit")),
         F.when(1 - special > cfg.get("special_ratio", 0.4), hit("gibberish.excessive_special_chars", "medium", "Mostly signs")),
         F.when(most >= cfg.get("repetition", 5), hit("gibberish.token_stuffing", "medium", "A word repeats")),
         F.when((F.length(letters) > 20) & ((ratio > 6) | ((ratio > 0) & (ratio < 0.3))), hit("gibberish.incoherent", "medium", "Unusual mix of vowels and consonants")),
-        F.when((F.length(letters) > 30) & (F.length(letters) * 2 > F.length(dense)) & (known < cfg.get("known_ratio", 0.02)), hit("gibberish.no_recognizable_words", "high", "Hardly any known word")),
+        F.when(prose & (known < cfg.get("known_ratio", 0.08)), hit("gibberish.no_recognizable_words", "high", "Hardly any known word")),
     )
-    return by_action("gibberish", F.when(F.length(t.raw) >= least, hits).otherwise(no_hits()), cfg.get("action", "BLOCK"))
+    action = cfg.get("action", "BLOCK")
+
+    def decide(h: Column) -> Column:
+        only = (F.size(h) == 1) & (F.get(h, F.lit(0))["rule_id"] == "gibberish.token_stuffing") & F.lit(not cfg.get("repetition_blocks", False))
+        return result("gibberish", F.when(F.size(h) == 0, "ALLOW").when(only & F.lit(action == "BLOCK"), "WARN").otherwise(action), hit_risk(h), h)
+
+    return let(F.when(F.length(t.raw) >= least, hits).otherwise(no_hits()), decide)
 
 
 #: Frequent trigrams of some Latin-script languages.
@@ -118,7 +129,7 @@ def language(t: Text, cfg: dict) -> Column:
     share = {k: F.length(F.regexp_replace(t.raw, f"[^{v}]", "")) / n for k, v in scripts.items()}
     by_script = F.coalesce(*[F.when(share[k] > 0.3, F.lit(k)) for k in ("ja", "zh", "ru", "ar", "el", "he", "hi", "ko")])
     tri = F.array_distinct(tx.trigrams(F.regexp_replace(t.plain, "[^a-zà-ÿ]+", " ")))
-    scored = F.array(*[F.struct(F.size(F.array_intersect(tri, F.array(*[F.lit(x) for x in _cut(v)]))).alias("s"), F.lit(k).alias("l")) for k, v in TRIGRAMS.items()])
+    scored = F.array(*[F.struct(F.size(F.array_intersect(tri, tx.words(*_cut(v)))).alias("s"), F.lit(k).alias("l")) for k, v in TRIGRAMS.items()])
     best = F.array_max(scored)
     confidence = F.when(by_script.isNotNull(), F.least(F.lit(1.0), F.greatest(*share.values()) + 0.2)).otherwise(F.least(F.lit(1.0), best["s"] / 6.0))
     lang = F.when(confidence >= cfg.get("min_confidence", 0.5), F.coalesce(by_script, best["l"])).otherwise("unknown")
@@ -146,7 +157,7 @@ def topic_restriction(t: Text, cfg: dict) -> Column:
     def mentions(name: str) -> Column:
         strong, broad = rb.TOPICS.get(name, ("", ""))
         strong = [*strong.split(), *cfg.get("custom_synonyms", {}).get(name, [])]
-        return F.arrays_overlap(t.tokens, _words(*strong)) | (F.size(F.array_intersect(t.tokens, _words(*broad.split()))) >= 2)
+        return F.arrays_overlap(t.tokens, tx.words(*strong)) | (F.size(F.array_intersect(t.tokens, tx.words(*broad.split()))) >= 2)
 
     if wanted:
         none = ~reduce(lambda a, b: a | b, [mentions(x) for x in wanted])
@@ -165,7 +176,7 @@ def toxicity(t: Text, cfg: dict) -> Column:
     found = []
     for cat, (sev, force, terms) in rb.TOXIC.items():
         words = [*terms.split(), *(cfg.get("custom_terms", []) if cat == "insult" else [])]
-        ok = reduce(lambda a, b: a | b, [F.arrays_overlap(f, _words(*words)) for f in forms]) if words else F.lit(False)
+        ok = reduce(lambda a, b: a | b, [F.arrays_overlap(f, tx.words(*words)) for f in forms]) if words else F.lit(False)
         if cat in rb.TOXIC_PHRASES:
             ok = ok | t.plain.rlike(rb.TOXIC_PHRASES[cat])
         found.append(F.when(ok, hit(f"toxicity.{cat}", sev, f"Toxic language: {cat}")))
@@ -197,7 +208,7 @@ def bias(t: Text, cfg: dict) -> Column:
             before = F.substring(t.plain, F.greatest(at - 80, F.lit(1)), F.least(at - 1, F.lit(80)))
             denied = before.rlike(rb.NEGATION)
             sev = F.when(denied, "low").otherwise(r.severity)
-            ok = F.arrays_overlap(t.tokens, _words(*r.words)) & (at > 0) & ~(denied & F.lit(r.severity == "medium")) & sev.isin(keep)
+            ok = F.arrays_overlap(t.tokens, tx.words(*r.words)) & (at > 0) & ~(denied & F.lit(r.severity == "medium")) & sev.isin(keep)
             found.append(F.when(ok, hit(r.rule_id, sev, r.message)))
     hits = hits_of(*found)
     return by_action("bias", hits, "BLOCK" if cfg.get("action") == "BLOCK" else "WARN")
@@ -209,7 +220,7 @@ def valence(tokens: Column) -> Column:
     scored = F.transform(
         tokens,
         lambda w, i: table[w]
-        * F.when(F.arrays_overlap(F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), _words(*rb.NEGATORS)) & (i > 0), -0.5).otherwise(1.0)
+        * F.when(F.arrays_overlap(F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), tx.words(*rb.NEGATORS)) & (i > 0), -0.5).otherwise(1.0)
         * F.when((i > 0) & F.get(tokens, i - 1).isin(rb.BOOSTERS), 1.5).otherwise(1.0),
     )
     def mean(known: Column) -> Column:
@@ -220,7 +231,7 @@ def valence(tokens: Column) -> Column:
 
 
 def sentiment(t: Text, cfg: dict) -> Column:
-    tones = [F.when(F.arrays_overlap(t.tokens, _words(*rb.TONES[x].split())), hit(f"sentiment.{x}", "medium", f"Tone: {x}")) for x in cfg.get("blocked_tones", list(rb.TONES))]
+    tones = [F.when(F.arrays_overlap(t.tokens, tx.words(*rb.TONES[x].split())), hit(f"sentiment.{x}", "medium", f"Tone: {x}")) for x in cfg.get("blocked_tones", list(rb.TONES))]
     low = F.when(valence(t.tokens) < cfg.get("min_sentiment", -0.3), hit("sentiment.excessively_negative", "medium", "Mostly negative words"))
     hits = F.when(F.length(t.raw) >= cfg.get("min_length", 15), hits_of(*tones, low)).otherwise(no_hits())
     return by_action("sentiment", hits, cfg.get("action", "WARN"))
@@ -231,7 +242,7 @@ def compliance(t: Text, cfg: dict) -> Column:
     hits, notes = [], []
     for industry in cfg.get("industries", list(rb.COMPLIANCE)):
         words, bank, note = rb.COMPLIANCE[industry]
-        topic = F.arrays_overlap(t.tokens, _words(*words.split()))
+        topic = F.arrays_overlap(t.tokens, tx.words(*words.split()))
         lacking = topic & ~t.plain.contains(note.lower())
         hits.append(F.when(topic, scan(t.plain, t.tokens, bank)).otherwise(no_hits()))
         hits.append(hits_of(F.when(lacking, hit(f"compliance.{industry}.disclaimer", "medium", "The disclaimer is missing"))))
@@ -577,7 +588,7 @@ def pii(t: Text, cfg: dict) -> Column:
 
 def abuse(t: Text, cfg: dict) -> Column:
     """Payload length and repeated phrases; rates and floods come by the keyed state. 30 a hit."""
-    parts = F.filter(F.transform(F.split(t.plain, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(t.plain, r"[.!?\n]+"), lambda x: F.trim(x)), lambda s: s != "")
     most = most_repeats(parts)
     hits = hits_of(
         F.when(F.length(t.raw) > cfg.get("max_chars", 100_000), hit("abuse.payload", "high", "The text is too long")),

@@ -205,4 +205,15 @@ TOXIC_PHRASES = {
 SHORTENERS = "bit.ly tinyurl.com t.co goo.gl ow.ly is.gd buff.ly cutt.ly rb.gy".split()
 RISKY_TLDS = "zip mov top xyz click country gq tk ml cf work".split()
 POPULAR = "google.com paypal.com microsoft.com apple.com amazon.com facebook.com netflix.com github.com dropbox.com linkedin.com".split()
-CLOUD_WORDS = "the and of to in is are for with that this from not you all was have on by as it be or at we can will an our your one".split()
+#: Frequent words of some languages in Latin script, by which text is told from noise.
+FREQUENT = {
+    "en": "the and of to in is are for with that this from not you all was have on by as it be or at we can will an our your which has its no if any but when who more each than do out",
+    "de": "der die das und ist nicht ein eine ich sie wir es den dem mit für auf von zu im in wie uns wo kann",
+    "fr": "le la les de des du et un une est pas que qui je nous vous il pour dans sur avec au ne en",
+    "es": "el la los las de del y un una es no que se por para con nos me en al hay lo muy como",
+    "it": "il la le di del e un una è non che si per con mi ci da in al",
+    "pt": "o a os as de do da e um uma não que se por para com nos em ao",
+    "nl": "de het een en is niet van ik wij we u dat voor op met te in er aan",
+    "pl": "i w na nie się jest z do że to co jak nam czy od po mi za dla",
+}
+FREQUENT_WORDS = sorted({w for v in FREQUENT.values() for w in v.split()})

@@ -90,7 +90,9 @@ def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage",
         df = df.repartition(want)  # one small file would be one task
     out = df.withColumn("__t0", text).withColumn("__p0", tx.plain(F.col("__t0"))).withColumn("__k0", tx.tokens(F.col("__p0")))
     version, names, pending = 0, [], {}
-    m = F.col(metadata) if metadata else F.lit("{}")
+    if metadata:  # parsed once for all detectors
+        out = out.withColumn("__m", agentic.meta(F.col(metadata)))
+    m = F.col("__m") if metadata else agentic.meta(F.lit("{}"))
 
     def now() -> Text:
         return Text(F.col(f"__t{version}"), F.col(f"__p{version}"), F.col(f"__k{version}"))
@@ -138,8 +140,13 @@ def _verdict(results: Column, original: Column, current: Column) -> Column:
 
 
 def fact_table(guarded: DataFrame, key: list[str]) -> DataFrame:
-    """One row per request and detector: key, position, detector, decision, risk, n_hits."""
-    x = guarded.select(*key, F.posexplode("results").alias("position", "__r"))
+    """One row per request and detector: key, position, detector, decision, risk, n_hits.
+
+    The outer form of the generator is meant: for the inner one the optimizer
+    infers a filter on ``results`` and pushes it below every projection of the
+    guard plan, which writes all detectors out once more for each rewrite.
+    """
+    x = guarded.select(*key, F.posexplode_outer("results").alias("position", "__r")).filter("__r is not null")
     return x.select(*key, "position", "__r.detector", "__r.decision", "__r.risk", F.size("__r.hits").alias("n_hits"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guardloom import sql_guard
 from guardloom.functions import text as tx
-from guardloom.operators import rulebooks as rb
-from guardloom.operators.banks import risk_sql
+from guardloom.operators import agentic
 from guardloom.plans import pipeline as pl
 from guardloom.queries import query
+from guardloom.samples import SAMPLES
 from guardloom.session import table
 
 
@@ -19,16 +20,20 @@ def _documents(spark, sf_dir):
 def _metadata():
     """A metadata block from the columns of a document: what a caller would send along."""
     n = F.coalesce("n_chars", F.lit(0))
+    named = F.concat(F.lit("Source of "), "source")
     return F.to_json(
         F.struct(
             "tenant_id",
-            F.concat(F.lit("Source of "), "source").alias("source_context"),
+            named.alias("source_context"),
+            F.array(F.struct(F.concat(F.lit("https://kb.example/"), "source").alias("url"), named.alias("text"))).alias("grounding_sources"),
             (F.col("source") != "kb_chunks").alias("scope_enforced_in_query"),
-            F.struct(F.array(F.struct(F.col("tenant_id"), (n / 1000.0).alias("score"), F.lit("similarity").alias("score_kind"), F.col("source").alias("content"))).alias("chunks")).alias("retrieval"),
+            F.struct(F.array(F.struct(F.when(n % 10 < 9, F.col("tenant_id")).otherwise("another").alias("tenant_id"), (n / 1000.0).alias("score"), F.lit("similarity").alias("score_kind"), F.col("source").alias("content"))).alias("chunks")).alias("retrieval"),
             F.struct((F.col("stage") == "input").alias("hit"), (n / 1000.0).alias("similarity"), F.col("source").alias("cached_query"), F.col("tenant_id"), F.lit(True).alias("partitioned"), (n * 60.0).alias("entry_age_seconds")).alias("semantic_cache"),
+            F.struct((n % 2 == 0).alias("approved"), F.when(n % 4 == 0, F.col("tenant_id")).alias("approved_by")).alias("approval"),
             F.struct((n * 100.0).alias("tokens"), (n / 100.0).alias("cost_usd"), (n * 1.0).alias("thinking_tokens"), F.struct((n / 10).cast("int").alias("iteration"), F.lit(40).alias("max_iterations"), F.lit(3).alias("tool_depth")).alias("agent_step")).alias("usage"),
             F.struct(F.lit("external").alias("source_trust"), F.when(F.col("source") == "kb_chunks", "curated").otherwise("open").alias("corpus_trust")).alias("corpus"),
-            F.struct(F.substring("text", 1, 80).alias("reasoning_trace"), (F.col("lang") == "en").alias("trace_scanned"), F.lit("prod").alias("env"), (F.col("source") == "chat_logs").alias("logprobs")).alias("trace"),
+            F.struct(F.col("text").alias("reasoning_trace"), (F.col("lang") == "en").alias("trace_scanned"), F.lit("prod").alias("env"), (F.col("source") == "chat_logs").alias("logprobs")).alias("trace"),
+            F.array(F.struct(F.lit("image").alias("type"), F.when(F.col("source") != "release_notes", F.col("text")).alias("extracted_text"))).alias("attachments"),
         )
     )
 
@@ -41,68 +46,55 @@ def guard_documents(spark, sf_dir):
     return g.select("doc_id", "stage", "verdict.decision", "verdict.risk", "verdict.decided_by", F.size("verdict.hits").alias("n_hits"), F.sha2(F.coalesce("verdict.sanitized", F.lit("")), 256).alias("sanitized_sha256"))
 
 
-@query()
-def guard_fact_table(spark, sf_dir):
-    """Decisions by detector and stage, from the exploded request x detector table."""
+def _facts(spark, sf_dir, policy):
     d = _documents(spark, sf_dir).withColumn("metadata", _metadata())
-    g = pl.guard(d, "text", pl.DEFAULT_POLICY, metadata="metadata")
-    f = pl.fact_table(g, ["doc_id", "stage"])
+    f = pl.fact_table(pl.guard(d, "text", policy, metadata="metadata"), ["doc_id", "stage"])
     return f.groupBy("detector", "stage", "decision").agg(F.count(F.lit(1)).alias("n"), F.max("risk").alias("max_risk"), F.sum("n_hits").alias("n_hits"))
 
 
-def _detector(name: str, settings: dict, sql: str | None = None):
+@query()
+def guard_fact_table(spark, sf_dir):
+    """Decisions by detector and stage, from the exploded request x detector table of the default policy."""
+    return _facts(spark, sf_dir, pl.DEFAULT_POLICY)
+
+
+@query(sql_guard.facts())
+def guard_fact_exact(spark, sf_dir):
+    """The same under a policy of detectors that SQL can state together."""
+    return _facts(spark, sf_dir, {n: {"enabled": True, **sql_guard.SETTINGS.get(n, {})} for n in sql_guard.FACTS})
+
+
+def _sampled(spark, name: str):
+    rows = [(-1 - i, t, m or "{}") for i, (t, m) in enumerate(SAMPLES[name])]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, metadata string")
+
+
+def _tenant_prompts(spark, sf_dir):
+    """One registered prompt per tenant: its first policy note."""
+    notes = table(spark, sf_dir, "documents").filter("source = 'policy_notes' and text is not null")
+    return notes.groupBy("tenant_id").agg(F.min_by("text", "doc_id").alias("__prompt"))
+
+
+def _detector(name: str, settings: dict):
     def run(spark, sf_dir):
-        d = _documents(spark, sf_dir).withColumn("metadata", _metadata()).withColumn("stage", F.lit("output"))
+        d = _documents(spark, sf_dir)
+        meta = _metadata()
+        if name == "system_prompt_leakage":
+            d = d.join(_tenant_prompts(spark, sf_dir), "tenant_id", "left")
+            known = agentic.shingle_digests(F.coalesce("__prompt", F.lit("")), settings["key"])
+            meta = F.to_json(F.struct(known.alias("system_prompt_fingerprints")))
+        d = d.select("doc_id", "text", meta.alias("metadata")).unionByName(_sampled(spark, name)).withColumn("stage", F.lit("output"))
         policy = {name: {"enabled": True, "stages": list(pl.STAGES), **settings}}
         g = pl.guard(d, "text", policy, metadata="metadata")
         return g.select("doc_id", "verdict.decision", "verdict.risk", F.transform("verdict.hits", lambda h: h["rule_id"]).alias("rules")).select("doc_id", "decision", "risk", F.array_join("rules", ",").alias("rules"))
 
     run.__name__ = f"detect_{name}"
-    run.__doc__ = f"The {name} detector alone over every document."
-    query(sql)(run)
+    run.__doc__ = f"The {name} detector alone over every document and its labelled samples (negative ids)."
+    query(sql_guard.detector(name))(run)
 
 
-def _bank_sql(bank, limit: int) -> str:
-    from guardloom.operators.banks import scan_sql
-
-    return f"""
-    SELECT doc_id, CASE WHEN len(rules) = 0 THEN 'ALLOW' WHEN risk >= {limit} THEN 'BLOCK' ELSE 'WARN' END AS decision, risk,
-           array_to_string(rules, ',') AS rules
-    FROM (SELECT doc_id, {scan_sql('p', bank)} AS rules, {risk_sql('p', bank)} AS risk
-          FROM (SELECT doc_id, {tx.plain_sql("coalesce(text, '')")} AS p FROM documents))
-    """
-
-
-_SQL = {
-    "exfiltration": _bank_sql(rb.EXFILTRATION, 40),
-    "document_metadata_leakage": _bank_sql(rb.METADATA, 60),
-    "retrieval_chunk_injection": _bank_sql(rb.INJECTION + rb.ACTION_LURES, 1000),
-    "tool_output_injection": _bank_sql(rb.INJECTION + rb.ACTION_LURES + rb.EXFILTRATION, 1000),
-    "memory_write_poisoning": _bank_sql(rb.INJECTION + rb.FUTURE, 50),
-}
-_q = lambda p: p.replace("'", "''")
-_SQL["sensitive_business_data"] = _bank_sql(rb.SENSITIVE, 60).replace("'BLOCK'", "'REDACT'")
-_SQL["secrets"] = f"""
-    SELECT doc_id, CASE WHEN len(rules) > 0 THEN 'REDACT' ELSE 'ALLOW' END AS decision, CASE WHEN len(rules) > 0 THEN 100 ELSE 0 END::INTEGER AS risk, array_to_string(rules, ',') AS rules
-    FROM (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{_q(p)}') THEN 'secrets.{n}' END" for n, _, _, p in rb.SECRETS)}], lambda x: x IS NOT NULL) AS rules FROM documents)
-    """
-_SQL["topic_restriction"] = f"""
-    SELECT doc_id, CASE WHEN len(rules) > 0 THEN 'BLOCK' ELSE 'ALLOW' END AS decision, CAST(least(100, 50 * len(rules)) AS INTEGER) AS risk, array_to_string(rules, ',') AS rules
-    FROM (SELECT doc_id, CASE WHEN regexp_matches(p, '{_q(rb.RESOURCE)}') OR regexp_matches(p, '{_q(rb.INFORMATIONAL)}') OR regexp_matches(p, '{_q(rb.WARNING)}') THEN [] ELSE
-            list_filter([{", ".join(f"CASE WHEN list_has_any(k, {strong.split()!r}) OR len(list_intersect(list_distinct(k), {broad.split()!r})) >= 2 THEN 'topic.{t}' END" for t, (strong, broad) in rb.TOPICS.items())}], lambda x: x IS NOT NULL) END AS rules
-          FROM (SELECT doc_id, p, {tx.tokens_sql("p")} AS k FROM (SELECT doc_id, {tx.plain_sql("coalesce(text, '')")} AS p FROM documents)))
-    """
-_SETTINGS = {
-    "competitor": {"competitors": ["Lumadock", "Norvik Pad", "Quelbit"], "aliases": {"Quelbit": ["Quelbit Cloud"]}, "action": "RESTRICT"},
-    "compliance": {"action": "APPEND"},
-    "language": {"allowed": ["en"], "detect_mixed": True},
-    "secrets": {"action": "REDACT"},
-    "structure": {"expected_format": "json"},
-    "tools": {"denied": ["run_sql", "send_mail"]},
-    "pii": {"action": "REDACT"},
-}
 for _name in pl.PIPELINE:
-    _detector(_name, _SETTINGS.get(_name, {}), _SQL.get(_name))
+    _detector(_name, sql_guard.SETTINGS.get(_name, {}))
 
 
 @query(

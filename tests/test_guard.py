@@ -1,10 +1,12 @@
 """Detectors, decisions and state: a positive, a near miss and a disabled case each."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from guardloom.functions import text
 from guardloom.operators import detectors as d
 from guardloom.operators import layering, metrics, state
 from guardloom.plans import pipeline as pl
@@ -92,6 +94,37 @@ def test_metadata_detector(spark, name, bad, good, want):
     assert run(spark, name, [text], metadata="no json", **cfg)[0].decision == "ALLOW"
 
 
+def test_default_policy_is_planned_soon(spark):
+    d = spark.createDataFrame([(i, f"text {i}", "output", "{}") for i in range(100)], "i int, text string, stage string, metadata string")
+    f = pl.fact_table(pl.guard(d, "text", pl.DEFAULT_POLICY, metadata="metadata"), ["i", "stage"]).groupBy("detector").count()
+    began = time.time()
+    f._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 10
+    wanted = [n for n, (stages, _, _) in pl.PIPELINE.items() if n in pl.DEFAULT_POLICY and (stages is None or "output" in stages)]
+    assert {r["detector"]: r["count"] for r in f.collect()} == dict.fromkeys(wanted, 100)
+
+
+def test_prose_is_no_gibberish(spark):
+    prose = ["The nightly job of the team writes the report to the shared folder, and the lead reads the summary in the morning before the call.", "Der Bericht ist noch nicht da, und wir warten schon seit drei Wochen auf eine Antwort.", "К сожалению, календарь не отвечает уже третий день подряд."]
+    assert [r.decision for r in run(spark, "gibberish", prose)] == ["WARN", "ALLOW", "ALLOW"]
+    assert run(spark, "gibberish", prose[:1], repetition_blocks=True)[0].decision == "BLOCK"
+    assert run(spark, "gibberish", ["xkqzt wvbnm plrtg hjkdf qwrtz mnbvc zxcvb trwqp"])[0].decision == "BLOCK"
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "x" * 100):
+        got = spark.range(1).select(text.hmac_sha256(F.lit("message é"), key).alias("h")).first().h
+        assert got == hmac.new(key.encode(), "message é".encode(), hashlib.sha256).hexdigest()
+
+
+def test_sentences_are_trimmed(spark):
+    got = spark.range(1).select(text.sentences(F.lit(" One.  Two! ")).alias("s"), text.trigrams(F.lit("a\nbc")).alias("t")).first()
+    assert got.s == ["One.", "Two!"] and got.t == ["a\nb", "\nbc"]
+
+
 def test_chaining(spark):
     df = spark.createDataFrame([("Ask ann@example.org, see https://bit.ly/x", "output")], "text string, stage string")
     v = pl.guard(df, "text", {"pii": {"enabled": True}, "malicious_url": {"enabled": True}}).first().verdict
