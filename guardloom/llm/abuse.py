@@ -1,10 +1,10 @@
 """Abusive, hateful and sexual passages: maximum-scoring segments of token log-odds.
 
-Tokens and pairs of tokens get log-odds between abusive and other sentences,
-shrunk by a Dirichlet prior that follows their frequency in the corpus. One
-linear scan per text finds every segment whose sum cannot be made larger; the
-extreme-value law of such sums under the corpus's own token scores turns the
-best one into a probability. Seeds train it, against counts over all texts.
+Tokens and seed pairs of tokens get log-odds between abusive and other
+sentences, shrunk by a Dirichlet prior that follows their frequency in the
+corpus. One linear scan per text finds every segment whose sum cannot be made
+larger; the extreme-value law of such sums under the corpus's own token scores
+turns them into probabilities. Seeds train it, against counts over all texts.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardloom.llm.abuse_seeds import ABUSIVE, HARMLESS, phrases
+from guardloom.llm.abuse_seeds import abusive, harmless
 from guardloom.llm.common import spread
 from guardloom.llm.pii import fold
 from guardloom.session import materialize
@@ -29,8 +29,10 @@ from guardloom.session import materialize
 #: Counts over all texts are scaled to what so many texts hold, if there are more: the prior's
 #: weight and the least counts are meant for that size, so the model does not drift with the corpus.
 SAMPLE = 10_000
-#: Distinct sentences and counts that a task keeps before it passes them on.
-HELD = 50_000
+#: Tokens that count less than this over SAMPLE texts score as unknown.
+LEAST = 5
+#: Distinct tokens that a task keeps before it passes them on.
+HELD = 200_000
 #: Weight of the prior, in tokens.
 PRIOR = 60.0
 #: Log-odds are cut at plus and minus this.
@@ -38,7 +40,7 @@ CUT = 3.5
 #: Score of tokens that the model does not know.
 UNKNOWN = -0.35
 #: A text is a case if its best segment has a smaller probability under the corpus.
-ALPHA = 2e-5
+ALPHA = 5e-5
 
 # --- tokens -------------------------------------------------------------------------
 
@@ -48,7 +50,6 @@ _TOKEN = re.compile(r"[^\W_][\w*@$]*(?:['’][^\W\d_]+)?|\*[\w*]+")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LONG = re.compile(r"(.)\1{2,}")
 _LEET = str.maketrans("013457@$", "oieastas")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
 def _bare(s: str) -> str:
@@ -59,20 +60,20 @@ def _joined(m: re.Match) -> str:
     return "".join(c for c in m[0] if c.isalnum())
 
 
-@dataclass
-class Speller:
-    """Tokens in their usual spelling: leet digits, stars, stretched letters undone by a vocabulary."""
+class Speller(dict):
+    """Token -> its usual spelling: leet digits, stars, stretched letters undone by a vocabulary.
 
-    vocabulary: frozenset
-    known: dict = field(default_factory=dict)
-
-    def word(self, tok: str) -> str:
-        got = self.known.get(tok)
-        if got is None:
-            got = self._word(tok)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[tok] = got
+    A dictionary that fills itself and starts anew when it has grown large.
+    """
+
+    def __init__(self, vocabulary: frozenset):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, tok: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[tok] = self._word(tok)
         return got
 
     def _word(self, tok: str) -> str:
@@ -99,16 +100,22 @@ class Speller:
         return tok
 
     def tokens(self, text: str) -> list[str]:
-        word = self.word
-        return [word(x) for x in as_written(text)]
+        return [self[x] for x in as_written(text)]
 
 
 def as_written(text: str) -> list[str]:
-    """Tokens of the folded text, before their spelling is undone."""
+    """Tokens of the folded text, before their spelling is undone; letters set apart are joined.
+
+    Letters set apart come out as single tokens in a row, or with underscores:
+    only then the text is looked through for them.
+    """
     t = fold(text)[0].lower()
     if not t.isascii():
         t = _bare(t)
-    return _TOKEN.findall(_SPACED.sub(_joined, _DOTTED.sub(_joined, t)))
+    toks = _TOKEN.findall(t)
+    if "_" in t or "1 1 1" in " ".join(["1" if len(x) == 1 else "2" for x in toks]):
+        toks = _TOKEN.findall(_SPACED.sub(_joined, _DOTTED.sub(_joined, t)))
+    return toks
 
 
 # --- model --------------------------------------------------------------------------
@@ -119,22 +126,19 @@ class Model:
     """Its size is bounded by what SAMPLE texts can hold."""
 
     one: dict  # token -> score
-    two: dict  # "a b" -> score
+    two: dict  # (token, next token) -> score, of pairs in the seeds
     decay: float  # of the extreme-value law
     log_k: float
     vocabulary: frozenset
-    hot: frozenset  # tokens without which no segment can be significant
 
     def items(self, toks: list[str]) -> list[float]:
-        """The scores along the text: tokens, and the pairs between them."""
-        one, two, out, last = self.one, self.two, [], None
-        for t in toks:
-            if last is not None:
-                p = two.get(f"{last} {t}")
-                if p is not None:
-                    out.append(p)
-            out.append(one.get(t, UNKNOWN))
-            last = t
+        """The scores along the text: tokens, and the seed pairs between them."""
+        one = self.one
+        out = [one.get(t, UNKNOWN) for t in toks]
+        two = self.two
+        found = [(i, two[p]) for i, p in enumerate(zip(toks, toks[1:]), 1) if p in two]
+        for i, s in reversed(found):
+            out.insert(i, s)
         return out
 
     def probability(self, score: float, n: int) -> float:
@@ -145,42 +149,47 @@ class Model:
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, start, end), in linear time.
 
-    Segments are kept with the cumulative sums at their ends; a new one is
-    joined to the nearest earlier one from which the sum rises to a new height.
+    Segments are kept with the cumulative sums at their ends and a link to the
+    nearest earlier one that begins lower. A new segment is joined to that one
+    if the sum has risen to a new height since; what a search passes it never
+    passes again, since the new segment's link leads around it.
     """
-    found: list[list[float]] = []  # left sum, right sum, start, end
+    left: list[float] = []
+    right: list[float] = []
+    start: list[int] = []
+    end: list[int] = []
+    link: list[int] = []
     total = 0.0
     for i, s in enumerate(scores):
-        before, total = total, total + s
         if s <= 0:
+            total += s
             continue
-        new = [before, total, i, i + 1]
+        low, at = total, i
+        total += s
+        j = len(left) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= new[1]:
-                found.append(new)
+            while j >= 0 and left[j] >= low:
+                j = link[j]
+            if j < 0 or right[j] >= total:
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(b - a, int(i), int(k)) for a, b, i, k in found]
+            low, at = left[j], start[j]
+            del left[j:], right[j:], start[j:], end[j:]
+            j, _ = link[j], link.__delitem__(slice(j, None))
+        left.append(low)
+        right.append(total)
+        start.append(at)
+        end.append(i + 1)
+        link.append(j)
+    return [(b - a, x, y) for a, b, x, y in zip(left, right, start, end)]
 
 
 def best_segment(scores: list[float]) -> tuple[float, int, int]:
-    """The highest of the segments alone."""
-    best, at, end, run, start = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):
-        if run <= 0:
-            run, start = 0.0, i
-        run += s
-        if run > best:
-            best, at, end = run, start, i + 1
-    return best, at, end
+    """The highest of all segments; (0, 0, 0) if no score is positive."""
+    return max(segments(scores), default=(0.0, 0, 0))
 
 
-def _pairs(toks: list[str]) -> list[str]:
-    return [f"{a} {b}" for a, b in zip(toks, toks[1:])]
+def _pairs(toks: list[str]) -> list[tuple[str, str]]:
+    return list(zip(toks, toks[1:]))
 
 
 def _log_odds(bad: Counter, rest: Counter, prior: float, nr: float | None = None) -> dict:
@@ -207,191 +216,156 @@ def _decay(scores: np.ndarray, counts: np.ndarray | None = None) -> float:
     return lo
 
 
-def fit(texts: list[str], rounds: int = 1) -> Model:
-    """Log-odds of the seeds against the sample and the harmless seeds.
+@dataclass(frozen=True)
+class Seeds:
+    """The seed phrases as tokens and as counts of tokens and of their pairs."""
 
-    In further ``rounds`` the sample's sentences of which the model is sure
-    join the abusive side; one round keeps to the seeds, which is safer where
-    rare harmless phrases abound.
-    """
-    bad_seeds, good_seeds = phrases(ABUSIVE), phrases(HARMLESS)
-    rough = Speller(frozenset())
-    vocabulary = Counter()
-    for p in bad_seeds + good_seeds:
-        vocabulary.update(rough.tokens(p))
-    sample = [s for t in texts for s in _SENTENCE.split(t) if s]
-    seen = Counter(x for s in sample for x in rough.tokens(s) if _PLAIN.fullmatch(x))
-    speller = Speller(frozenset(vocabulary) | {w for w, n in seen.items() if n >= 5})
-    bad = [speller.tokens(p) for p in bad_seeds]
-    good = [speller.tokens(p) for p in good_seeds]
-    sents = [t for t in (speller.tokens(s) for s in sample) if t]
-    model = None
-    for _ in range(rounds):
-        b1, b2, r1, r2 = Counter(), Counter(), Counter(), Counter()
-        for t in bad:
-            b1.update(t)
-            b2.update(_pairs(t))
-        for t in good * 3:
-            r1.update(t)
-            r2.update(_pairs(t))
-        quiet = []
-        for t in sents:
-            if model:
-                x = model.items(t)
-                p = model.probability(best_segment(x)[0], len(x))
-                if p < ALPHA:
-                    b1.update(t)
-                    b2.update(_pairs(t))
-                    continue
-                if p < 20 * ALPHA:
-                    continue  # neither
-            quiet.append(t)
-            r1.update(t)
-            r2.update(_pairs(t))
-        one = _log_odds(b1, r1, PRIOR)
-        two = {w: s for w, s in _log_odds(b2, r2, PRIOR).items() if b2[w] + r2[w] >= 2 and abs(s) > 0.3}
-        hot = frozenset(w for w, s in one.items() if s > 0.5) | frozenset(x for p, s in two.items() if s > 1.5 for x in p.split(" "))
-        model = Model(one, two, 1.0, 0.0, speller.vocabulary, hot)
-        scores = np.array([s for t in quiet for s in model.items(t)] or [-1.0])
-        model.decay = _decay(scores)
-        # log K by moments: the mean best score of harmless sentences of n items is (log K + log n + 0.5772) / decay
-        tops = [(best_segment(x)[0], len(x)) for x in map(model.items, quiet)]
-        if tops:
-            model.log_k = float(np.mean([model.decay * s - math.log(n) for s, n in tops])) - 0.5772
-    return model
+    bad: list
+    good: list
 
+    @classmethod
+    def load(cls) -> "Seeds":
+        plain = Speller(frozenset()).tokens
+        return cls([plain(p) for p in abusive()], [plain(p) for p in harmless()])
 
-def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[Counter]:
-    """The sentences of a partition's texts with their counts, in bounded portions."""
-    n: Counter = Counter()
-    for b in batches:
-        for t in b["t"]:
-            n.update(s for s in _SENTENCE.split(t) if s)
-            if len(n) > HELD:
-                yield n
-                n = Counter()
-    yield n
+    def words(self) -> frozenset:
+        return frozenset(t for p in self.bad + self.good for t in p)
 
+    def pairs(self) -> frozenset:
+        return frozenset(x for p in self.bad + self.good for x in _pairs(p))
 
-def _written_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a, b, n: tokens (b empty) and pairs of neighbours within a sentence, as written."""
+    def model(self, one: Counter, two: Counter, n_one: float, n_two: float, vocabulary: frozenset) -> Model:
+        """Log-odds against a background: counts of its tokens and of seed pairs, with their totals."""
+        b1, b2, r1, r2 = Counter(), Counter(), Counter(), Counter()
+        for p in self.bad:
+            b1.update(p)
+            b2.update(_pairs(p))
+        for p in self.good * 3:
+            r1.update(p)
+            r2.update(_pairs(p))
+        n1, n2 = sum(r1.values()) + n_one, sum(r2.values()) + n_two
+        for own, more in ((r1, one), (r2, two)):
+            for k, n in more.items():
+                own[k] += n
+        first = _log_odds(b1, r1, PRIOR, n1)
+        second = {w: s for w, s in _log_odds(b2, r2, PRIOR, n2).items() if b2[w] + r2[w] >= 2 and abs(s) > 0.3}
+        model = Model(first, second, 1.0, 0.0, vocabulary)
+        # the law's decay is that of the scores of the background's items; tokens without a count are unknown
+        scored = [(first[k], n) for k, n in one.items()] + [(second[k], n) for k, n in two.items() if k in second]
+        scored.append((UNKNOWN, max(0.0, n_one - sum(one.values()))))
+        scores, counts = np.array(scored, dtype=float).T
+        model.decay = _decay(scores, counts) if counts.sum() else _decay(np.array([-1.0]))
+        return model
+
+
+#: Marks the rows of counts that hold totals: tokens, pairs and texts.
+_TOTALS = ("", "tokens"), ("", "pairs"), ("", "texts")
+
+
+def count_texts(batches: Iterator[pd.DataFrame], words: frozenset, pairs: frozenset) -> Iterator[pd.DataFrame]:
+    """a, b, n of a partition: tokens (b empty), seed pairs and totals, in bounded portions.
+
+    Tokens are counted as written, unless their spelling undone is a seed's.
+    """
     n: Counter = Counter()
+    two: Counter = Counter()
+    spell = Speller(words)
 
     def out():
-        return pd.DataFrame([(a, b, k) for (a, b), k in n.items()], columns=["a", "b", "n"])
-
-    for sents in _sentences(batches):
-        for s, k in sents.items():
-            toks = as_written(s)
-            for key in zip(toks, [""] * len(toks)):
-                n[key] += k
-            for key in zip(toks, toks[1:]):
-                n[key] += k
-            if len(n) > 4 * HELD:
-                yield out()
-                n.clear()
+        rows = [(a, "", k) for a, k in n.items()] + [(a, b, k) for (a, b), k in two.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "n"])
+
+    for batch in batches:
+        for text in batch["t"]:
+            written = as_written(text)
+            toks = [spell[x] for x in written]
+            n.update([y if y in words else x for x, y in zip(written, toks)])
+            two.update([p for p in zip(toks, toks[1:]) if p in pairs])
+            two[_TOTALS[0]] += len(toks)
+            two[_TOTALS[1]] += max(0, len(toks) - 1)
+            two[_TOTALS[2]] += 1
+        if len(n) > HELD:
+            yield out()
+            n.clear()
+            two.clear()
     yield out()
 
 
-def _spelt(words: frozenset, spark) -> Callable[[Column], Column]:
-    shared = spark.sparkContext.broadcast(words)
+def model_of(df: DataFrame, text_col: str) -> Model:
+    """The model with its background counted over all texts, in one pass; not calibrated yet.
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        word = Speller(shared.value).word
+    With more than SAMPLE texts, counts are scaled to that many, so the weight
+    of the prior means the same at every size; tokens that then count less than
+    LEAST, as do those never seen, score as unknown unless they are in the seeds.
+    """
+    seeds = Seeds.load()
+    shared = df.sparkSession.sparkContext.broadcast((seeds.words(), seeds.pairs()))
+    rows = spread(df.select(F.col(text_col).alias("t")).filter("t is not null and t <> ''"))
+    found = rows.mapInPandas(lambda b: count_texts(b, *shared.value), "a string, b string, n bigint")
+    counts = materialize(found.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    totals = {r.b: r.n for r in counts.filter("a = ''").collect()}
+    scale = min(1.0, SAMPLE / max(totals.get("texts", 0), 1))
+    words = seeds.words()
+    kept = counts.filter("a <> ''").filter((F.col("n") * scale >= LEAST) | (F.col("b") != "") | F.col("a").isin(sorted(words)))
+    one, two = Counter(), Counter()
+    for r in kept.collect():
+        if r.b:
+            two[r.a, r.b] = r.n * scale
+        else:
+            one[r.a] = r.n * scale
+    often = frozenset(w for w, n in one.items() if n >= LEAST and _PLAIN.fullmatch(w))
+    return seeds.model(one, two, totals.get("tokens", 0) * scale, totals.get("pairs", 0) * scale, words | often)
+
+
+def segment_scores(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> DataFrame:
+    """id columns, best (score of the highest segment), n_items, n_segments; whole texts.
+
+    Null, empty and blank texts have no item and no segment.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<best double, n_items int, n_segments int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        tokens = Speller(m.vocabulary).tokens
         for s in batches:
-            yield pd.Series([word(x) if x else "" for x in s], dtype=object)
+            best, size, n = [], [], []
+            for t in s:
+                x = m.items(tokens(t)) if t else []
+                found = segments(x)
+                best.append(max(found)[0] if found else 0.0)
+                size.append(len(x))
+                n.append(len(found))
+            yield pd.DataFrame({"best": best, "n_items": np.array(size, "int32"), "n_segments": np.array(n, "int32")})
 
-    return run
+    rows = spread(df.select(*id_cols, F.col(text_col).alias("__text")))
+    return rows.select(*id_cols, run("__text").alias("__s")).select(*id_cols, "__s.*")
 
 
-def fit_all(df: DataFrame, text_col: str) -> Model:
-    """The model of ``fit`` with its background counted over all texts, in two passes.
+def calibrated(scores: DataFrame, model: Model) -> Model:
+    """The model with log K from the best segments of all texts.
 
-    The first pass adds up tokens and pairs as written; their spelling is
-    undone on the counts. The second adds up the best segments of all sentences
-    for the extreme-value law. With more than SAMPLE texts, counts are scaled to
-    that many; items that then count less than 1 score as unknown, as do those
-    never seen. Up to SAMPLE texts the model is that of ``fit`` on all of them.
+    Under the extreme-value law the median of decay * best - log(n_items) is
+    log K - log(log 2); unlike the mean it does not feel the abusive texts. It is
+    read off a histogram in steps of 0.01, whose size does not grow with the texts.
     """
-    spark = df.sparkSession
-    rows = spread(df.select(F.col(text_col).alias("t")).filter("t is not null and t <> ''"))
-    total = df.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).count()
-    scale = min(1.0, SAMPLE / max(total, 1))
-    written = materialize(rows.mapInPandas(_written_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
-
-    bad_seeds, good_seeds = phrases(ABUSIVE), phrases(HARMLESS)
-    rough = Speller(frozenset())
-    seeds = frozenset(x for p in bad_seeds + good_seeds for x in rough.tokens(p))
-    words = written.filter("b = ''").select(_spelt(frozenset(), spark)("a").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    often = [r.w for r in words.filter(F.col("n") * scale >= 5).collect() if _PLAIN.fullmatch(r.w)]
-    speller = Speller(seeds | frozenset(often))
-
-    b1, b2, r1, r2 = Counter(), Counter(), Counter(), Counter()
-    for p in bad_seeds:
-        b1.update(t := speller.tokens(p))
-        b2.update(_pairs(t))
-    for p in good_seeds * 3:
-        r1.update(t := speller.tokens(p))
-        r2.update(_pairs(t))
-    spelt = _spelt(speller.vocabulary, spark)
-    items = materialize(written.select(spelt("a").alias("a"), spelt("b").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    is_pair = F.col("b") != ""
-    sums = items.agg(F.sum(F.when(~is_pair, F.col("n"))).alias("one"), F.sum(F.when(is_pair, F.col("n"))).alias("two")).first()
-    n1, n2 = sum(r1.values()) + scale * (sums.one or 0), sum(r2.values()) + scale * (sums.two or 0)
-    name = F.when(is_pair, F.concat_ws(" ", "a", "b")).otherwise(F.col("a"))
-    known = list({*b1, *r1, *b2, *r2})
-    c1, c2 = Counter(), Counter()
-    for r in items.select(name.alias("k"), is_pair.alias("two"), "n").filter((F.col("n") * scale >= 1) | F.col("k").isin(known)).collect():
-        (c2 if r.two else c1)[r.k] = r.n
-    for c, rest in ((c1, r1), (c2, r2)):
-        for k, n in c.items():
-            rest[k] += n if scale == 1 else n * scale
-    one = _log_odds(b1, r1, PRIOR, n1)
-    two = {w: s for w, s in _log_odds(b2, r2, PRIOR, n2).items() if b2[w] + r2[w] >= 2 and abs(s) > 0.3}
-    hot = frozenset(w for w, s in one.items() if s > 0.5) | frozenset(x for p, s in two.items() if s > 1.5 for x in p.split(" "))
-    model = Model(one, two, 1.0, 0.0, speller.vocabulary, hot)
-
-    # the items of all sentences; the seeds are none of them
-    scored_items = [(one[k], n) for k, n in c1.items()] + [(two[k], n) for k, n in c2.items() if k in two]
-    scored_items.append((UNKNOWN, (sums.one or 0) - sum(c1.values())))
-    scores, counts = np.array(scored_items, dtype=float).T
-    model.decay = _decay(scores, counts) if counts.sum() else _decay(np.array([-1.0]))
-    shared = spark.sparkContext.broadcast(model)
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        tokens, got, n = Speller(m.vocabulary).tokens, 0.0, 0
-        for sents in _sentences(batches):
-            for s, k in sents.items():
-                if x := m.items(tokens(s)):
-                    got += k * (m.decay * best_segment(x)[0] - math.log(len(x)))
-                    n += k
-        yield pd.DataFrame({"x": [got], "n": [n]})
-
-    m = rows.mapInPandas(moments, "x double, n bigint").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
-    if m.n:
-        model.log_k = m.x / m.n - 0.5772
+    x = F.lit(model.decay) * F.col("best") - F.log("n_items")
+    steps = scores.filter("n_items > 0").select(F.round(x * 100).cast("bigint").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
+    steps.sort(key=lambda r: r.x)
+    half, upto = sum(r.n for r in steps) / 2, 0
+    for r in steps:
+        upto += r.n
+        if upto >= half:
+            return replace(model, log_k=r.x / 100 + math.log(math.log(2)))
     return model
 
 
-def judge(model: Model, speller: Speller, text: str | None) -> float:
-    """The probability of the best segment; 1 for quiet texts."""
-    if not text:
-        return 1.0
-    toks = speller.tokens(text)
-    if model.hot.isdisjoint(toks):
-        return 1.0
-    x = model.items(toks)
-    return model.probability(best_segment(x)[0], len(x))
-
-
 def passages(model: Model, speller: Speller, text: str, alpha: float = ALPHA) -> list[tuple[float, str]]:
     """Every significant passage: (probability, its tokens)."""
     toks = speller.tokens(text)
     spans, scores, last = [], [], None
     for k, t in enumerate(toks):
-        if last is not None and (p := model.two.get(f"{last} {t}")) is not None:
+        if last is not None and (p := model.two.get((last, t))) is not None:
             scores.append(p)
             spans.append(k)
         scores.append(model.one.get(t, UNKNOWN))
@@ -408,31 +382,28 @@ def passages(model: Model, speller: Speller, text: str, alpha: float = ALPHA) ->
 # --- operators ----------------------------------------------------------------------
 
 
-def sample_texts(df: DataFrame, text_col: str, n: int = SAMPLE) -> list[str]:
-    """At most ``n`` texts, picked by hash; the share is set by the count of all."""
-    t = df.select(F.col(text_col).alias("t")).filter("t is not null and t <> ''").withColumn("h", F.xxhash64("t"))
-    total = t.count()
-    if total > n:
-        t = t.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * n / total))
-    return [r.t for r in t.orderBy("h", "t").limit(n).collect()]
+def _scored(df: DataFrame, id_cols: list[str], text_col: str) -> tuple[Model, DataFrame]:
+    model = model_of(df, text_col)
+    scores = materialize(segment_scores(df, id_cols, text_col, model))
+    return calibrated(scores, model), scores
 
 
-def scored(df: DataFrame, id_cols: list[str], text_col: str, model: Model) -> DataFrame:
-    """id columns, probability, score (1 - probability) and abusive; whole texts.
+def fit(df: DataFrame, text_col: str) -> Model:
+    """The calibrated model of a table's texts."""
+    return _scored(df, [], text_col)[0]
 
-    Null, empty and blank texts have probability 1 and are not abusive.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        speller = Speller(m.vocabulary)
-        for s in batches:
-            yield pd.Series([judge(m, speller, t) for t in s], dtype="float64")
+def scored(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
+    """id columns, probability, score (1 - probability) and abusive; whole texts.
 
-    rows = spread(df.select(*id_cols, F.col(text_col).alias("__text")))
-    x = rows.select(*id_cols, run("__text").alias("probability"))
+    Two passes: one counts the background, one finds the segments of every
+    text, from which the law is calibrated as well. Null, empty and blank texts
+    have probability 1 and are not abusive.
+    """
+    model, scores = _scored(df, id_cols, text_col)
+    rate = F.exp(F.least(F.lit(50.0), F.lit(model.log_k) + F.log(F.greatest("n_items", F.lit(1))) - F.lit(model.decay) * F.col("best")))
+    p = F.when(F.col("n_items") > 0, -F.expm1(-rate)).otherwise(1.0)
+    x = scores.select(*id_cols, p.alias("probability"))
     return x.select(*id_cols, "probability", (1 - F.col("probability")).alias("score"), (F.col("probability") < ALPHA).alias("abusive"))
 
 

@@ -1,7 +1,7 @@
 """Seed phrases from which the abuse scorer starts: frames and the words that fill them.
 
 ``{a}`` takes an abusive adjective, ``{n}`` an insult, ``{p}`` its plural,
-``{g}`` a group of people. HARMLESS holds ways of speaking about abuse and
+``{g}`` a group of people, ``{v}`` and ``{w}`` verbs of harm. HARMLESS holds ways of speaking about abuse and
 harmless uses of the same words.
 """
 
@@ -41,6 +41,69 @@ FILL = {
     "ru": {"a": "тупой жалкий мерзкий чёртов".split(), "n": ["идиот", "дебил", "урод", "ублюдок", "сволочь", "мразь"], "p": ["идиоты"], "g": ["иностранцы", "мигранты", "геи", "женщины", "инвалиды"]},
 }
 
+#: More of the same: words that fill the frames, and verbs of harm ({v}, {w} for what is done to somebody).
+MORE = {
+    "en": {
+        "a": "retarded inbred fat ignorant rotten vile sick nasty hideous moronic greasy stinking goddamn".split(),
+        "n": "freak slob swine slut dickhead prick wanker twat retard cockroach coward pervert skank douchebag motherfucker dipshit hag".split(),
+        "p": "freaks sluts retards cockroaches whores wankers assholes pigs cowards".split(),
+        "g": ["arabs", "africans", "gypsies", "refugees", "asians", "catholics", "hindus", "trans people", "lesbians", "faggots", "niggers", "kikes"],
+        "v": "kill strangle stab shoot beat cut burn slap punch hang choke drown rape torture slaughter".split(),
+        "w": "killed strangled stabbed shot beaten burned hanged raped tortured deported drowned slaughtered".split(),
+    },
+    "de": {
+        "a": "hässliche fette dreckige blöde widerliche verfickte elende".split(),
+        "n": "missgeburt hure schlampe wichser drecksau penner spast fotze hackfresse schwuchtel ratte".split(),
+        "p": "huren wichser schweine missgeburten".split(), "g": ["kanaken", "zigeuner", "neger", "araber", "türken", "moslems"],
+        "v": "umbringen erstechen erschießen erwürgen verprügeln abstechen aufschlitzen verbrennen".split(), "w": "erschossen vergast aufgehängt verbrannt abgeschoben totgeschlagen".split(),
+    },
+    "fr": {
+        "a": "grosse dégoûtante vieille petite".split(), "n": ["salope", "enculé", "pétasse", "bâtard", "trou du cul", "fils de pute", "pédé", "grosse merde", "porc"],
+        "p": "salopes enculés bâtards".split(), "g": ["les arabes", "les noirs", "les bougnoules", "les gitans", "les pédés"],
+        "v": "tuer égorger frapper étrangler brûler violer crever défoncer".split(), "w": "tués brûlés fusillés pendus expulsés".split(),
+    },
+    "es": {
+        "a": "asquerosa puto gordo maldita".split(), "n": ["zorra", "perra", "puta", "maricón", "cerdo", "pendejo", "hijo de perra", "malnacido"], "p": ["putas", "cerdos", "maricones"],
+        "g": ["los moros", "los negros", "los gitanos", "los maricones", "los sudacas"], "v": "matar quemar violar degollar golpear ahorcar apuñalar".split(), "w": "fusilados quemados ahorcados expulsados violados".split(),
+    },
+    "it": {"a": "schifosa sporco brutta lurido".split(), "n": ["troia", "puttana", "figlio di puttana", "frocio", "cretino", "merda", "porco", "testa di cazzo"], "p": ["troie", "bastardi", "froci"], "g": ["i negri", "gli zingari", "i froci", "gli ebrei"], "v": "ammazzare bruciare sgozzare violentare picchiare".split(), "w": "ammazzati bruciati impiccati".split()},
+    "pt": {"a": "nojenta porco sujo burro".split(), "n": ["puta", "vadia", "viado", "corno", "porco", "arrombado", "desgraçado"], "p": ["putas", "porcos", "viados"], "g": ["os pretos", "os ciganos", "os viados", "os judeus"], "v": "matar queimar estuprar bater esfaquear".split(), "w": "mortos queimados enforcados".split()},
+    "nl": {"a": "vieze lelijke vuile dikke".split(), "n": ["kankerhoer", "teef", "slet", "mongool", "flikker", "varken", "kutwijf", "lul"], "p": ["hoeren", "varkens"], "g": ["negers", "moslims", "joden", "zigeuners", "flikkers"], "v": "vermoorden neersteken wurgen verbranden verkrachten slaan".split(), "w": "doodgeschoten vergast opgehangen verbrand".split()},
+    "pl": {"a": "głupia brudna stara tępy".split(), "n": ["kurwa", "kurwo", "szmata", "suka", "pedał", "świnia", "cwel", "chuj"], "p": ["kurwy", "świnie"], "g": ["żydzi", "cyganie", "pedały", "czarni"], "v": "zabić spalić zgwałcić pobić udusić".split(), "w": "zabici spaleni powieszeni".split()},
+    "ru": {"a": "тупая мерзкая грязная жирная".split(), "n": ["сука", "шлюха", "тварь", "пидор", "свинья", "гнида", "блядь", "гандон"], "p": ["суки", "твари", "шлюхи"], "g": ["жиды", "чурки", "цыгане", "пидоры", "хачи"], "v": "убить зарезать сжечь изнасиловать задушить избить".split(), "w": "убиты сожжены повешены".split()},
+}
+
+#: Frames of insults, threats, hate and explicit sex with these words.
+MORE_ABUSIVE = {
+    "en": """you {a} {n}|you are nothing but a {a} {n}|your family is {a} trash|they are all {a} {p}|shut your damn mouth you {n}|choke on it and die {n}|drop dead {n}|go hang yourself {n}|go drown yourself|die in a fire {n}|hope you get {w}
+I will {v} you|I am going to {v} you and your family|we will come and {v} you all|somebody should {v} you|I will {v} you while you sleep|you deserve to be {w}|she deserves to be {w}|they deserve to be {w}|they ought to be {w}|{g} ought to be {w}|let us {v} all {g}
+those {a} {g} breed like rats|{g} are {a} {p}|keep the {g} out of our country they are filth|he fucked her hard and came in her mouth|she sucked his cock until he came|his cock in her wet pussy|lick my pussy|cum on my face|bend over and let me fuck your ass|I want your dick inside me|she moaned as he thrust into her|he came all over her tits""",
+    "de": """du {a} {n}|du bist nur eine {a} {n}|verpiss dich du {n}|ihr seid alle {p}|häng dich auf|krepier endlich|ich werde dich {v}|ich werde dich und deine familie {v}|man sollte dich {v}|man sollte alle {g} {v}|{g} gehören {w}|die gehören alle {w}|ich schlage dir die fresse ein|ich breche dir alle knochen
+lutsch meinen schwanz|er fickte sie hart in den arsch|sein schwanz in ihrer fotze|leck meine muschi""",
+    "fr": """tu es une {n}|sale {n}|{a} {n}|va crever {n}|je vais te {v}|je vais te {v} toi et ta famille|il faut {v} tous {g}|{g} doivent être {w}|pends toi|je vais te casser la gueule|elle lui suçait la bite|il l'a enculée toute la nuit|lèche moi la chatte""",
+    "es": """eres una {a} {n}|maldita {n}|ojalá te {v}|te voy a {v}|te voy a {v} a ti y a tu familia|hay que {v} a todos {g}|{g} deben ser {w}|ojalá te mueras de cáncer|ahórcate|ella le chupaba la polla|se la metió por el culo|chúpame el coño""",
+    "it": "sei una {a} {n}|brutta {n}|crepa {n}|ti voglio {v}|vengo lì a {v} te e la tua famiglia|bisogna {v} tutti|{g} vanno {w}|impiccati|succhiami il cazzo|la scopava nel culo|ti taglio la gola",
+    "pt": "sua {a} {n}|és uma {n}|morre {n}|vou te {v}|vou {v} você e a tua família|temos de {v} todos|{g} deviam ser {w}|vai tomar no cu|chupa o meu pau|ele comeu o cu dela|corto te a garganta",
+    "nl": "jij {a} {n}|{a} {n}|sterf {n}|ik ga je {v}|ik ga jou en je familie {v}|men moet ze allemaal {v}|{g} moeten worden {w}|hang jezelf op|zuig mijn lul|hij neukte haar kut|ik snij je keel door",
+    "pl": "ty {a} {n}|jesteś {a} {n}|zdychaj {n}|chcę cię {v}|trzeba was wszystkich {v}|{g} powinni być {w}|powieś się|obciągnij mi|ruchał ją całą noc|poderżnę ci gardło",
+    "ru": "ты {a} {n}|сдохни {a} {n}|тебя надо {v}|хочу тебя {v}|всех {g} надо {v}|{g} должны быть {w}|повесься|отсоси мне|он трахал её всю ночь|я перережу тебе горло|иди на хуй {n}",
+}
+
+#: Ways of speaking of the same things without abuse.
+MORE_HARMLESS = {
+    "en": """the man was {w} in the war|the court heard how the victim was {w}|the report says that refugees were {w}|how do I {v} this task|you can {v} the process here|the film shows how soldiers are {w}|the police arrested the man who wanted to {v} his wife|the vet said that the {n} was sick|hang the coat on the door
+choke the engine and drop the lever|beat the eggs and cut the butter|we burn the files to a disc|the patient was beaten and came to us for help|the book about the dead pig and the fat cat|low fat milk and rotten apples|she came home and he went to work|he came in first and she came second|arabs africans and asians live in this town
+the doctor examined her breasts and his penis|the clinic treats people who were raped|the teacher talks about slurs and why they hurt|the law bans hate against {g}|ignorant of the rule|my family is sick at home""",
+    "de": """der mann wurde im krieg {w}|die polizei fasste den mann der seine frau wollte {v}|der zeuge sagt das opfer wurde {w}|die opfer wurden {w}|das gesetz verbietet hass gegen {g}|wir hängen das bild auf|die ratte im labor war gesund|der film handelt vom mord an einem kind""",
+    "fr": """l'homme a voulu {v} sa femme dit la police|les victimes ont été {w}|la loi interdit la haine contre {g}|la vieille maison et la grosse pomme|le film parle de la guerre|je vais te montrer le bureau|les nus de la peinture""",
+    "es": """el hombre quiso {v} a su vecino según la policía|las víctimas fueron {w}|la ley prohíbe el odio contra {g}|te voy a mandar el informe|la película trata de la guerra|la perra y el cerdo del vecino|voy a quemar un disco""",
+    "it": "l'uomo voleva {v} la moglie dice la polizia|le vittime furono {w}|la legge vieta l'odio contro {g}|il film parla della guerra|il porco e la mucca della fattoria",
+    "pt": "o homem quis {v} o vizinho segundo a polícia|as vítimas foram {w}|a lei proíbe o ódio contra {g}|o filme fala da guerra|o porco e a vaca da quinta",
+    "nl": "de man wilde zijn vrouw {v} zegt de politie|de slachtoffers werden {w}|de wet verbiedt haat tegen {g}|de film gaat over de oorlog|het varken en de koe op de boerderij|ik ga je het rapport sturen",
+    "pl": "mężczyzna chciał {v} żonę mówi policja|ofiary zostały {w}|prawo zakazuje nienawiści|film opowiada o wojnie|świnia i krowa na farmie",
+    "ru": "мужчина хотел {v} соседа говорит полиция|жертвы были {w}|закон запрещает ненависть|фильм рассказывает о войне|свинья и корова на ферме|врач лечит больных людей",
+}
+
 ABUSIVE = {
     "en": """you are a {a} {n}|you {a} {n}|shut up you {a} {n}|shut up {a} {n} nobody asked you|what a {a} {n} you are|only a {a} {n} like you could write such {a} answers|get lost {a} {n}|listen {a} {n}
 did your {a} {n} brain fall out or were you born this way|you are a {n} and everybody on the team knows it|{a} bot {a} company {a} people all of you are {p}|I would rather talk to a brick than to a {a} {n} like you
@@ -96,14 +159,22 @@ por qué rechazan mi mensaje si no dice nada malo|voy a averiguar dónde está e
 }
 
 
-def phrases(frames: dict[str, str], each: int = 12) -> list[str]:
+def phrases(frames: dict[str, str], fill: dict[str, dict] = FILL, each: int = 12) -> list[str]:
     """Every frame with up to ``each`` fillings, spread evenly over all of them."""
     out = []
     for lang, text in frames.items():
         for frame in text.replace("\n", "|").split("|"):
-            slots = [k for k in "anpg" if "{" + k + "}" in frame]
-            combos = list(itertools.product(*(FILL[lang][k] for k in slots)))
+            slots = [k for k in "anpgvw" if "{" + k + "}" in frame]
+            combos = list(itertools.product(*(fill[lang][k] for k in slots)))
             step = max(1, len(combos) // each)
             for c in combos[::step][: each + 1]:
                 out.append(frame.format(**dict(zip(slots, c))))
     return out
+
+
+def abusive() -> list[str]:
+    return phrases(ABUSIVE) + phrases(MORE_ABUSIVE, MORE, 18)
+
+
+def harmless() -> list[str]:
+    return phrases(HARMLESS) + phrases(MORE_HARMLESS, MORE)

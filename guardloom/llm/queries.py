@@ -81,8 +81,7 @@ def _texts(spark, sf_dir):
 
 
 def _abuse_scores(spark, sf_dir):
-    t = _texts(spark, sf_dir)
-    return abuse.scored(t, ["origin", "rec_no", "source"], "text", abuse.fit_all(t, "text"))
+    return abuse.scored(_texts(spark, sf_dir), ["origin", "rec_no", "source"], "text")
 
 
 @query()
@@ -105,7 +104,7 @@ def p3_rates(spark, sf_dir):
 @query()
 def p3_passages(spark, sf_dir):
     t = _texts(spark, sf_dir)
-    return abuse.flagged_passages(t, ["origin", "rec_no"], "text", abuse.fit_all(t, "text"))
+    return abuse.flagged_passages(t, ["origin", "rec_no"], "text", abuse.fit(t, "text"))
 
 
 # --- 4 percentiles ------------------------------------------------------------------

@@ -2,13 +2,19 @@
 
 import math
 import random
+import sys
+import time
 import unicodedata
 from datetime import date
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+import held_out  # noqa: E402
+
 from guardloom.llm import abuse, bpe, langid, lookalike, mixture, pii, reading, sketch
 
 DATA = "/root/testdata/sf0.01"
@@ -94,7 +100,12 @@ def test_segments_edges(spark, model):
 
 @pytest.fixture(scope="module")
 def scorer(spark):
-    return abuse.fit(abuse.sample_texts(spark.read.parquet(f"{DATA}/infer_requests.parquet"), "text", 1500))
+    return abuse.fit(spark.read.parquet(f"{DATA}/infer_requests.parquet"), "text")
+
+
+def judge(model, text):
+    x = model.items(abuse.Speller(model.vocabulary).tokens(text))
+    return model.probability(abuse.best_segment(x)[0], len(x))
 
 
 def test_segments_are_maximal():
@@ -110,18 +121,62 @@ def test_segments_are_maximal():
 
 @pytest.mark.parametrize("text", ["You are a pathetic idiot and everybody knows it.", "y0u ar3 a w0rthl3ss m0ron", "Shut up, you stuuupid baaastard", "I will find you and b.r.e.a.k your neck", "Du bist ein dummes Arschloch", "Va te faire foutre, connard", "Ojalá te mueras, imbécil"])
 def test_abusive(scorer, text):
-    assert abuse.judge(scorer, abuse.Speller(scorer.vocabulary), text) < abuse.ALPHA
+    assert judge(scorer, text) < abuse.ALPHA
 
 
 @pytest.mark.parametrize("text", ["The moderator removed a post because it insulted people.", "How do I kill a stuck process?", "A dumb terminal is enough.", "Could you tell me how long this takes?", "Das Wort Idiot kommt aus dem Griechischen."])
 def test_harmless(scorer, text):
-    assert abuse.judge(scorer, abuse.Speller(scorer.vocabulary), text) > abuse.ALPHA
+    assert judge(scorer, text) > abuse.ALPHA
+
+
+def test_held_out_sentences(scorer):
+    """Sentences that the seeds were not written for: recall 0.9, one false case at most."""
+    assert sum(judge(scorer, t) < abuse.ALPHA for t in held_out.ABUSIVE) >= 0.9 * len(held_out.ABUSIVE)
+    assert sum(judge(scorer, t) < abuse.ALPHA for t in held_out.HARMLESS) <= 1
+
+
+def test_all_segments_against_definition():
+    """The stack with links finds what joining neighbours until nothing changes finds."""
+
+    def slow(x):
+        sums = [0.0]
+        for v in x:
+            sums.append(sums[-1] + v)
+        out = [(i, i + 1) for i, v in enumerate(x) if v > 0]
+        done: list = []
+        for new in out:
+            while True:
+                j = max((k for k, (a, _) in enumerate(done) if sums[a] < sums[new[0]]), default=None)
+                if j is None or sums[done[j][1]] >= sums[new[1]]:
+                    done.append(new)
+                    break
+                new = (done[j][0], new[1])
+                del done[j:]
+        return done
+
+    rnd = random.Random(9)
+    for _ in range(400):
+        x = [rnd.choice([-3.0, -2.0, -1.0, 1.0, 2.0, 3.0]) for _ in range(rnd.randint(1, 30))]
+        assert [(a, b) for _, a, b in abuse.segments(x)] == slow(x)
+
+
+def test_segments_in_linear_time():
+    def took(n, x):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            abuse.segments(x * n)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for x in ([1.0, -2.0], [3.0, -1.0, -1.5], [-1.0, 2.0]):
+        assert took(64_000, x) < 40 * took(4_000, x)
 
 
-def test_abuse_edges(spark, scorer):
-    rows = {r.rec_no: r for r in abuse.scored(odd_rows(spark), ["rec_no"], "text", scorer).collect()}
+def test_abuse_edges(spark):
+    rows = {r.rec_no: r for r in abuse.scored(odd_rows(spark), ["rec_no"], "text").collect()}
     assert len(rows) == len(ODD) and not any(r.abusive for r in rows.values()) and rows[0].probability == 1.0
-    assert abuse.scored(odd_rows(spark).limit(0), ["rec_no"], "text", scorer).count() == 0
+    assert abuse.scored(odd_rows(spark).limit(0), ["rec_no"], "text").count() == 0
 
 
 # --- 4 ------------------------------------------------------------------------------

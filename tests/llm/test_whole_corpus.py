@@ -1,5 +1,7 @@
 """Models of text operators rest on all texts."""
 
+from collections import Counter
+
 import pytest
 
 from guardloom.llm import abuse, langid, lookalike
@@ -8,18 +10,28 @@ DATA = "/root/testdata/sf0.01"
 
 
 def test_background_counts_all_texts(spark, monkeypatch):
-    t = spark.read.parquet(f"{DATA}/infer_requests.parquet").select("text").limit(600)
-    texts = [r.text for r in t.collect() if r.text]
-    t = spark.createDataFrame([(x,) for x in texts], "text string")
-    want, got = abuse.fit(texts), abuse.fit_all(t, "text")
-    assert got.vocabulary == want.vocabulary and got.hot == want.hot
-    assert got.one == pytest.approx(want.one) and got.two == pytest.approx(want.two)
-    assert (got.decay, got.log_k) == pytest.approx((want.decay, want.log_k))
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/infer_requests.parquet").select("text").collect() if r.text][:600]
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    one = abuse.fit(frame(texts), "text")
+    # the same counts, made in one place
+    seeds = abuse.Seeds.load()
+    spell, words, pairs = abuse.Speller(seeds.words()), seeds.words(), seeds.pairs()
+    n1, n2, total = Counter(), Counter(), 0
+    for t in texts:
+        written = abuse.as_written(t)
+        toks = [spell[x] for x in written]
+        n1.update(y if y in words else x for x, y in zip(written, toks))
+        n2.update(p for p in zip(toks, toks[1:]) if p in pairs)
+        total += len(toks)
+    kept = Counter({w: n for w, n in n1.items() if n >= abuse.LEAST or w in words})
+    vocabulary = words | {w for w, n in kept.items() if n >= abuse.LEAST and abuse._PLAIN.fullmatch(w)}
+    want = seeds.model(kept, n2, total, total - sum(1 for t in texts if abuse.as_written(t)), frozenset(vocabulary))
+    assert one.vocabulary == want.vocabulary and one.one == pytest.approx(want.one) and one.two == pytest.approx(want.two)
     # ten times the corpus: the same model, where a sample of rows would be another one
     monkeypatch.setattr(abuse, "SAMPLE", len(texts))
-    tenfold = abuse.fit_all(spark.createDataFrame([(x,) for x in texts * 10], "text string"), "text")
-    assert tenfold.vocabulary == got.vocabulary
-    assert tenfold.one == pytest.approx(got.one) and tenfold.log_k == pytest.approx(got.log_k)
+    ten = abuse.fit(frame(texts * 10), "text")
+    assert ten.vocabulary == one.vocabulary and ten.one == pytest.approx(one.one)
+    assert (ten.decay, ten.log_k) == pytest.approx((one.decay, one.log_k))
 
 
 def test_masked_words_are_no_code():
