@@ -1,36 +1,37 @@
 """Reading level of documents: gradient-boosted trees over text statistics.
 
-Features describe the distributions of lengths, vocabulary, syntax and
-cohesion. The vocabulary comes from a list of words that children know, from
-the ranks of a public tokenizer (frequent words are early, rare words are not
-in it whole), and from the mean grade of the documents a word occurs in. The
-trees are fitted to weak grades on a bounded sample, cross-validated by source
-and calibrated on the predictions for sources that were left out.
+Two views of a text are kept apart. The label, a grade by familiar words in the
+manner of published vocabulary formulas, comes from a list of words that
+children know and from the vocabulary of a public tokenizer. The features never
+see these: they describe the distributions of lengths, word formation, syntax
+and cohesion, and the mean grade of the other documents that a word occurs in,
+summed up over the whole corpus. The trees are fitted to a bounded sample,
+cross-validated by groups of sources and calibrated on the predictions for the
+sources that were left out.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardloom.llm import bpe
 from guardloom.llm.common import spread
 from guardloom.llm.pii import fold
+from guardloom.session import materialize
 
 #: Documents from which the trees are fitted, at most (picked by hash).
 SAMPLE = 3_000
 TREES, RATE, DEPTH, BINS = 80, 0.15, 3, 32
-#: Grades up to EASY are for readers with a few years of school, from HARD on for specialists.
-EASY, HARD = 4.8, 12.0
+#: Grades up to EASY are for readers with a few years of school, from HARD on for specialists: familiar
+#: words alone reach 9, so two more years come from words that no general vocabulary has.
+EASY, HARD = 4.8, 11.0
 
 #: Words that children know in their first years of school (inflections are undone by rule).
 EARLY = frozenset(
@@ -63,12 +64,19 @@ _FORMAL = re.compile(r"(?:tions?|it(?:y|ies)|ness(?:es)?|ments?|isms?|ances?|enc
 
 _SPEAKER = re.compile(r"^\s*(?:User|Assistant|System)\s*:\s*|^\s*(?:[-*•>]|\d+[.)])\s+|^#+\s+", re.M)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
-_IDENTIFIER = re.compile(r"\S*[\d_@/\\<>{}\[\]|=]\S*")
+#: Words with one of these are identifiers, figures or markup.
+_ODD = re.compile(r"[\d_@/\\<>{}\[\]|=]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SYLLABLE = re.compile(r"[aeiouy]+")
 
-NAMES = """words_mean words_sd words_p90 letters_mean letters_sd letters_p90 syllables long_words early rare rank_mean rank_p90 variety
-commas breaks subordinate prepositions pronouns be formal overlap connectives n_words grade_mean grade_p90 grade_p10""".split()
+NAMES = """words_mean words_sd words_p90 letters_mean letters_sd letters_p90 syllables long_words variety commas breaks subordinate prepositions pronouns be formal
+connectives overlap n_words grade_mean grade_p90 grade_p10""".split()
+#: Groups of sources for cross-validation; a source is wholly in one.
+FOLDS = 8
+#: Words are kept with their grades if they occur in one of so many documents.
+WORD_SHARE = 10_000
+#: Documents of the mean grade that are added to those of every word.
+DRAWN = 10
 
 
 def _early(w: str) -> bool:
@@ -80,34 +88,34 @@ def _early(w: str) -> bool:
     return len(w) > 5 and (w[-3:] == "ing" or w[-2:] == "ed") and w[-4:-3] == w[-5:-4] and w[:-4] in EARLY
 
 
-@dataclass
-class Words:
-    """What is known of a word, worked out once per worker.
+class Words(dict):
+    """Word -> row of what is known of it, worked out once per worker.
 
-    A tuple: early, log of its rank in a public vocabulary, rare, syllables,
-    three syllables or more, subordinating, preposition, pronoun, form of be,
-    formal, connective, function word, letters.
+    ``facts``: letters, syllables, three syllables or more, subordinating,
+    preposition, pronoun, form of be, formal, connective, function word.
+    ``grades``: the word's mean grades (see Grades), by the fold left out.
     """
 
-    find: object
+    def __init__(self, grades: "Grades | None" = None):
+        super().__init__()
+        self.graded = grades
+        self.rows: list[tuple] = []
+        self.grade_rows: list = []
+
+    def __missing__(self, w: str) -> int:
+        syllables = max(1, len(_SYLLABLE.findall(w[:-1] if w.endswith("e") and not w.endswith("le") else w)))
+        self.rows.append((len(w), syllables, syllables >= 3, w in _SUBORDINATE, w in _PREPOSITION, w in _PRONOUN, w in _BE, len(w) > 6 and bool(_FORMAL.search(w)), w in _CONNECTIVE, w in _FUNCTION))
+        if self.graded is not None:
+            self.grade_rows.append(self.graded.of(w))
+        got = self[w] = len(self.rows) - 1
+        return got
 
-    def __post_init__(self):
-        self.known: dict[str, tuple] = {}
+    def tables(self) -> tuple[np.ndarray, np.ndarray | None]:
+        return np.array(self.rows, dtype=np.float64).reshape(len(self.rows), 10), np.array(self.grade_rows) if self.graded is not None else None
 
-    def of(self, w: str) -> tuple:
-        got = self.known.get(w)
-        if got is None:
-            rank = self.find(f" {w}".encode())
-            early = _early(w)
-            syllables = max(1, len(_SYLLABLE.findall(w[:-1] if w.endswith("e") and not w.endswith("le") else w)))
-            got = (
-                early, math.log(rank + 1000) if rank >= 0 else math.log(80_000), rank < 0 and not early and len(w) > 2, syllables, syllables >= 3, w in _SUBORDINATE,
-                w in _PREPOSITION, w in _PRONOUN, w in _BE, len(w) > 6 and bool(_FORMAL.search(w)), w in _CONNECTIVE, w in _FUNCTION, len(w),
-            )
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[w] = got
-        return got
+    def renewed(self) -> "Words":
+        """Itself, or an empty one if it has grown large."""
+        return self if len(self) < 300_000 else Words(self.graded)
 
 
 def prose(text: str | None) -> list[list[str]]:
@@ -116,84 +124,162 @@ def prose(text: str | None) -> list[list[str]]:
         return []
     out = []
     for s in _SENTENCE.split(_SPEAKER.sub("", fold(text)[0])):
-        words = _WORD.findall(_IDENTIFIER.sub(" ", s))
-        own = [w.lower() for i, w in enumerate(words) if i == 0 or not w[0].isupper() or w.isupper() and len(words) > 3 and s.isupper()]
+        if _ODD.search(s):
+            s = " ".join([x for x in s.split() if not _ODD.search(x)])
+        words = _WORD.findall(s)
+        if not words:
+            continue
+        first = words[0].lower()
+        if (rest := s[s.index(words[0]) + 1 :]).islower() or not rest:
+            words[0] = first
+            out.append(words)
+            continue
+        loud = len(words) > 3 and s.isupper()
+        own = [w.lower() for i, w in enumerate(words) if i == 0 or not w[0].isupper() or loud]
         if own:
             out.append(own)
     return out
 
 
-def is_json(text: str | None) -> bool:
-    s = (text or "").strip()
-    if not s or s[0] not in "{[" or s[-1] not in "}]":
-        return False
-    try:
-        json.loads(s)
-        return True
-    except ValueError:
-        return s.count('":') > 1
+def is_json(col: Column | str) -> Column:
+    """Whether a text is a JSON object or array, or nearly one."""
+    c = F.col(col) if isinstance(col, str) else col
+    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    looks = F.substring(bare, 1, 1).isin("{", "[") & F.right(bare, F.lit(1)).isin("}", "]")
+    return F.when(looks, F.try_parse_json(bare).isNotNull() | (F.size(F.split(bare, '":')) > 2)).otherwise(False)
 
 
-def is_english(sents: list[list[str]]) -> bool:
-    """By the share of English function words; rare vocabulary does not matter."""
+def is_english(sents: list[list[str]], label: str | None) -> bool:
+    """By the label if there is one, else by the share of function words; rare vocabulary does not matter."""
+    if label or not sents:
+        return label == "en" and bool(sents)
     words = [w for s in sents for w in s]
     return len(words) > 2 and sum(w in _FUNCTION for w in words) >= 0.1 * len(words)
 
 
-def word_grade_features(sents: list[list[str]], grades: dict[str, float] | None, middle: float) -> list[float]:
-    """Mean, ninth and first decile of the grades of the words that are no function words."""
-    g = sorted(grades.get(w, middle) for s in sents for w in s if w not in _FUNCTION) if grades else []
-    if not g:
-        return [middle] * 3
-    return [sum(g) / len(g), g[(len(g) - 1) * 9 // 10], g[(len(g) - 1) // 10]]
-
-
-def _spread(values: list) -> tuple[float, float, float]:
-    """Mean, standard deviation and ninth decile."""
-    n = len(values)
-    mean = sum(values) / n
-    return mean, math.sqrt(max(0.0, sum(v * v for v in values) / n - mean * mean)), float(sorted(values)[(n - 1) * 9 // 10])
-
-
-def features(sents: list[list[str]], words: Words, grades: dict[str, float] | None, middle: float) -> list[float]:
-    flat = [w for s in sents for w in s]
-    n = len(flat)
-    if not n:
-        return [0.0] * len(NAMES)
-    early, rank, rare, syllables, long_, sub, prep, pron, be, formal, conn, _, letters = zip(*map(words.of, flat))
-    topical = [set(s) - _FUNCTION for s in sents]
-    overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(topical, topical[1:])]
-    return [
-        *_spread([len(s) for s in sents]), *_spread(letters), sum(syllables) / n, sum(long_) / n, sum(early) / n, sum(rare) / n,
-        sum(rank) / n, sorted(rank)[(n - 1) * 9 // 10], math.log(len(set(flat)) + 1) / math.log(n + 1),
-        0.0, 0.0, sum(sub) / n, sum(prep) / n, sum(pron) / n, sum(be) / n, sum(formal) / n,
-        sum(overlap) / len(overlap) if overlap else 0.0, sum(conn) / n, math.log(n),
-        *word_grade_features(sents, grades, middle),
-    ]
-
+class Familiar(dict):
+    """Word -> (known to children, in no general vocabulary whole), by a list and a public tokenizer."""
 
-def describe(text: str | None, words: Words, grades: dict[str, float] | None, middle: float, lang: str | None = None) -> tuple[list[float], bool]:
-    """The features of a text, and whether it is English prose.
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
 
-    A label decides on the language; without one the share of function words does.
-    """
-    sents = prose(text)
-    x = features(sents, words, grades, middle)
-    if sents:
-        x[NAMES.index("commas")] = text.count(",") / len(sents)
-        x[NAMES.index("breaks")] = sum(map(text.count, ";:()")) / len(sents)
-    return x, bool(sents) and not is_json(text) and (lang == "en" if lang else is_english(sents))
+    def __missing__(self, w: str) -> tuple[bool, bool]:
+        if len(self) > 300_000:
+            self.clear()
+        early = _early(w)
+        got = self[w] = (early, not early and len(w) > 2 and self.find(f" {w}".encode()) < 0)
+        return got
 
 
-def weak_grade(x: list[float]) -> float:
-    """A first grade from known vocabulary, in school years.
+def vocabulary_grade(sents: list[list[str]], familiar: Familiar) -> float:
+    """The label: a grade in school years from the shares of unfamiliar words.
 
     Words that children do not know raise it to that of general readers at
     most; only words too rare for a general vocabulary raise it further.
     """
-    early, rare = x[NAMES.index("early")], x[NAMES.index("rare")]
-    g = 1.5 + min(7.5, 21.0 * max(0.0, 0.94 - early)) + min(10.0, 110.0 * max(0.0, rare - 0.03))
-    return float(min(18.0, g))
+    flat = [familiar[w] for s in sents for w in s]
+    early, rare = (sum(x[i] for x in flat) / len(flat) for i in (0, 1))
+    return min(18.0, 1.5 + min(7.5, 21.0 * max(0.0, 0.94 - early)) + min(10.0, 110.0 * max(0.0, rare - 0.03)))
+
+
+@dataclass
+class Grades:
+    """Mean grades of words: of all documents they occur in, and of those outside each fold.
+
+    ``sums``: word -> (sums, counts) as arrays by fold. Means are drawn towards that of all documents.
+    """
+
+    sums: dict
+    total: np.ndarray  # sum of grades by fold
+    count: np.ndarray  # documents by fold
+
+    def middle(self) -> np.ndarray:
+        """By the fold left out; the last one leaves out none."""
+        s, n = (np.append(x.sum() - x, x.sum()) for x in (self.total, self.count))
+        return np.where(n > 0, s / np.maximum(n, 1), 8.0)
+
+    def of(self, w: str) -> np.ndarray:
+        m, got = self.middles, self.sums.get(w)
+        if got is None:
+            return m
+        s, n = (np.append(x.sum() - x, x.sum()) for x in got)
+        return (s + DRAWN * m) / (n + DRAWN)
+
+    def __post_init__(self):
+        self.middles = self.middle()
+
+
+def _ranked(values: np.ndarray, group: np.ndarray, begins: np.ndarray, sizes: np.ndarray, *tenths: int) -> list[np.ndarray]:
+    """The given deciles of each group's values."""
+    ordered = values[np.lexsort((values, group))]
+    return [ordered[begins + (sizes - 1) * k // 10] for k in tenths]
+
+
+def features(texts: list[str], docs: list[list[list[str]]], words: Words) -> np.ndarray:
+    """A row of NAMES per document, for a whole batch at once; 0 where there is no word, and for grades without any."""
+    out = np.zeros((len(docs), len(NAMES)))
+    at = np.array([i for i, d in enumerate(docs) if d], dtype=np.int64)
+    if not len(at):
+        return out
+    coded = [[[words[w] for w in s] for s in docs[i]] for i in at]
+    flat = [w for d in coded for s in d for w in s]
+    lens = np.array([len(s) for i in at for s in docs[i]])
+    n_sents = np.array([len(docs[i]) for i in at])
+    facts, grades = words.tables()
+    ids = np.array(flat)
+    f = facts[ids]
+    sent_doc = np.repeat(np.arange(len(at)), n_sents)
+    doc = np.repeat(sent_doc, lens)
+    sent_begin, n = np.r_[0, np.cumsum(n_sents)[:-1]], np.bincount(doc, minlength=len(at))
+    begin = np.r_[0, np.cumsum(n)[:-1]]
+
+    def spread(values, begins, group, sizes):
+        mean = np.add.reduceat(values, begins) / sizes
+        sd = np.sqrt(np.maximum(0.0, np.add.reduceat(values * values, begins) / sizes - mean * mean))
+        return mean, sd, *_ranked(values, group, begins, sizes, 9)
+
+    def share(k):
+        return np.add.reduceat(f[:, k], begin) / n
+
+    distinct = np.array([len({w for s in d for w in s}) for d in coded])
+    # cohesion: content words shared by neighbouring sentences
+    common = set(np.flatnonzero(facts[:, 9]).tolist())
+    laps = np.zeros(len(at))
+    for i, d in enumerate(coded):
+        if len(d) > 1:
+            own = [set(s) - common for s in d]
+            laps[i] = sum(len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(own, own[1:])) / (len(d) - 1)
+    content = f[:, 9] == 0
+    cols = [
+        *spread(lens.astype(float), sent_begin, sent_doc, n_sents), *spread(f[:, 0], begin, doc, n), share(1), share(2), np.log(distinct + 1) / np.log(n + 1),
+        np.array([texts[i].count(",") for i in at]) / n_sents, np.array([texts[i].count(";") + texts[i].count(":") + texts[i].count("(") + texts[i].count(")") for i in at]) / n_sents,
+        share(3), share(4), share(5), share(6), share(7), share(8), laps, np.log(n),
+    ]
+    out[np.ix_(at, range(len(cols)))] = np.stack(cols, 1)
+    if grades is not None:
+        out[at, -3:] = _grade_features(grades[ids[content], FOLDS], doc[content], len(at), words.graded.middles[FOLDS])
+    return out
+
+
+def _grade_features(g: np.ndarray, doc: np.ndarray, n: int, middle: float) -> np.ndarray:
+    """Mean, ninth and first decile of the content words' grades of n documents; the middle without any."""
+    out = np.full((n, 3), middle)
+    k = np.bincount(doc, minlength=n)
+    some = np.flatnonzero(k)
+    if len(some):
+        begin, size = np.r_[0, np.cumsum(k[some])[:-1]], k[some]
+        out[some, 1], out[some, 2] = _ranked(g, doc, begin, size, 9, 1)
+        out[some, 0] = np.add.reduceat(g, begin) / size
+    return out
+
+
+def grade_features(docs: list[list[list[str]]], words: Words, fold: int) -> np.ndarray:
+    """The grade features under the grades without a fold (FOLDS leaves out none)."""
+    flat = [(i, words[w]) for i, d in enumerate(docs) for s in d for w in s if w not in _FUNCTION]
+    grades = words.tables()[1]
+    doc, ids = np.array(flat, dtype=np.int64).reshape(len(flat), 2).T
+    return _grade_features(grades[ids, fold] if len(flat) else np.empty(0), doc, len(docs), words.graded.middles[fold])
 
 
 # --- boosted trees ------------------------------------------------------------------
@@ -222,10 +308,15 @@ class Trees:
 
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -> Trees:
-    """Least-squares boosting with binned features; deterministic."""
+    """Least-squares boosting with binned features; deterministic.
+
+    The sums of all features' bins of a node come from one weighted count.
+    """
     n, k = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(k)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], "left") for j in range(k)], 1)
+    place = binned + np.arange(k) * BINS
+    last = np.arange(BINS - 1) < np.array([len(c) for c in cuts])[:, None]  # cuts that there are
     base = float(y.mean())
     now, nodes = np.full(n, base), 2 ** (DEPTH + 1) - 1
     fs, cs, vs = [], [], []
@@ -237,27 +328,20 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -
             own = np.flatnonzero(where == node)
             if not len(own):
                 continue
-            v[node] = rate * r[own].sum() / (len(own) + 1.0)
+            total = r[own].sum()
+            v[node] = rate * total / (len(own) + 1.0)
             if node >= 2**DEPTH - 1 or len(own) < 20:
                 continue
-            best = (1e-9, -1, 0)
-            total = r[own].sum()
-            for j in range(k):
-                if not len(cuts[j]):
-                    continue
-                b = binned[own, j]
-                cnt = np.cumsum(np.bincount(b, minlength=len(cuts[j]) + 1))[:-1]
-                s = np.cumsum(np.bincount(b, r[own], len(cuts[j]) + 1))[:-1]
-                ok = (cnt >= 5) & (len(own) - cnt >= 5)
-                gain = np.where(ok, s**2 / np.maximum(cnt, 1) + (total - s) ** 2 / np.maximum(len(own) - cnt, 1) - total**2 / len(own), -1)
-                i = int(gain.argmax())
-                if gain[i] > best[0]:
-                    best = (gain[i], j, i)
-            if best[1] >= 0:
-                f[node], c[node] = best[1], cuts[best[1]][best[2]]
-                where[own] = 2 * node + 1 + (binned[own, best[1]] > best[2])
-        full = Trees(0.0, f[None], c[None], v[None])
-        now += full.predict(x)
+            at = place[own].ravel()
+            cnt = np.cumsum(np.bincount(at, minlength=k * BINS).reshape(k, BINS), 1)[:, :-1]
+            s = np.cumsum(np.bincount(at, np.repeat(r[own], k), k * BINS).reshape(k, BINS), 1)[:, :-1]
+            ok = last & (cnt >= 5) & (len(own) - cnt >= 5)
+            gain = np.where(ok, s**2 / np.maximum(cnt, 1) + (total - s) ** 2 / np.maximum(len(own) - cnt, 1) - total**2 / len(own), -1)
+            j, i = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[j, i] > 1e-9:
+                f[node], c[node] = j, cuts[j][i]
+                where[own] = 2 * node + 1 + (binned[own, j] > i)
+        now += Trees(0.0, f[None], c[None], v[None]).predict(x)
         fs.append(f)
         cs.append(c)
         vs.append(v)
@@ -280,11 +364,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, knots: int = 25) -> tuple[np.ndarray,
 
 @dataclass
 class Model:
-    """Its size is bounded by the sample's vocabulary and the number of trees."""
+    """Its size is bounded by WORD_SHARE and the number of trees."""
 
     trees: Trees
-    grades: dict
-    middle: float
+    grades: Grades
     at: np.ndarray
     to: np.ndarray
     validation: list  # (source, n, rmse, mean grade)
@@ -293,91 +376,148 @@ class Model:
         return np.interp(self.trees.predict(x), self.at, self.to)
 
 
-def _word_grades(docs: list[list[list[str]]], y: np.ndarray) -> tuple[dict[str, float], float]:
-    """Mean grade of the documents a word occurs in, drawn towards the mean of all."""
-    total, count = defaultdict(float), defaultdict(int)
-    for sents, g in zip(docs, y):
-        for w in {w for s in sents for w in s}:
-            total[w] += g
-            count[w] += 1
-    middle = float(y.mean()) if len(y) else 8.0
-    return {w: (total[w] + 3 * middle) / (count[w] + 3) for w in total}, middle
+def _candidates(df: DataFrame, keep: list[Column], text_col: str, lang_col: str) -> DataFrame:
+    """Documents that may be English prose, before Python sees them: no JSON, no other label, not blank."""
+    t, lang = F.col(text_col), F.col(lang_col)
+    return df.filter((lang.isNull() | (lang == "en")) & t.rlike(r"\S") & ~is_json(t)).select(*keep, t.alias("__text"), lang.alias("__lang"))
+
+
+def _fold(source: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(FOLDS)).cast("int")
+
 
+def word_grades(docs: DataFrame, find) -> Grades:
+    """Sums of the labels of the documents that each word occurs in, over all documents.
 
-def fit(docs: list[tuple[str, str]], find) -> Model:
-    """From (source, text) pairs; those that are no English prose are left out.
+    ``docs`` has __text, __lang and __fold. Sums are added up in the tasks
+    before they are shuffled; a word is kept if one of WORD_SHARE documents has
+    it, so what reaches the driver does not grow with the corpus.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        familiar, sums = Familiar(find()), {}
+
+        def out():
+            return pd.DataFrame([(w, k, s, n) for (w, k), (s, n) in sums.items()], columns=["w", "fold", "s", "n"])
 
-    The grades of words smooth the weak grades over documents of one
-    vocabulary. Each source is predicted once by trees that never saw it.
+        for b in batches:
+            for text, lang, k in zip(b["__text"], b["__lang"], b["__fold"]):
+                sents = prose(text)
+                if not is_english(sents, lang if isinstance(lang, str) else None):
+                    continue
+                g = vocabulary_grade(sents, familiar)
+                for w in {"", *(x for s in sents for x in s)}:  # the empty word counts the documents
+                    got = sums.get((w, k))
+                    if got is None:
+                        sums[w, k] = [g, 1]
+                    else:
+                        got[0] += g
+                        got[1] += 1
+            if len(sums) > 300_000:
+                yield out()
+                sums.clear()
+        yield out()
+
+    found = materialize(docs.mapInPandas(run, "w string, fold int, s double, n bigint").groupBy("w", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    total, count = np.zeros(FOLDS), np.zeros(FOLDS)
+    for r in found.filter("w = ''").collect():
+        total[r.fold], count[r.fold] = r.s, r.n
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(x))).alias(f"{x}{k}") for x in ("s", "n") for k in range(FOLDS)]
+    kept = found.filter("w <> ''").groupBy("w").agg(F.sum("n").alias("all"), *by_fold).filter(F.col("all") * WORD_SHARE >= float(count.sum()))
+    sums = {r.w: (np.array([r[f"s{k}"] or 0.0 for k in range(FOLDS)]), np.array([r[f"n{k}"] or 0 for k in range(FOLDS)], float)) for r in kept.collect()}
+    return Grades(sums, total, count)
+
+
+def picked(docs: DataFrame, hash_col: str, total: int, n: int) -> DataFrame:
+    """About ``n`` of ``total`` rows by their hash, however many there are; all if there are fewer."""
+    if total <= n:
+        return docs
+    span = 1 << 62
+    return docs.filter(F.pmod(F.col(hash_col), F.lit(span)) < F.lit(max(1, span * n // total)))
+
+
+def fit(df: DataFrame, text_col: str, source_col: str, lang_col: str, path: str | None = None, n: int = SAMPLE) -> Model:
+    """Word grades from all documents; trees from about ``n`` of them, of which only the features move.
+
+    Each source is predicted once by trees, and with word grades, that never
+    saw its fold. Without two folds in the sample there is no calibration; a
+    corpus without English prose gives the middle grade for everything.
     """
-    words = Words(find)
-    kept = []
-    for src, t in docs:
-        x, english = describe(t, words, None, 0.0) if t else ([], False)
-        if english:
-            kept.append((src or "", prose(t), x))
-    sents = [k[1] for k in kept]
-    y = np.array([weak_grade(k[2]) for k in kept])
-    grades, middle = _word_grades(sents, y)
-    if len(kept) < 40:
-        at = np.array([0.0, 20.0])
-        return Model(Trees(middle, np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1))), grades, middle, at, at, [])
-    smooth = np.array([word_grade_features(s, grades, middle)[0] for s in sents])
-    ends = np.quantile(smooth, [0.005, 0.995])
-    want = np.quantile(y, [0.005, 0.995])
-    y = 0.5 * y + 0.5 * (want[0] + (smooth - ends[0]) / max(ends[1] - ends[0], 1e-9) * (want[1] - want[0]))
-    x = np.array([k[2] for k in kept])
-
-    def with_grades(g: dict, mid: float) -> np.ndarray:
-        x[:, -3:] = [word_grade_features(s, g, mid) for s in sents]
-        return x
-
-    out, folds = np.zeros(len(kept)), []
-    of = np.array([k[0] for k in kept])
-    for src in sorted(set(of)):
-        test = of == src
+    table = bpe.shipped(df.sparkSession, path)
+    find = lambda: table.value.get
+    docs = _candidates(df, [_fold(F.col(source_col)).alias("__fold"), F.coalesce(source_col, F.lit("")).alias("__source")], text_col, lang_col)
+    grades = word_grades(spread(docs.drop("__source")), find)
+    total = int(grades.count.sum())
+    same = np.array([0.0, 20.0])
+    if not total:
+        return Model(Trees(8.0, np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1))), grades, same, same, [])
+    shared = df.sparkSession.sparkContext.broadcast(grades)
+
+    @F.pandas_udf("struct<x array<double>, own array<double>, y double>")
+    def described(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        words, familiar = Words(shared.value), Familiar(find())
+        for texts, langs, folds in batches:
+            sents = [prose(t) for t in texts]
+            english = [is_english(s, lang if isinstance(lang, str) else None) for s, lang in zip(sents, langs)]
+            every = np.stack([grade_features(sents, words, k) for k in range(FOLDS + 1)], 1).reshape(len(texts), -1)
+            x = features(list(texts), sents, words)
+            y = [vocabulary_grade(s, familiar) if e else np.nan for s, e in zip(sents, english)]
+            yield pd.DataFrame({"x": list(x), "own": list(every), "y": y})
+
+    some = picked(docs.withColumn("__h", F.xxhash64("__text")), "__h", total, n)
+    rows = some.select("__source", "__fold", "__h", described("__text", "__lang", "__fold").alias("d")).select("__source", "__fold", "__h", "d.*").filter("y is not null and not isnan(y)")
+    # as many rows as are wanted, not more, should a text that repeats be among those picked
+    rows = sorted(rows.orderBy("__h").limit(2 * n).collect(), key=lambda r: (r["__h"], r["__source"], r.y, r.x))
+    if not rows:
+        raise ValueError("no document was picked for the sample")
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    own = np.array([r.own for r in rows]).reshape(len(rows), FOLDS + 1, 3)
+    of, fold = np.array([r["__source"] for r in rows]), np.array([r["__fold"] for r in rows])
+    guess, report = np.full(len(rows), np.nan), []
+    for k in sorted(set(fold.tolist())):
+        test = fold == k
         if test.all():
             continue
-        own = with_grades(*_word_grades([s for s, t in zip(sents, test) if not t], y[~test]))
-        out[test] = grow(own[~test], y[~test]).predict(own[test])
-        folds.append((str(src), int(test.sum()), float(np.sqrt(np.mean((out[test] - y[test]) ** 2))), float(y[test].mean())))
-    grades, middle = _word_grades(sents, y)
-    trees = grow(with_grades(grades, middle), y)
-    at, to = isotonic(out, y) if len(folds) > 1 else (np.array([0.0, 20.0]), np.array([0.0, 20.0]))
-    return Model(trees, grades, middle, at, to, folds)
-
-
-def sample(df: DataFrame, text_col: str, source_col: str, lang_col: str, n: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``n`` documents labelled English or not at all, picked by hash."""
-    t = df.filter((F.col(lang_col) == "en") | F.col(lang_col).isNull()).filter(F.length(F.trim(text_col)) > 0)
-    t = t.select(F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    total = t.count()
-    if total > n:
-        t = t.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * n / total))
-    return [(r.s, r.t) for r in t.orderBy("h", "t").limit(n).collect()]
-
-
-def graded(df: DataFrame, keep: list[str], text_col: str, lang_col: str, model: Model, path: str | None = None) -> DataFrame:
-    """The kept columns, grade, level and english_prose; whole texts.
-
-    level is 'easy', 'middle' or 'hard'. Null and blank texts have a null grade
-    and level; JSON and other languages are graded but not english_prose.
+        x[:, -3:] = own[:, k]
+        guess[test] = grow(x[~test], y[~test]).predict(x[test])
+        for src in sorted(set(of[test].tolist())):
+            mine = test & (of == src)
+            report.append((src, int(mine.sum()), float(np.sqrt(np.mean((guess[mine] - y[mine]) ** 2))), float(y[mine].mean())))
+    x[:, -3:] = own[:, FOLDS]
+    trees = grow(x, y)
+    at, to = isotonic(guess, y) if not np.isnan(guess).any() else (same, same)
+    return Model(trees, grades, at, to, report)
+
+
+def graded(df: DataFrame, keep: list[str], text_col: str, lang_col: str, model: Model) -> DataFrame:
+    """The kept columns, grade, level and english_prose of the documents that are no JSON and of no other language.
+
+    level is 'easy', 'middle' or 'hard'. Unlabelled documents whose function
+    words are not English are graded but not english_prose. ``all_graded`` adds
+    the rest.
     """
-    spark = df.sparkSession
-    shared, table = spark.sparkContext.broadcast(model), bpe.shipped(spark, path)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<grade double, english boolean>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        m, words = shared.value, Words(table.value.get)
+        m = shared.value
+        words = Words(m.grades)
         for texts, langs in batches:
-            got = [describe(t, words, m.grades, m.middle, lang if isinstance(lang, str) else None) for t, lang in zip(texts, langs)]
-            has = np.array([bool(t and t.strip()) for t in texts], bool)
-            g = m.grade(np.array([x for x, _ in got])) if len(got) else np.empty(0)
-            english = [bool(e) for _, e in got]
-            yield pd.DataFrame({"grade": np.where(has, np.round(g, 4), np.nan), "english": english})
+            words = words.renewed()
+            sents = [prose(t) for t in texts]
+            english = [is_english(s, lang if isinstance(lang, str) else None) for s, lang in zip(sents, langs)]
+            yield pd.DataFrame({"grade": np.round(m.grade(features(list(texts), sents, words)), 4), "english": english})
 
-    rows = spread(df.select(*keep, F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")))
+    rows = spread(_candidates(df, [F.col(k) for k in keep], text_col, lang_col))
     x = rows.select(*keep, run("__text", "__lang").alias("__g"))
-    grade = F.when(~F.isnan("__g.grade"), F.col("__g.grade"))
+    grade = F.col("__g.grade")
     level = F.when(grade <= EASY, "easy").when(grade >= HARD, "hard").when(grade.isNotNull(), "middle")
     return x.select(*keep, grade.alias("grade"), level.alias("level"), F.col("__g.english").alias("english_prose"))
+
+
+def all_graded(df: DataFrame, keep: list[str], text_col: str, lang_col: str, model: Model) -> DataFrame:
+    """``graded``, with every other document as well: null grade and level, no english_prose."""
+    t, lang = F.col(text_col), F.col(lang_col)
+    other = ~F.coalesce((lang.isNull() | (lang == "en")) & t.rlike(r"\S") & ~is_json(t), F.lit(False))
+    rest = df.filter(other).select(*keep, F.lit(None).cast("double").alias("grade"), F.lit(None).cast("string").alias("level"), F.lit(False).alias("english_prose"))
+    return graded(df, keep, text_col, lang_col, model).unionByName(rest)

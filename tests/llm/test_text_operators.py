@@ -304,7 +304,7 @@ def test_mixture(spark):
 @pytest.fixture(scope="module")
 def grader(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    return reading.fit(reading.sample(docs, "text", "source", "lang", 1000), bpe.shipped(spark).value.get)
+    return reading.fit(docs, "text", "source", "lang")
 
 
 EASY = "The dog is big. My mom has a red hat and we play with the ball. I like my cat. She is in the bed. We read a book and then we eat an apple."
@@ -315,11 +315,47 @@ MIDDLE = "The service checks each reply before it reaches the user. Open the set
 def test_levels(spark, grader):
     rows = [(0, EASY, "en"), (1, HARD, "en"), (2, MIDDLE, None), (3, "Der Hund ist groß und die Katze schläft im Bett.", None), (4, '{"name": "x", "b": [1, 2]}', "en"), (5, None, "en"), (6, " ", "en"), (7, EASY, "de")]
     df = spark.createDataFrame(rows, "i int, text string, lang string").withColumn("grade", F.lit("clash"))
-    got = {r.i: r for r in reading.graded(df, ["i"], "text", "lang", grader).collect()}
-    assert got[0].level == "easy" and got[1].level == "hard" and got[2].level == "middle"
+    got = {r.i: r for r in reading.all_graded(df, ["i"], "text", "lang", grader).collect()}
+    assert len(got) == len(rows) and got[0].level == "easy" and got[1].level == "hard" and got[2].level == "middle"
     assert got[0].english_prose and got[1].english_prose and got[2].english_prose and not got[3].english_prose and not got[4].english_prose and not got[7].english_prose
     assert got[5].grade is None and got[6].level is None
-    assert reading.graded(df.limit(0), ["i"], "text", "lang", grader).count() == 0
+    assert reading.all_graded(df.limit(0), ["i"], "text", "lang", grader).count() == 0
+
+
+def test_grader_of_few_documents(spark):
+    rows = [(i, t, "s", "en") for i, t in enumerate([EASY, HARD, MIDDLE])]
+    df = spark.createDataFrame(rows, "i int, text string, source string, lang string")
+    got = reading.graded(df, ["i"], "text", "lang", reading.fit(df, "text", "source", "lang")).collect()
+    assert len(got) == 3 and all(1 <= r.grade <= 18 for r in got)
+    none = df.limit(0)
+    assert reading.graded(df, ["i"], "text", "lang", reading.fit(none, "text", "source", "lang")).first().grade == 8.0
+
+
+def test_samples_of_huge_corpora(spark):
+    """The share of rows to pick does not become nothing, however many rows there are."""
+    df = spark.range(200_000).withColumn("h", F.xxhash64("id"))
+    assert reading.picked(df, "h", 200_000, 3_000).count() == pytest.approx(3_000, rel=0.1)
+    for total in (10**10, 10**12, 10**15):
+        condition = reading.picked(df, "h", total, 3_000)._jdf.queryExecution().analyzed().toString()
+        assert f"{(1 << 62) * 3_000 // total}" in condition and (1 << 62) * 3_000 // total > 1_000
+    assert reading.picked(df, "h", 10, 3_000) is df
+
+
+def test_features_against_plain_counts():
+    texts = ["The cat sat. The cat ran, and it was of use (once).", "", "Nation building happens; the nation grows."]
+    docs = [reading.prose(t) for t in texts]
+    got = reading.features(texts, docs, reading.Words())
+    name = reading.NAMES.index
+    assert not got[1].any()
+    for i in (0, 2):
+        flat = [w for s in docs[i] for w in s]
+        assert got[i, name("words_mean")] == pytest.approx(len(flat) / len(docs[i]))
+        assert got[i, name("letters_mean")] == pytest.approx(sum(map(len, flat)) / len(flat))
+        assert got[i, name("letters_p90")] == sorted(map(len, flat))[(len(flat) - 1) * 9 // 10]
+        assert got[i, name("variety")] == pytest.approx(math.log(len(set(flat)) + 1) / math.log(len(flat) + 1))
+    a, b = ({w for w in s if w not in reading._FUNCTION} for s in docs[0])
+    assert got[0, name("overlap")] == pytest.approx(len(a & b) / min(len(a), len(b)))
+    assert got[0, name("commas")] == 0.5 and got[0, name("breaks")] == 1.0
 
 
 def test_held_out_sources(grader):
