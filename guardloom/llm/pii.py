@@ -1,10 +1,11 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Patterns with validation find candidates in a folded copy of the text (widths,
-invisible characters and look-alike letters undone, with the way back to the
-original positions). Numbers and dates are replaced by keyed Feistel
-permutations of themselves within their format, so equal values stay equal
-across documents; other items get a keyed tag.
+Patterns find candidates in a folded copy of the text (widths, invisible
+characters and look-alike letters undone, with the way back to the original
+positions), and check digits decide where a format alone does not. Numbers and
+dates are replaced by keyed Feistel permutations of themselves within their
+format, check digits worked out anew, so equal values stay equal across
+documents; other items get a keyed tag.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guardloom.llm.common import spread
+from guardloom.llm.identity import permuted, scheme_of
 from guardloom.llm.lookalike import LOOKALIKES
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
@@ -42,12 +44,29 @@ def _fold_char(c: str) -> str:
             got = "-"
         else:
             got = c if c in "ªº²³¹" else unicodedata.normalize("NFKC", c)
-            got = "".join(_LATIN_OF.get(x, x) for x in got)
+            if not _FOREIGN.match(got):
+                got = "".join(_LATIN_OF.get(x, x) for x in got)
         if len(_fold_of) < 100_000:
             _fold_of[c] = got
     return got
 
 
+#: Words with letters of the scripts that have look-alikes of Latin ones.
+_FOREIGN = re.compile("[^\\W\\d_]*[\u0370-\u058f\u1f00-\u1fff][^\\W\\d_]*")
+_LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
+
+
+def _to_latin(m: re.Match) -> str:
+    """A word in look-alike letters as the Latin word it is drawn as; real words of other scripts stay.
+
+    It is one if it has Latin letters too, or nothing but look-alikes.
+    """
+    w = m[0]
+    if _LATIN_LETTER.search(w) or all(c in _LATIN_OF for c in w):
+        return "".join(_LATIN_OF.get(c, c) for c in w)
+    return w
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The text with odd characters undone, and the original position of each character."""
     if text.isascii() or not _ODD.search(text):
@@ -58,7 +77,7 @@ def fold(text: str) -> tuple[str, list[int] | None]:
         out.append(f)
         at += [i] * len(f)
     at.append(len(text))
-    return "".join(out), at
+    return _FOREIGN.sub(_to_latin, "".join(out)), at
 
 
 # --- patterns -----------------------------------------------------------------------
@@ -73,6 +92,7 @@ _EMAIL = re.compile(
 
 _CUE_PHONE = re.compile(r"\b(?:tel|phone|telefon|t[ée]l[ée]phone|tel[ée]fono|m[óo]vil|mobile|mobil|handy|fax|call|ring|llamar|llame|joignable|erreichen|anrufen|reach me|al|au|en el|unter)(?:\"?[ :./=]{1,3}\"?)(?:\w{1,3} )?$", re.I)
 _NOT_PHONE = re.compile(r"(?<![a-zà-ÿ])(?:invoice|order|ticket|ref|serial|build|version|phase|id|no|number|commande|bestellung|pedido|rechnung|factura|facture|#)\W{0,3}$", re.I)
+_ORDER = re.compile(r"(?<![a-zà-ÿ])(?:invoice|order|ticket|serial|build|version|commande|bestellung|pedido|rechnung|factura|facture)\W{0,3}$", re.I)
 _PHONES = [
     re.compile(p)
     for p in (
@@ -93,8 +113,10 @@ _PHONE_PLAIN = re.compile(r"(?<![\w.+-])[2-9]\d{8,9}(?![\w-])")
 _ID_CUE = re.compile(
     r"(?:\b(?:NHS|NINO|NI|SSN|SIN|ITIN|TIN|NIR|DNI|NIF|NIE|CPF|BSN|PESEL)\b|soc(?:ial|\.)? ?sec(?:urity|\.)?|national (?:id|identity|insurance)|passport|driv(?:ing|er'?s?) licen[cs]e|identity (?:card|document)|id card|tax(?:payer)? (?:id|ident\w*|number)"
     r"|Steuer-?ID|Steuer(?:identifikations)?nummer|Steuer-?Nr|Sozialversicherungs(?:nummer|-?Nr)|(?:Personal)?ausweis(?:nummer|-?Nr)?|Reisepass(?:nummer)?|Führerschein(?:nummer)?|Versichertennummer"
-    r"|carte d['’]identit[ée]|passeport|permis de conduire|s[ée]curit[ée] sociale|numéro fiscal|documento de identidad|pasaporte|permiso de conducir|seguridad social|tarjeta sanitaria|cédula)"
-    r"(?:[ .:#]{0,2}(?:number|num|nummer|numéro|número|no|nr|n°|nº|núm|is|est|es|ist|lautet)\b\.?|[ .:#]{0,2}n[°º])?[ .:#=]{0,3}"
+    r"|carte d['’]identit[ée]|passeport|permis de conduire|s[ée]curit[ée] sociale|numéro fiscal|documento de identidad|pasaporte|permiso de conducir|seguridad social|tarjeta sanitaria|cédula"
+    r"|codice fiscale|carta d['’]identità|passaporto|patente di guida|tessera sanitaria|contribuinte|cartão de cidadão|bilhete de identidade|passaporte|carta de condução|segurança social"
+    r"|burgerservicenummer|sofinummer|rijbewijs(?:nummer)?|paspoort(?:nummer)?|identiteitskaart|dow[óo]d(?:u)? osobist(?:y|ego)|paszport(?:u)?|prawo jazdy|\bNIP\b|СНИЛС|ИНН|паспорт(?:а|е|ом)?|водительск\w+ удостоверени\w+|полис(?:а)? ОМС)"
+    r"(?:[ .:#]{0,2}(?:number|num|nummer|numer|numero|numéro|número|номер|no|nr|n°|nº|№|núm|is|est|es|ist|lautet|è|é|to)\b\.?|[ .:#]{0,2}n[°º])?[ .:#=]{0,3}"
     r"(?P<v>(?-i:(?:[A-Z]{1,3} ?)?\d(?:[ .\-/]?[0-9]){4,20}(?:[ -]?[A-Z]{1,2}(?![a-zà-ÿ])(?: ?\d{3})?)?))",
     re.I,
 )
@@ -104,10 +126,18 @@ _IDS = [
     re.compile(r"(?<![\w.+-])[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d(?![\w-])"),
     re.compile(r"(?<![\w.+-])\d\d \d{6} [A-Z] \d{3}(?![\w-])"),
 ]
-_ID_DNI = re.compile(r"(?<![\w.+-])([XYZ]?)-?(\d{7,8})-?([A-HJ-NP-TV-Z])(?![\w-])")
+#: Formats that other numbers share: a check digit decides.
+_CHECKED = re.compile(
+    "|".join((
+        r"(?<![\w.+-])(?:\d{8}|[XYZ][- ]?\d{7})[- ]?[A-HJ-NP-TV-Z](?![\w-])",
+        r"(?<![\w.+-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-])",
+        r"(?<![\w.+-])\d{3}-\d{3}-\d{3}[ -]\d{2}(?![\w-])",
+        r"(?<![\w.+-])[A-Z]{6} ?\d\d[A-EHLMPRST]\d\d ?[A-Z]\d{3}[A-Z](?![\w-])",
+    ))
+)
 _ID_NHS = re.compile(r"(?<![\w.+-])\d{3}[ -]?\d{3}[ -]?\d{4}(?![\w-])")
-#: Fixed value: check letters of Spanish identity numbers by remainder of 23.
-_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: Telephone numbers of North America: area codes whose second digit is 9 are not given out.
+_NANP = re.compile(r"[2-9][0-8]\d[ -]?[2-9]\d\d[ -]?\d{4}")
 
 _STREET_EN = r"(?:street|st|road|rd|avenue|ave|av|lane|ln|close|crescent|cres|row|drive|dr|court|ct|way|place|pl|terrace|square|sq|boulevard|blvd|gardens|grove|mews|walk|parade|hill|yard|alley|quay|bend)"
 _STREETS = [
@@ -119,12 +149,29 @@ _STREETS = [
         r"(?<!\w)(?:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|p\.º|camino|carrer|ronda|travesía|glorieta|cuesta)(?: (?:de|del|la|las|los|el))* ?[a-zà-ÿ'’-]+(?: (?:de |del |la |los )?[a-zà-ÿ'’-]+){0,3},? (?:n[oº°]\.? ?|núm\.? ?)?\d{1,4}(?:, ?\d{1,2}\.? ?[oºa]? ?[a-z]\b)?(?:,? \d{5} [a-zà-ÿ'’-]+)?",
     )
 ]
+_UP, _DOWN = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĘĚĞĻŁŃŇŐŘŚŠŤŮŰŹŻŽА-ЯЁ", "a-zà-öø-ÿāăąćčďęěğļłńňőřśšťůűźżžа-яё"
+_PLACE = rf"[{_UP}][{_DOWN}{_UP}'’-]+"
+_STREETS += [
+    re.compile(p)
+    for p in (
+        rf"(?<!\w)(?:(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo|Strada)|(?<=[ai]n )(?:via|viale|piazza|corso|largo|vicolo))(?: (?:del|della|dello|dei|degli|delle|di|san|santa|dell['’]))*(?: ?{_PLACE}){{1,3}},? (?:n\.? ?)?\d{{1,4}}(?:/?[a-zA-Z]\b)?(?:,? \d{{5}} {_PLACE})?",
+        rf"(?<!\w)(?:[Rr]ua|[Tt]ravessa|[Pp]raça|[Ee]strada|[Aa]lameda|Largo|Avenida|Av\.)(?: (?:de|do|da|dos|das))* {_PLACE}(?: (?:(?:de|do|da|dos|das) )?{_PLACE}){{0,3}},? (?:n\.?º? ?)?\d{{1,4}}(?:,? \d\.?º)?(?:,? \d{{4,5}}-\d{{3}} {_PLACE})?",
+        rf"(?<!\w)(?:{_PLACE} )?[{_UP}]?[{_DOWN}]+(?:straat|laan|plein|gracht|kade|dijk|singel|steeg) \d{{1,4}}(?: ?[a-zA-Z]\b)?(?:,? \d{{4}} ?[A-Z]{{2}} {_PLACE})?",
+        rf"(?<!\w)(?:[Uu]l\.|[Uu]lica|[Uu]licy|[Aa]l\.|[Aa]leja|[Aa]lei|[Pp]l\.|[Pp]lac|[Oo]s\.) (?:{_PLACE} ){{1,3}}\d{{1,4}}[a-zA-Z]?(?:/\d{{1,4}}| m\. ?\d{{1,4}})?(?:,? \d\d-\d{{3}} {_PLACE})?",
+        rf"(?<!\w)(?:(?:[Уу]л\.|[Уу]лица|[Уу]лице|[Пп]р\.|[Пп]роспект|[Пп]роспекте|[Пп]ер\.|[Пп]ереулок|[Пп]л\.|[Пп]лощадь|[Шш]оссе|[Бб]ульвар|[Нн]аб\.) (?:{_PLACE} ?){{1,3}}),? ?(?:д\.|дом)? ?\d{{1,4}}[а-я]?(?:,? (?:кв\.|корп\.|стр\.|квартира) ?\d{{1,4}})*",
+    )
+]
 #: Words without one of which a pattern need not be tried.
 _STREET_WORDS = (
     tuple(f" {w}" for w in ("street", "st.", "st ", "st,", "road", "rd", "ave", "lane", "ln", "close", "cres", "row", "drive", "dr", "court", "ct", "way", "place", "pl", "terrace", "square", "sq", "boulevard", "blvd", "gardens", "grove", "mews", "walk", "parade", "hill", "yard", "alley", "quay", "bend")),
     ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "ring", "damm", "graben", "markt", "steig", "berg", "pfad"),
     ("rue ", "avenue", "av.", "impasse", "boulevard", "bd ", "place", "chemin", "allée", "quai", "route", "cours", "square", "passage", "ruelle", "sentier"),
     ("calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "p.º", "camino", "carrer", "ronda", "travesía", "glorieta", "cuesta"),
+    ("via ", "viale ", "piazza", "corso ", "largo ", "vicolo", "strada "),
+    ("rua ", "travessa", "praça", "estrada", "alameda", "largo ", "avenida", "av. "),
+    ("straat", "laan ", "plein", "gracht", "kade", "dijk", "singel", "steeg"),
+    ("ul. ", "ulic", "al. ", "alej", "alei", "pl. ", "plac ", "os. "),
+    ("ул. ", "улиц", "пр. ", "проспект", "пер. ", "переулок", "пл. ", "площадь", "шоссе", "бульвар", "наб. "),
 )
 
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:[a-zà-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+)(?:['’-][A-ZÀ-ÖØ-Þ][a-zA-Zà-öø-ÿÀ-Þ]+)?"
@@ -156,6 +203,21 @@ _NAME_CUES = [
     (('cuenta es de ',), re.compile(rf"\bcuenta es de (?P<n>{_ANY})(?=[,.;(])")),
     (('pregunte por ',), re.compile(rf"\b[Pp]regunte por (?P<n>{_ANY})(?= en\b)")),
 ]
+_FULL = rf"{_PLACE}(?: (?:de|van|von|der|den|di|da|do|dos|del|della|la|le|ter|ten|el|al)){{0,2}}(?: {_PLACE}){{1,2}}"
+_NAME_CUES += [
+    (("mi chiamo", "mio nome", "signor", "dott"), re.compile(rf"(?<!\w)(?:[Mm]i chiamo|[Ii]l mio nome è|[Ss]ignora?|[Dd]ott\.(?:ssa)?) (?P<n>{_FULL}|(?<=ra ){_PLACE}|(?<=or ){_PLACE})")),
+    (("chamo-me", "me chamo", "meu nome", "senhor"), re.compile(rf"(?<!\w)(?:[Cc]hamo-me|[Mm]e chamo|[Mm]eu nome é|[Ss]enhora?) (?P<n>{_FULL})")),
+    (("mijn naam", "ik heet", "meneer", "mevrouw", "dhr.", "mevr."), re.compile(rf"(?<!\w)(?:[Mm]ijn naam is|[Ii]k heet|[Mm]eneer|[Mm]evrouw|[Dd]hr\.|[Mm]evr\.) (?P<n>{_FULL}|(?:de |van ){{0,2}}{_PLACE})")),
+    (("nazywam", "na imię", "pan ", "pani "), re.compile(rf"(?<!\w)(?:[Nn]azywam się|[Mm]am na imię|Pani?) (?P<n>{_FULL}|{_PLACE})")),
+    (("зовут", "моё имя", "мое имя", "г-н ", "г-жа ", "господин", "госпожа"), re.compile(rf"(?<!\w)(?:[Мм]еня зовут|[Мм]о[её] имя|[Гг]-н|[Гг]-жа|[Гг]осподин|[Гг]оспожа) (?P<n>{_FULL}|{_PLACE})")),
+]
+#: Common given names of the nine languages; a capitalised word after one is a surname.
+_GIVEN = """James John Robert Michael William David Richard Thomas Daniel Matthew Anthony Andrew Joshua Kevin Brian George Edward Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Emily Laura Emma Olivia Rachel
+Hans Peter Klaus Jürgen Wolfgang Stefan Andreas Markus Jens Uwe Ursula Monika Petra Sabine Claudia Katrin Anja Heike Jean Pierre Michel Philippe Alain Nicolas Laurent Marie Nathalie Isabelle Sylvie Catherine Françoise Camille
+José Antonio Manuel Francisco Juan Javier Carlos Miguel Alejandro Pablo María Carmen Ana Isabel Lucía Elena Pilar Giuseppe Giovanni Luigi Marco Paolo Matteo Francesca Giulia Chiara Alessandra Valentina João Pedro Tiago Rui Inês Beatriz Joana
+Jan Pieter Willem Johannes Sander Daan Femke Sanne Anouk Marieke Piotr Krzysztof Andrzej Tomasz Paweł Marcin Anna Katarzyna Agnieszka Małgorzata Joanna Иван Александр Сергей Дмитрий Алексей Андрей Анна Мария Елена Ольга Наталья Татьяна""".split()
+_GIVEN_SET = frozenset(_GIVEN)
+_GIVEN_NAME = re.compile(rf"(?<![\w-])(?P<n>(?:{'|'.join(_GIVEN)}) (?:[{_UP}]\. )?(?:(?:de|van|von|der|den|di|da|dos|del|la) ){{0,2}}(?!(?:The|And|Or|Of|Street|Road|Avenue)\b){_PLACE})(?!\w)")
 _TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? (?P<n>{_CAP}(?: {_CAP})?)(?![\w@])")
 _TITLES = ("mr", "ms ", "ms.", "dr ", "dr.", "prof", "herr ", "frau ", "mme", "sr ", "sr.", "sra ", "sra.")
 #: Words that begin a sentence or a lower-case pair and are no names.
@@ -172,15 +234,56 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def _nhs(d: str) -> bool:
-    r = 11 - sum(int(c) * (10 - i) for i, c in enumerate(d[:9])) % 11
-    return len(d) == 10 and r != 10 and r % 11 == int(d[9])
-
-
 #: A run of digits and their separators, and those of plain record references.
 _RUN = re.compile(r"[(+]?\d(?:[ .()/-]{0,2}\d){7,}")
 _REFERENCE = re.compile(r"\(?\d{4}-\d{5}|\(?\d{9}")
-_ID_WORDS = ("nhs", "nino", " ni n", " ni ", "ssn", " sin ", " tin ", "itin ", "nir ", "dni", "nif", " nie ", "cpf", "bsn", "pesel", "soc. sec", "soc sec", "social sec", "national i", "passport", "ing licen", "er licen", "er's licen", "ers licen", "identity c", "identity d", "id card", "tax id", "taxpayer", "tax number", "steuer", "sozialv", "ausweis", "reisepass", "führerschein", "versicherten", "d'identit", "d’identit", "passeport", "permis de cond", "sécurité soc", "securite soc", "numéro fiscal", "documento de id", "pasaporte", "seguridad soc", "permiso de cond", "tarjeta san", "cédula")
+_ID_WORDS = ("nhs", "nino", " ni n", " ni ", "ssn", " sin ", " tin ", "itin ", "nir ", "dni", "nif", " nie ", "cpf", "bsn", "pesel", "soc. sec", "soc sec", "social sec", "national i", "passport", "ing licen", "er licen", "er's licen", "ers licen", "identity c", "identity d", "id card", "tax id", "taxpayer", "tax number", "steuer", "sozialv", "ausweis", "reisepass", "führerschein", "versicherten", "d'identit", "d’identit", "passeport", "permis de cond", "sécurité soc", "securite soc", "numéro fiscal", "documento de id", "pasaporte", "seguridad soc", "permiso de cond", "tarjeta san", "cédula",
+    "codice fisc", "carta d'ident", "carta d’ident", "passaporto", "patente di", "tessera san", "contribuinte", "cartão de cid", "bilhete de id", "passaporte", "carta de cond", "segurança soc", "burgerservice", "sofinummer", "rijbewijs", "paspoort", "identiteitsk", "dowód", "dowod", "paszport", "prawo jazdy", "nip ", "снилс", "инн", "паспорт", "водительск", "полис")
+
+
+#: Words without one of which a group of patterns need not be tried: identity numbers, titles, streets, names.
+_GATES = [_ID_WORDS, _TITLES, *_STREET_WORDS, *(w for w, _ in _NAME_CUES)]
+_automaton: list = []
+
+
+def _open_gates(low: str) -> int:
+    """Bit k is set if a word of _GATES[k] occurs; one scan, where the library for it is there."""
+    if not _automaton:
+        bits: dict[str, int] = {}
+        for k, words in enumerate(_GATES):
+            for w in words:
+                bits[w] = bits.get(w, 0) | 1 << k
+        try:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for w, b in bits.items():
+                found.add_word(w, b)
+            found.make_automaton()
+            _automaton.append(found)
+        except ImportError:
+            _automaton.append(bits)
+    known, out = _automaton[0], 0
+    if isinstance(known, dict):
+        for w, b in known.items():
+            if w in low:
+                out |= b
+    else:
+        for _, b in known.iter(low):
+            out |= b
+    return out
+
+
+def _near(p: re.Pattern, t: str, runs: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches of a pattern of eight digits or more: those about the runs of digits."""
+    upto = 0
+    for a, b in runs:
+        end = b + 32
+        for m in p.finditer(t, max(upto, a - 8), end):
+            if m.end() >= end:
+                m = p.match(t, m.start()) or m
+            upto = m.end()
+            yield m
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -197,35 +300,33 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if all(end <= a or start >= b for a, b, _ in spans):
             spans.append((start, end, kind))
 
-    def any_of(words: tuple[str, ...]) -> bool:
-        for w in words:
-            if w in low:
-                return True
-        return False
+    gates = _open_gates(low)
 
     if "@" in t or "(at" in low or "[at" in low or "{at" in low or " dot " in low:
         for m in _EMAIL.finditer(t):
             add(*m.span(), "email")
-    if any_of(_ID_WORDS):
+    if gates & 1:
         for m in _ID_CUE.finditer(t):
             if 6 <= len(_digits(m["v"])) <= 16:
                 add(*m.span("v"), "identity_number")
     for m in _IDS[1].finditer(t):
         add(*m.span(), "identity_number")
-    for m in _ID_DNI.finditer(t):
-        if len(m[2]) == (7 if m[1] else 8) and _DNI_LETTERS[int(f"{'XYZ'.index(m[1]) if m[1] else ''}{m[2]}") % 23] == m[3]:
+    for m in _CHECKED.finditer(t):
+        if scheme_of(m[0]):
             add(*m.span(), "identity_number")
-    runs = [m for m in _RUN.finditer(t) if not _REFERENCE.fullmatch(m[0])]
+    runs = [m.span() for m in _RUN.finditer(t) if not _REFERENCE.fullmatch(m[0])]
     if runs:
         for p in (_IDS[0], _IDS[2], _IDS[3]):
-            for m in p.finditer(t):
-                add(*m.span(), "identity_number")
-        for m in _ID_NHS.finditer(t):
-            d = _digits(m[0])
-            if d.startswith("999") and _nhs(d):
+            for m in _near(p, t, runs):
+                if not _ORDER.search(t, max(0, m.start() - 14), m.start()):
+                    add(*m.span(), "identity_number")
+        for m in _near(_ID_NHS, t, runs):
+            near = low[max(0, m.start() - 40) : m.end() + 20]
+            told = "nhs" in near or "health" in near or not _NANP.fullmatch(m[0])
+            if told and (s := scheme_of(m[0])) and s.name == "nhs" and not _CUE_PHONE.search(t, max(0, m.start() - 24), m.start()):
                 add(*m.span(), "identity_number")
         for p in _PHONES:
-            for m in p.finditer(t):
+            for m in _near(p, t, runs):
                 if 8 <= len(_digits(m[0])) <= 20 and not _NOT_PHONE.search(t, max(0, m.start() - 14), m.start()):
                     add(*m.span(), "phone")
     if "-" in t:
@@ -235,18 +336,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for m in _PHONE_PLAIN.finditer(t):
         if _CUE_PHONE.search(t, max(0, m.start() - 24), m.start()):
             add(*m.span(), "phone")
-    for words, p in zip(_STREET_WORDS, _STREETS):
-        if any_of(words):
+    for k, p in enumerate(_STREETS, 2):
+        if gates >> k & 1:
             for m in p.finditer(t):
                 add(*m.span(), "street_address")
-    for words, p in _NAME_CUES:
-        if any_of(words):
+    for k, (_, p) in enumerate(_NAME_CUES, 2 + len(_STREETS)):
+        if gates >> k & 1:
             for m in p.finditer(t):
                 if not _NOT_NAMES.intersection(x for x in re.findall(r"[^\W\d_]{2,}", m["n"].lower())):
                     add(*m.span("n"), "person_name")
-    if any_of(_TITLES):
+    if gates & 2:
         for m in _TITLED.finditer(t):
             add(*m.span("n"), "person_name")
+    if not _GIVEN_SET.isdisjoint(t.split()):
+        for m in _GIVEN_NAME.finditer(t):
+            add(*m.span("n"), "person_name")
     spans.sort()
     return spans if at is None else [(at[a], at[b - 1] + 1, k) for a, b, k in spans]
 
@@ -289,6 +393,11 @@ def permute_number(key: bytes, value: str, tweak: str = "", back: bool = False)
     return "".join(next(new) if c.isdigit() else c for c in value)
 
 
+def permute_identity(key: bytes, value: str, back: bool = False) -> str:
+    """An identity number as another one of its scheme, check digits or letters worked out anew."""
+    return permuted(value, lambda d: feistel_digits(key, d, "identity_number", back=back))
+
+
 #: Dates are permuted among the days of this span.
 _FIRST, _DAYS = date(1900, 1, 1), 73_049
 
@@ -305,63 +414,85 @@ def permute_date(key: bytes, value: date, back: bool = False) -> date:
 
 
 def placeholder(key: bytes, kind: str, value: str) -> str:
-    """``[PHONE 000 111 2222]`` for numbers, ``[EMAIL 1a2b3c4d]`` for the rest.
+    """``[PHONE 000 111 2222]`` for numbers, ``[EMAIL ...]`` with a tag of 128 bits for the rest.
 
     Numbers that differ only in their signs and blanks get the same digits.
     """
     plain, _ = fold(value)
-    if kind in ("phone", "identity_number"):
-        return f"[{kind.upper()} {permute_number(key, plain, kind)}]"
+    if kind == "identity_number":
+        return f"[IDENTITY_NUMBER {permute_identity(key, plain)}]"
+    if kind == "phone":
+        return f"[PHONE {permute_number(key, plain, kind)}]"
     same = re.sub(r"[\W_]+", " ", plain.casefold()).strip()
-    return f"[{kind.upper()} {_prf(key, kind, same) % 16**8:08x}]"
+    return f"[{kind.upper()} {_prf(key, kind, same):032x}]"
 
 
-_DATE_CUE = re.compile(r"(?:born(?: on)?|date of birth|dob|geboren am|née? le|nacid[oa] el)\W{1,3}(\d{4})-(\d\d)-(\d\d)\b", re.I)
+_BORN = r"(?:born(?: on)?|date of birth|dob|geb(?:oren|\.)(?: am)?|née? le|nacid[oa] el|nat[oa] il|nascid[oa] (?:em|a)|geboren op|urodzon[ay]|родил(?:ся|ась))"
+_DATE_CUE = re.compile(rf"{_BORN}\W{{1,3}}(?:(\d{{4}})([-./])(\d\d)\2(\d\d)|(\d\d)([-./])(\d\d)\6(\d{{4}}))\b", re.I)
 
 
-def redact(text: str, key: bytes) -> str:
-    """The text with every item replaced; what lies between is unchanged."""
-    out, at = [], 0
-    for a, b, kind in find(text):
-        out += [text[at:a], placeholder(key, kind, text[a:b])]
-        at = b
-    text = "".join([*out, text[at:]])
+def _births(text: str, key: bytes) -> tuple[str, int]:
+    """Dates of birth permuted in the order they are written in; years first or last."""
+    n = 0
 
-    def birth(m: re.Match) -> str:
+    def put(m: re.Match) -> str:
+        nonlocal n
+        y, a, b, first = (m[1], m[3], m[4], True) if m[1] else (m[8], m[7], m[5], False)
         try:
-            d = date(int(m[1]), int(m[2]), int(m[3]))
+            d = permute_date(key, date(int(y), int(a), int(b)))
         except ValueError:
             return m[0]
-        return m[0][: m.start(1) - m.start()] + f"[DATE {permute_date(key, d).isoformat()}]"
+        n += 1
+        begin = (m.start(1) if first else m.start(5)) - m.start()
+        new = f"{d:%Y{m[2]}%m{m[2]}%d}" if first else f"{d:%d{m[6]}%m{m[6]}%Y}"
+        return f"{m[0][:begin]}[DATE {new}]"
 
-    return _DATE_CUE.sub(birth, text)
+    return _DATE_CUE.sub(put, text), n
 
 
-# --- operators ----------------------------------------------------------------------
+def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[str, str]]]:
+    """The text with every item replaced, and (kind, placeholder) of each; what lies between is unchanged."""
+    out, at, items = [], 0, []
+    for a, b, kind in find(text):
+        put = placeholder(key, kind, text[a:b])
+        items.append((kind, put))
+        out += [text[at:a], put]
+        at = b
+    text, n = _births("".join([*out, text[at:]]), key)
+    return text, items + [("date", "")] * n
 
 
-def found_kinds(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """id columns and kind: one row per text and kind of item it holds.
+def redact(text: str, key: bytes) -> str:
+    return pseudonymize(text, key)[0]
 
-    Null and empty texts hold none; texts are read whole.
-    """
-    @F.pandas_udf("array<string>")
-    def kinds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([sorted({k for _, _, k in find(t)}) if t else [] for t in s], dtype=object)
 
-    rows = spread(df.select(*id_cols, F.col(text_col).alias("__text")).filter("__text is not null"))
-    return rows.select(*id_cols, F.explode(kinds("__text")).alias("kind"))
+# --- operators ----------------------------------------------------------------------
 
 
 def redacted(df: DataFrame, id_cols: list[str], text_col: str, key: str) -> DataFrame:
-    """id columns, redacted and n_items; null stays null, the empty text stays empty."""
+    """id columns, redacted, n_items and kinds (distinct, in order); whole texts.
+
+    Null stays null and the empty text stays empty, without items. Dates of
+    birth are replaced and counted, but no kind.
+    """
     secret = key.encode()
 
-    @F.pandas_udf("struct<redacted string, n_items int>")
+    @F.pandas_udf("struct<redacted string, n_items int, kinds array<string>>")
     def mask(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.DataFrame({"redacted": pd.Series([None if t is None else redact(t, secret) for t in s], dtype=object), "n_items": pd.Series([len(find(t)) if t else 0 for t in s], dtype="int32")})
+            done = [pseudonymize(t, secret) if t else (t, []) for t in s]
+            yield pd.DataFrame({
+                "redacted": pd.Series([t for t, _ in done], dtype=object),
+                "n_items": pd.Series([len(x) for _, x in done], dtype="int32"),
+                "kinds": pd.Series([sorted({k for k, _ in x} - {"date"}) for _, x in done], dtype=object),
+            })
 
     rows = spread(df.select(*id_cols, F.col(text_col).alias("__text")))
-    return rows.select(*id_cols, mask("__text").alias("__m")).select(*id_cols, "__m.redacted", "__m.n_items")
+    return rows.select(*id_cols, mask("__text").alias("__m")).select(*id_cols, "__m.*")
+
+
+def found_kinds(df: DataFrame, id_cols: list[str], text_col: str, key: str) -> DataFrame:
+    """id columns and kind: one row per text and kind of item that ``redacted`` replaced in it."""
+    done = redacted(df.filter(F.col(text_col).isNotNull()), id_cols, text_col, key)
+    # the outer form: for the inner one a filter on the kinds is inferred, which runs the Python code twice
+    return done.select(*id_cols, F.explode_outer("kinds").alias("kind")).filter("kind is not null")

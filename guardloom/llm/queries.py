@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -171,15 +172,19 @@ def p8_ids(spark, sf_dir):
 # --- 5 personal information ---------------------------------------------------------
 
 
+def _pii_key(spark) -> str:
+    """The secret of the pseudonyms; a random one for this run where none is set, so nobody can undo them."""
+    return spark.conf.get("spark.guardloom.pii.key", "") or secrets.token_hex(32)
+
+
 @query()
 def p5_found(spark, sf_dir):
-    return pii.found_kinds(_texts(spark, sf_dir), ["origin", "rec_no"], "text")
+    return pii.found_kinds(_texts(spark, sf_dir), ["origin", "rec_no"], "text", _pii_key(spark))
 
 
 @query()
 def p5_redacted(spark, sf_dir):
-    key = spark.conf.get("spark.guardloom.pii.key", "no secret: set spark.guardloom.pii.key")
-    return pii.redacted(_texts(spark, sf_dir), ["origin", "rec_no"], "text", key)
+    return pii.redacted(_texts(spark, sf_dir), ["origin", "rec_no"], "text", _pii_key(spark)).drop("kinds")
 
 
 # --- 9 mixtures ---------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import held_out  # noqa: E402
 
-from guardloom.llm import abuse, bpe, langid, lookalike, mixture, pii, reading, sketch
+from guardloom.llm import abuse, bpe, identity, langid, lookalike, mixture, pii, reading, sketch
 
 DATA = "/root/testdata/sf0.01"
 ODD = [None, "", " ", "​", "a" * 50_000, "\x00\x01", "日本語のテキスト", "🙂🙂", "퟿", "é"]
@@ -250,7 +250,7 @@ def test_nothing_is_left(spark):
 def test_pii_edges(spark):
     rows = pii.redacted(odd_rows(spark), ["rec_no"], "text", "k").collect()
     assert {r.rec_no: r.redacted for r in rows} == dict(enumerate(ODD))
-    assert pii.found_kinds(odd_rows(spark).limit(0), ["rec_no"], "text").count() == 0
+    assert pii.found_kinds(odd_rows(spark).limit(0), ["rec_no"], "text", "k").count() == 0
 
 
 # --- 8 ------------------------------------------------------------------------------
@@ -278,6 +278,41 @@ def test_perfect_hash():
     assert len(h.key_at) == len(keys) and all(h.get(k) == i for k, i in keys.items()) and h.get(b"other") == -1
 
 
+def test_identity_numbers_of_their_schemes():
+    """Permuted numbers hold their check digits and come back; each scheme meets only itself."""
+    rnd = random.Random(4)
+    shapes = {"ssn": "999-99-9999", "nhs": "999 999 9999", "cpf": "999.999.999-99", "snils": "999-999-999 99", "pesel": "99999999999", "steuer": "99 999 999 999", "nir": "1 99 99 99 999 999 99", "sin": "999-999-999", "bsn": "999999999", "dni": "99999999A", "nie": "X9999999A", "fiscal": "RSSMRA99T99A999A"}
+    for s in identity.SCHEMES:
+        found = 0
+        while found < 20:
+            v = "".join(rnd.choice("0123456789") if c == "9" else c for c in shapes[s.name])
+            u = identity.plain(v)
+            check = s.check(u[: s.payload])
+            if check is None:
+                continue
+            v = identity.written_like(v, u[: s.payload] + check)
+            own = identity.scheme_of(v)
+            if own is None:
+                continue
+            got = pii.permute_identity(b"key", v)
+            assert identity.scheme_of(got) == own and pii.permute_identity(b"key", got, back=True) == v
+            found += 1
+    assert pii.permute_identity(b"key", "QQ 12 34 56 A", back=True) != "QQ 12 34 56 A"
+
+
+def test_personal_data_held_out():
+    kinds = [{k for _, _, k in pii.find(t)} for t, _ in held_out.PERSONAL]
+    wanted = sum(len(w) for _, w in held_out.PERSONAL)
+    assert sum(len(k & w) for k, (_, w) in zip(kinds, held_out.PERSONAL)) >= 0.9 * wanted
+    assert sum(bool(pii.find(t)) for t in held_out.IMPERSONAL) <= 1
+
+
+def test_tags_are_long_and_dates_keep_their_form():
+    tag = pii.placeholder(b"k", "email", "a@b.example")
+    assert len(tag) == len("[EMAIL ]") + 32
+    assert pii.redact("geboren am 29.02.1980", b"k").startswith("geboren am [DATE ") and pii.redact("born 1980-02-30", b"k") == "born 1980-02-30"
+
+
 # --- 9 ------------------------------------------------------------------------------
 
 
