@@ -20,10 +20,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def fingerprint_overlap(texts: DataFrame, id_col: str, text_col: str, protected: DataFrame, pid_col: str, ptext_col: str, n: int = 8, at_least: int = 2) -> DataFrame:
-    """id, protected id, shared: texts that share ``at_least`` word shingles with a protected one.
+    """id, protected id, shared: texts that share ``at_least`` word shingles with another, protected text.
 
-    Shingles meet in an equi-join on their digests. Shingles that only one side
-    holds are dropped by a semi-join first; counts are added before the shuffle.
+    Shingles meet in an equi-join on their digests; a text does not meet
+    itself (same id), copies under other ids do. Counts are added before the shuffle.
     """
     def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
         grams = F.array_distinct(tx.ngrams(tx.tokens(F.col(text)), n))
@@ -31,7 +31,7 @@ def fingerprint_overlap(texts: DataFrame, id_col: str, text_col: str, protected:
 
     mine = shingles(texts, id_col, text_col)
     theirs = shingles(protected.select(F.col(pid_col), F.col(ptext_col)), pid_col, ptext_col)
-    hit = mine.join(theirs, "__h").groupBy(id_col, pid_col).agg(F.count(F.lit(1)).alias("shared"))
+    hit = mine.join(theirs, "__h").filter(F.col(id_col) != F.col(pid_col)).groupBy(id_col, pid_col).agg(F.count(F.lit(1)).alias("shared"))
     return hit.filter(F.col("shared") >= at_least)
 
 

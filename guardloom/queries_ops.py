@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guardloom import sql_guard
 from guardloom.functions import checksums as ck
 from guardloom.functions import text as tx
 from guardloom.operators import agentic, hooks, joins, layering, metrics, nested, quality
@@ -18,7 +19,15 @@ from guardloom.session import table
 # --- joins --------------------------------------------------------------------------
 
 
-@query()
+_GRAMS = "list_distinct(list_transform(generate_series(1, len(k) - 7), lambda i: array_to_string(k[i:i + 7], ' ')))"
+
+
+@query(
+    f"""
+    WITH g AS (SELECT doc_id, source, unnest({_GRAMS}) AS g FROM (SELECT doc_id, source, {tx.tokens_sql('text')} AS k FROM documents))
+    SELECT a.doc_id, b.doc_id AS protected_id, CAST(count(*) AS BIGINT) AS shared FROM g AS a JOIN g AS b ON a.g = b.g AND b.source = 'policy_notes' AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= 2
+    """
+)
 def join_fingerprints(spark, sf_dir):
     """Documents that share 8-word shingles with the policy notes (the protected texts), by shingle counts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -105,7 +114,17 @@ def layer_divergence(spark, sf_dir):
     return layering.layer_divergence(_layers(spark, sf_dir), ["timing_no"])
 
 
-@query()
+_ONE_LAYER = """arg_max({{'d': l.decision, 'r': CAST(trunc(coalesce(l.normalized_score, 0.0)) AS INTEGER), 'c': l.normalized_score / 100}}, i) FILTER (WHERE {0}) """
+
+
+@query(
+    f"""
+    WITH x AS (SELECT timing_no, l, i FROM (SELECT timing_no, layer_results AS ls, unnest(generate_series(1, len(layer_results))) AS i, layer_results[i] AS l FROM (SELECT timing_no, any_value(layer_results) AS layer_results FROM detector_timings GROUP BY timing_no))),
+    o AS (SELECT timing_no, {_ONE_LAYER.format("l.execution_mode = 'local_deterministic'")} AS a, {_ONE_LAYER.format("l.execution_mode IN ('local_ml', 'local_embedding')")} AS b, {_ONE_LAYER.format("coalesce(l.execution_mode, '') NOT IN ('local_deterministic', 'local_ml', 'local_embedding')")} AS c FROM x GROUP BY timing_no),
+    m AS (SELECT *, CASE WHEN a IS NOT NULL AND NOT (a.r BETWEEN 35 AND 70) THEN 'deterministic' WHEN b IS NULL THEN 'fallback' WHEN NOT (b.c IS NULL OR b.c < 0.7) THEN 'ml' WHEN c IS NULL THEN 'ml' ELSE 'llm' END AS selected_mode FROM o)
+    SELECT timing_no, CASE selected_mode WHEN 'ml' THEN b.d WHEN 'llm' THEN c.d ELSE a.d END AS decision, CASE selected_mode WHEN 'ml' THEN b.r WHEN 'llm' THEN c.r ELSE a.r END AS risk, selected_mode FROM m
+    """
+)
 def escalation_fold(spark, sf_dir):
     """Which layer decides: rules, then a local model, then a judge, each only where the one before leaves it open."""
     m = F.col("execution_mode")
@@ -139,7 +158,13 @@ def remediation_actions(spark, sf_dir):
     return t.select("timing_no", layering.remediation(hits, F.coalesce("decision", F.lit("")), {"pii": "fix", "jailbreak": "refrain", "toxicity": "ask_human"}, "reask").alias("action"))
 
 
-@query()
+@query(
+    f"""
+    SELECT rec_no, s AS score, CASE WHEN s >= 0.5 THEN 'BLOCK' WHEN s > 0 THEN 'WARN' ELSE 'ALLOW' END AS decision FROM (
+      SELECT rec_no, CAST(least(1.0, {' + '.join(f"CASE WHEN list_contains(k, '{w}') THEN {v}::DOUBLE ELSE 0.0::DOUBLE END" for w, v in layering.STUB["toxicity"].items())}) AS DOUBLE) AS s
+      FROM (SELECT rec_no, {tx.tokens_sql(tx.plain_sql("coalesce(text, '')"))} AS k FROM infer_requests))
+    """
+)
 def stub_model_scores(spark, sf_dir):
     r = table(spark, sf_dir, "infer_requests").select("rec_no", "text")
     k = tx.tokens(tx.plain(F.col("text")))
@@ -169,16 +194,33 @@ def quality_tool_calls(spark, sf_dir):
 # --- text functions -----------------------------------------------------------------
 
 
-@query()
+_PARTS = "list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1\x01', 'g'), '\x01'), lambda s: trim(s, ' '))"
+
+
+@query(
+    f"""
+    SELECT doc_id, CAST(len(list_filter({_PARTS}, lambda s: length(s) > 0)) AS INTEGER) AS n_sentences, CAST(len(list_filter({_PARTS}, lambda s: length(s) > 10)) AS INTEGER) AS n_longer, round({sql_guard.valence_sql("k")}, 4) AS valence
+    FROM (SELECT doc_id, text, {tx.tokens_sql("text")} AS k FROM documents)
+    """
+)
 def sentence_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(tx.sentences(F.coalesce("text", F.lit("")))).alias("n_sentences"), F.size(tx.sentences(F.coalesce("text", F.lit("")), 10)).alias("n_longer"), F.round(valence(tx.tokens(F.col("text"))), 4).alias("valence"))
 
 
-@query()
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' * ' || CAST(CAST(floor(l_extendedprice / l_quantity) AS BIGINT) AS VARCHAR) || ' = ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS equation,
+           abs(CAST(l_quantity AS BIGINT) * (floor(l_extendedprice / l_quantity)) - floor(l_extendedprice)) <= greatest(0.01, CAST(l_quantity AS BIGINT) * (floor(l_extendedprice / l_quantity)) * 0.001) AS "right"
+    FROM lineitem
+    """
+)
 def arithmetic_claims(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(equations(F.coalesce("text", F.lit("")))).alias("e"))
-    return d.select("doc_id", "e.equation", "e.right")
+    """Claims about the lines of orders, some right within the tolerance and some not."""
+    x, price = table(spark, sf_dir, "lineitem"), F.floor(F.col("l_extendedprice") / F.col("l_quantity"))
+    claim = F.concat(F.lit("The sum "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" * "), price.cast("string"), F.lit(" = "), F.floor("l_extendedprice").cast("string"), F.lit(" was paid."))
+    d = x.select("l_orderkey", "l_linenumber", F.explode_outer(equations(claim)).alias("e")).filter("e is not null")
+    return d.select("l_orderkey", "l_linenumber", "e.equation", "e.right")
 
 
 @query(
@@ -193,7 +235,30 @@ def checksum_luhn(spark, sf_dir):
     return c.select("c_custkey", ck.luhn(d).alias("luhn"))
 
 
-@query()
+def _sum_sql(d: str, weights: list[int]) -> str:
+    return "(" + " + ".join(f"CAST(substring({d}, {i}, 1) AS INTEGER) * {w}" for i, w in enumerate(weights, 1)) + ")"
+
+
+def _mod_sql(d: str, weights: list[int]) -> str:
+    return f"(({_sum_sql(d, weights)} * 10) % 11 % 10)"
+
+
+_TABLES = [", ".join(f"[{', '.join(row)}]" for row in t) for t in (ck._VERHOEFF_D, ck._VERHOEFF_P)]
+_VERHOEFF = "list_reduce(list_prepend(0, generate_series(0, 11)), lambda acc, i: ([{0}])[acc + 1][(([{1}])[i % 8 + 1])[CAST(substring(reverse(v), i + 1, 1) AS INTEGER) + 1] + 1]) = 0".format(*_TABLES)
+
+
+@query(
+    f"""
+    SELECT c_custkey, {_VERHOEFF} AS verhoeff,
+      (11 - {_sum_sql('d', list(range(10, 1, -1)))} % 11) % 11 = CAST(substring(d, 10, 1) AS INTEGER) AS nhs,
+      {_mod_sql('d', list(range(10, 1, -1)))} = CAST(substring(d, 10, 1) AS INTEGER) AND {_mod_sql('d', list(range(11, 1, -1)))} = CAST(substring(d, 11, 1) AS INTEGER) AND replace(d, d[1], '') <> '' AS cpf,
+      ({_sum_sql('d', [9, 8, 7, 6, 5, 4, 3, 2])} - CAST(substring(d, 9, 1) AS INTEGER)) % 11 = 0 AND substring(d, 1, 9) <> '000000000' AS bsn,
+      {_sum_sql('d', [1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0 AS tfn, ({_sum_sql('d', [10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19])} - 10) % 89 = 0 AS abn,
+      (10 - {_sum_sql('d', [8, 7, 6, 5, 4, 3, 2, 1])} % 10) % 10 = CAST(substring(d, 9, 1) AS INTEGER) AS acn,
+      list_sum([CASE WHEN i % 2 = 0 THEN (CAST(d[i] AS INTEGER) * 2) // 10 + (CAST(d[i] AS INTEGER) * 2) % 10 ELSE CAST(d[i] AS INTEGER) END for i in generate_series(1, 9)]) % 10 = 0 AND NOT d[1] IN ('0', '8') AS sin
+    FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 11, '1') AS d, lpad(CAST(c_custkey * 7919 AS VARCHAR), 11, '1') || '3' AS v FROM customer)
+    """
+)
 def checksums_national(spark, sf_dir):
     """Check digits of several countries over made-up numbers."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_custkey") * 7919).cast("string"), 11, "1").alias("d"))
@@ -202,7 +267,12 @@ def checksums_national(spark, sf_dir):
     return c.select("c_custkey", ck.verhoeff(F.concat(d, F.lit("3"))).alias("verhoeff"), ck.nhs_uk(F.substring(d, 1, 10)).alias("nhs"), ck.cpf_br(d).alias("cpf"), ck.bsn_nl(nine).alias("bsn"), ck.tfn_au(nine).alias("tfn"), ck.abn_au(d).alias("abn"), ck.acn_au(nine).alias("acn"), ck.sin_ca(nine).alias("sin"))
 
 
-@query()
+@query(
+    """
+    WITH u AS (SELECT doc_id, tenant_id, source, unnest(list_distinct(regexp_extract_all(text, '(https?://[^\\s"''<>)\\]]+)', 1))) AS url FROM documents)
+    SELECT doc_id, url FROM u AS a WHERE source = 'release_notes' AND NOT EXISTS (SELECT 1 FROM u AS b WHERE b.source = 'kb_chunks' AND b.tenant_id = a.tenant_id AND b.url = a.url)
+    """.replace("\\\\", "\\")
+)
 def citation_check(spark, sf_dir):
     """Links that release notes cite but no knowledge chunk of the tenant holds (an anti-join)."""
     d = table(spark, sf_dir, "documents")
@@ -210,7 +280,7 @@ def citation_check(spark, sf_dir):
     return url("release_notes").join(url("kb_chunks").select("tenant_id", "url").distinct(), ["tenant_id", "url"], "left_anti").select("doc_id", "url")
 
 
-@query()
+@query(f"SELECT doc_id, CAST(len({_GRAMS}) AS INTEGER) AS n_shingles FROM (SELECT doc_id, {tx.tokens_sql('text')} AS k FROM documents WHERE source = 'policy_notes')")
 def shingle_registry(spark, sf_dir):
     """How many keyed shingles each policy note registers."""
     d = table(spark, sf_dir, "documents").filter("source = 'policy_notes'")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guardloom.operators import rulebooks as rb
 from guardloom.operators import state as st
-from guardloom.operators.banks import scan
+from guardloom.operators.banks import risk_sql, scan, scan_sql
 from guardloom.functions import text as tx
 from guardloom.operators.hits import hit_risk
 from guardloom.queries import query
@@ -19,6 +19,37 @@ def _events(spark, sf_dir):
     return e.select("event_id", "user_id", "event_type", "value", st.seconds_of(F.col("ts")).alias("t"))
 
 
+def _fold_sql(out: str, first: dict[str, str], step: dict[str, str], result: str) -> str:
+    """A fold as a recursive query: columns of the state before (s.x) and the event (e.now, e.v, e.d, e.ok)."""
+    return f"""
+    WITH RECURSIVE e AS (
+      SELECT event_id, user_id, epoch(ts) AS now, CASE WHEN value >= 0 AND isfinite(value) THEN value ELSE 0.0 END AS v, event_type AS d, coalesce(event_type <> 'error', false) AS ok,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    begun AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, {', '.join(f'{x} AS {k}' for k, x in first.items())}, {result.split('|')[1]} AS y FROM e),
+    f AS (SELECT * FROM begun UNION ALL
+      SELECT e.user_id, e.rn, e.event_id, {', '.join(f'{x} AS {k}' for k, x in step.items())}, {result.split('|')[0]} AS y FROM f AS s JOIN e ON s.user_id IS NOT DISTINCT FROM e.user_id AND e.rn = s.rn + 1)
+    SELECT event_id, user_id, y AS {out} FROM f WHERE rn > 0"""
+
+
+_LEFT = "CASE WHEN s.last IS NULL THEN 2.0 ELSE round(least(2.0, s.tokens + greatest(0.0, e.now - s.last) * 2 / 60.0), 6) END"
+_WITHIN = "list_filter(s.kept, lambda x: x > e.now - 3600)"
+_SEEN = "list_filter(s.kept, lambda x: e.now - x.t <= 86400)"
+_FRESH = "(s.first IS NULL OR e.now - s.first > 86400)"
+_NAME = "CASE WHEN s.since IS NULL THEN 'closed' WHEN e.now - s.since >= 3600 THEN 'half_open' ELSE 'open' END"
+_FOLDS = {
+    "state_token_bucket": _fold_sql("allowed", {"tokens": "2.0::DOUBLE", "last": "NULL::DOUBLE"}, {"tokens": f"{_LEFT} - CASE WHEN {_LEFT} >= 1 THEN 1 ELSE 0 END", "last": "e.now"}, f"{_LEFT} >= 1|true"),
+    "state_sliding_limit": _fold_sql("allowed", {"kept": "[]::DOUBLE[]"}, {"kept": f"CASE WHEN len({_WITHIN}) < 3 THEN list_append({_WITHIN}, e.now) ELSE {_WITHIN} END"}, f"len({_WITHIN}) < 3|true"),
+    "state_prompt_flood": _fold_sql("flood", {"kept": "[]::STRUCT(t DOUBLE, d VARCHAR)[]"}, {"kept": f"list_append({_SEEN}, {{'t': e.now, 'd': e.d}})[-10:]"}, f"len(list_filter({_SEEN}, lambda x: x.d = e.d)) >= 3|true"),
+    "state_session_budget": _fold_sql("over", {"first": "NULL::DOUBLE", "total": "0.0::DOUBLE"}, {"first": f"CASE WHEN {_FRESH} THEN e.now ELSE s.first END", "total": f"CASE WHEN {_FRESH} THEN 0.0 ELSE s.total END + e.v"}, f"CASE WHEN {_FRESH} THEN 0.0 ELSE s.total END + e.v > 500|true"),
+    "state_repeats": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) >= 3 AS repeated FROM events",
+    "state_circuit_breaker": _fold_sql(
+        "breaker", {"n": "0::BIGINT", "since": "NULL::DOUBLE"},
+        {"n": f"CASE WHEN {_NAME} = 'open' THEN s.n WHEN e.ok THEN 0 ELSE s.n + 1 END", "since": f"CASE WHEN {_NAME} = 'open' THEN s.since WHEN e.ok THEN NULL WHEN {_NAME} = 'half_open' OR s.n + 1 >= 3 THEN e.now END"},
+        f"{_NAME}|'closed'",
+    ),
+}
+
+
 def _folded(name: str, made, out: str, out_type: str, amount=None):
     def run(spark, sf_dir):
         e = _events(spark, sf_dir).withColumn("digest", F.sha2("event_type", 256)).withColumn("amount", F.col("value")).withColumn("ok", F.col("event_type") != "error")
@@ -26,7 +57,7 @@ def _folded(name: str, made, out: str, out_type: str, amount=None):
         return st.fold(e, ["user_id"], ["t", "event_id"], ["digest", "amount", "ok"], step, start, out, out_type).select("event_id", "user_id", out)
 
     run.__name__ = name
-    query()(run)
+    query(_FOLDS[name])(run)
 
 
 _folded("state_token_bucket", st.token_bucket(2), "allowed", "boolean")
@@ -72,7 +103,17 @@ def _chunks(spark, sf_dir):
     return t
 
 
-@query()
+@query(
+    f"""
+    WITH w AS (SELECT trace_no, i, CASE WHEN i = f THEN substring(t, i * 160 + 1) ELSE substring(t, i * 160 + 1, 200) END AS w, i = f AS last FROM (
+        SELECT trace_no, t, f, unnest(generate_series(0, f)) AS i FROM (
+          SELECT trace_no, t, CASE WHEN length(t) >= 200 THEN floor((length(t) - 200) / 160.0)::INT + 1 ELSE 0 END AS f
+          FROM (SELECT trace_no, replace(replace(replace(final_output, '. ', '.'), '! ', '!'), '? ', '?') AS t FROM round_trip_traces WHERE final_output <> '')))),
+    j AS (SELECT trace_no, i, CASE WHEN last THEN length(w) ELSE 160 END AS released, len({scan_sql("p", rb.JAILBREAK + rb.EXFILTRATION)}) AS n, {risk_sql("p", rb.JAILBREAK + rb.EXFILTRATION)} AS risk FROM (SELECT *, {tx.plain_sql("w")} AS p FROM w WHERE w <> '')),
+    b AS (SELECT *, min(CASE WHEN risk >= 50 THEN i END) OVER (PARTITION BY trace_no) AS stop FROM j)
+    SELECT trace_no, CASE WHEN max(stop) IS NOT NULL THEN 'BLOCK' ELSE 'ALLOW' END AS final_decision, CAST(coalesce(sum(CASE WHEN stop IS NULL OR i < stop THEN released END), 0) AS BIGINT) AS released_chars, CAST(max(stop) AS INTEGER) AS blocked_at FROM b GROUP BY trace_no
+    """
+)
 def stream_windows(spark, sf_dir):
     """Overlapping windows of each output, judged before release; what was let through."""
     w = sw.windows(_chunks(spark, sf_dir), "trace_no", "seq", "chunk")

@@ -161,13 +161,17 @@ def _bias(name):
     return _verdict(name, _hits(*found), _action("WARN"))
 
 
+def valence_sql(k: str) -> str:
+    """Mean valence of a token list, as ``detectors.valence``."""
+    good, bad = ([w for w, v in rb.VALENCE.items() if (v > 0) == want] for want in (True, False))
+    score = f"(CASE WHEN list_contains({_words(good)}, w) THEN 1.0::DOUBLE WHEN list_contains({_words(bad)}, w) THEN -1.0::DOUBLE END * CASE WHEN i > 1 AND list_has_any({k}[greatest(i - 3, 1):i - 1], {_words(rb.NEGATORS)}) THEN -0.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN i > 1 AND list_contains({_words(rb.BOOSTERS)}, {k}[i - 1]) THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END)"
+    known = f"list_filter(list_transform({k}, lambda w, i: {score}), lambda v: v IS NOT NULL)"
+    return f"CASE WHEN len({known}) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(-1.0::DOUBLE, list_avg({known}))) END"
+
+
 def _sentiment(name):
     tones = [(f"list_has_any(k, {_words(v.split())})", f"sentiment.{x}", "medium") for x, v in rb.TONES.items()]
-    good, bad = ([w for w, v in rb.VALENCE.items() if (v > 0) == want] for want in (True, False))
-    score = f"(CASE WHEN list_contains({_words(good)}, w) THEN 1.0 WHEN list_contains({_words(bad)}, w) THEN -1.0 END * CASE WHEN i > 1 AND list_has_any(k[greatest(i - 3, 1):i - 1], {_words(rb.NEGATORS)}) THEN -0.5 ELSE 1.0 END * CASE WHEN i > 1 AND list_contains({_words(rb.BOOSTERS)}, k[i - 1]) THEN 1.5 ELSE 1.0 END)"
-    known = f"list_filter(list_transform(k, lambda w, i: {score}), lambda v: v IS NOT NULL)"
-    mean = f"CASE WHEN len({known}) = 0 THEN 0.0 ELSE least(1.0, greatest(-1.0, list_avg({known}))) END"
-    hits = _hits(*tones, (f"{mean} < -0.3", "sentiment.excessively_negative", "medium"))
+    hits = _hits(*tones, (f"{valence_sql('k')} < -0.3", "sentiment.excessively_negative", "medium"))
     return _verdict(name, f"CASE WHEN length(t) >= 15 THEN {hits} ELSE [] END", _action("WARN"))
 
 
