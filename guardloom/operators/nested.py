@@ -2,8 +2,8 @@
 
 Every node of a record gets the list of ordinals on its path from the root
 (its Dewey label). A parent's label is its child's label without the last
-ordinal, so links need no generated keys; the nodes of one schema path form
-one table.
+ordinal, and its schema path the child's without the last name, so links need
+no generated keys; the nodes of one schema path form one table.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ class Entity:
     name: the key (in snake case) below the parent. label: the field by which
     children name this parent; where the source keys an object by that field
     instead of holding a list, the key fills it. scalar: the field that a bare
-    value stands for.
+    value stands for. mapping: an object of names and values, one row for each
+    (label and scalar hold them).
     """
 
     name: str
     label: str = ""
     scalar: str = "value"
+    mapping: bool = False
     children: tuple["Entity", ...] = field(default=())
 
 
@@ -70,6 +72,8 @@ def _items(entity: Entity, x) -> list:
     x = _decoded(x)
     if x is None or x == "":
         return []
+    if isinstance(x, dict) and entity.mapping:
+        return [(i, {entity.label: k, entity.scalar: v}) for i, (k, v) in enumerate(x.items()) if v is not None]
     if isinstance(x, dict):
         keys = {snake(k) for k in x}
         if entity.name in keys:  # {"stages": [...]} around the list
@@ -87,10 +91,11 @@ def _items(entity: Entity, x) -> list:
     return out
 
 
-def _walk(entity: Entity, x, dewey: list[int], path: str, parent_label: str, emit) -> None:
+def _walk(entity: Entity, x, dewey: tuple[int, ...], path: str, nodes: list, labels: dict) -> None:
+    """Appends (label, schema path, fields) of every node, and notes the names of those that have one."""
     below = {c.name: c for c in entity.children}
     for i, obj in _items(entity, x):
-        here = [*dewey, i]
+        here = (*dewey, i)
         fields, later = {}, []
         for k, v in obj.items():
             k = snake(k)
@@ -98,10 +103,11 @@ def _walk(entity: Entity, x, dewey: list[int], path: str, parent_label: str, emi
                 later.append((below[k], v))
             elif v is not None:
                 fields[k] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        emit(here, path, parent_label, fields)
-        label = fields.get(entity.label, "") if entity.label else ""
+        nodes.append((here, path, fields))
+        if entity.label in fields:
+            labels[path, here] = fields[entity.label]
         for child, v in later:
-            _walk(child, v, here, f"{path}.{child.name}", label, emit)
+            _walk(child, v, here, f"{path}.{child.name}", nodes, labels)
 
 
 def dewey_nodes(df: DataFrame, key: str, json_col: str, root: Entity) -> DataFrame:
@@ -120,17 +126,19 @@ def dewey_nodes(df: DataFrame, key: str, json_col: str, root: Entity) -> DataFra
             keys, deweys, paths, labels, maps = [], [], [], [], []
             ks = b.column(0).to_pylist()
 
-            def emit(d, p, lab, f):
-                keys.append(now)
-                deweys.append(d)
-                paths.append(p)
-                labels.append(lab)
-                maps.append(list(f.items()))
-
-            for now, text in zip(ks, b.column(1).to_pylist()):
+            for key_, text in zip(ks, b.column(1).to_pylist()):
                 x = _decoded(text)
-                if isinstance(x, (list, dict)):
-                    _walk(root, x, [], root.name, "", emit)
+                if not isinstance(x, (list, dict)):
+                    continue
+                nodes, names = [], {}
+                _walk(root, x, (), root.name, nodes, names)
+                for d, p, f in nodes:
+                    keys.append(key_)
+                    deweys.append(d)
+                    paths.append(p)
+                    # the parent is what the label and the path are without their last part
+                    labels.append(names.get((p.rpartition(".")[0], d[:-1]), ""))
+                    maps.append(list(f.items()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, b.schema.field(0).type),
@@ -205,17 +213,20 @@ STAGES = Entity(
     label="kind",
     children=(
         _RULE_HITS,
-        Entity("detector_results", label="detector_name", scalar="detector_name", children=(_RULE_HITS, Entity("layer_results", scalar="execution_mode"))),
+        Entity("detector_results", label="detector_name", scalar="detector_name", children=(_RULE_HITS, Entity("layer_results", scalar="execution_mode", children=(Entity("label_scores", label="label", scalar="score", mapping=True),)))),
+        Entity("llm_error", scalar="message"),
     ),
 )
 
-#: Columns of the five tables, by schema path.
+#: Columns of the tables, by schema path: all fields that the records hold.
 TRACE_TABLES = {
-    "stages": {"kind": "string", "started_at": "double", "latency_ms": "bigint", "skipped": "boolean", "blocked": "boolean", "decision": "string", "risk_score": "int", "llm_model": "string", "total_tokens": "bigint", "input_text": "string"},
+    "stages": {"kind": "string", "started_at": "double", "latency_ms": "bigint", "skipped": "boolean", "blocked": "boolean", "decision": "string", "risk_score": "int", "llm_provider": "string", "llm_model": "string", "prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint", "input_text": "string", "user_message": "string"},
+    "stages.llm_error": {"kind": "string", "message": "string", "status_code": "int"},
     "stages.rule_hits": {"rule_id": "string", "severity": "string", "message": "string"},
     "stages.detector_results": {"detector_name": "string", "decision": "string", "risk_score": "int", "latency_ms": "bigint", "transformed": "boolean"},
     "stages.detector_results.rule_hits": {"rule_id": "string", "severity": "string", "message": "string"},
     "stages.detector_results.layer_results": {"execution_mode": "string", "selected": "boolean", "normalized_score": "double", "latency_ms": "int", "cost_usd": "double"},
+    "stages.detector_results.layer_results.label_scores": {"label": "string", "score": "double"},
 }
 
 

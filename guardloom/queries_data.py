@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guardloom import sql_nested
 from guardloom.operators import dedup, nested
 from guardloom.queries import query
 from guardloom.session import table
@@ -16,7 +17,7 @@ def _nodes(spark, sf_dir):
     return nested.dewey_nodes(traces, "trace_no", "stages", nested.STAGES)
 
 
-@query()
+@query(sql_nested.found())
 def p6_found(spark, sf_dir):
     return nested.innermost_children(_nodes(spark, sf_dir), "trace_no").select(
         "trace_no", "stage_no", "detector_name", "item_kind", "item_no"
@@ -28,7 +29,7 @@ def _trace_table(name, path):
         return nested.node_table(_nodes(spark, sf_dir), "trace_no", path, nested.TRACE_TABLES[path])
 
     run.__name__ = name
-    query()(run)
+    query(sql_nested.table(path, nested.TRACE_TABLES[path]))(run)
 
 
 _trace_table("p6_stages", "stages")
@@ -36,6 +37,8 @@ _trace_table("p6_stage_rule_hits", "stages.rule_hits")
 _trace_table("p6_detector_results", "stages.detector_results")
 _trace_table("p6_detector_rule_hits", "stages.detector_results.rule_hits")
 _trace_table("p6_layer_results", "stages.detector_results.layer_results")
+_trace_table("p6_label_scores", "stages.detector_results.layer_results.label_scores")
+_trace_table("p6_llm_errors", "stages.llm_error")
 
 
 @query()
