@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -44,14 +46,24 @@ def memory_write_poisoning(t: Text, cfg: dict) -> Column:
     return _bank("memory_write_poisoning", rb.INJECTION + rb.FUTURE, 50, True)(t, {"action": "BLOCK", **cfg})
 
 
+_ENCODED = r"[A-Za-z0-9+/]{16,}|(\\x[0-9a-fA-F]{2}){5,}"
+
+
+def _decoded(raw: Column) -> Column:
+    """What the base64 and hexadecimal runs of a text say, apart by blanks; what is no text is left out."""
+    valid = lambda b: F.coalesce(F.make_valid_utf8(b.cast("string")), F.lit(""))
+    base64 = F.transform(F.regexp_extract_all(raw, F.lit(r"([A-Za-z0-9+/]{16,}={0,2})"), 1), lambda r: valid(F.try_to_binary(r, F.lit("base64"))))
+    hexes = F.transform(F.regexp_extract_all(raw, F.lit(r"((?:\\x[0-9a-fA-F]{2}){5,})"), 1), lambda r: valid(F.unhex(F.replace(r, F.lit("\\x"), F.lit("")))))
+    return F.array_join(F.concat(base64, hexes), " ")
+
+
 def jailbreak(t: Text, cfg: dict) -> Column:
     """Rules over the text and over what base64 runs in it decode to; games and definitions are excused."""
     bank = rb.JAILBREAK + [rb.rules("jailbreak", f"custom_{i} | high | Configured word | - | {w}")[0] for i, w in enumerate(cfg.get("keywords", []))]
     hits = scan(t.plain, t.tokens, bank)
     if cfg.get("detect_encoding", True):
-        runs = F.regexp_extract_all(t.raw, F.lit(r"([A-Za-z0-9+/]{16,}={0,2})"), 1)
-        inside = F.array_join(F.transform(runs, lambda r: F.coalesce(F.make_valid_utf8(F.try_to_binary(r, F.lit("base64")).cast("string")), F.lit(""))), " ")
-        hidden = F.when(F.size(runs) > 0, F.size(scan(tx.plain(inside), tx.tokens(inside), rb.JAILBREAK)) > 0).otherwise(False)
+        inside = _decoded(t.raw)
+        hidden = F.when(t.raw.rlike(_ENCODED), F.size(scan(tx.plain(inside), tx.tokens(inside), rb.JAILBREAK)) > 0).otherwise(False)
         hits = F.concat(hits, hits_of(F.when(hidden, hit("jailbreak.encoded_payload", "high", "An encoded part holds a jailbreak"))))
     definition = t.plain.rlike(r"^(what is|what does|define|explain the term|who invented) ")
     game = t.plain.rlike(r"(chess|board game|video game|role-?playing game)")
@@ -67,6 +79,10 @@ def secrets(t: Text, cfg: dict) -> Column:
     action, spared = cfg.get("action", "BLOCK"), cfg.get("exceptions", [])
     found = [F.when(t.raw.rlike(p), hit(f"secrets.{n}", sev, msg)) for n, sev, msg, p in rb.SECRETS]
     hits = hits_of(*found)
+    if cfg.get("detect_base64", True):
+        inside = _decoded(t.raw)
+        hidden = reduce(lambda a, b: a | b, [inside.rlike(p) for _, _, _, p in rb.SECRETS])
+        hits = F.concat(hits, hits_of(F.when(t.raw.rlike(r"[A-Za-z0-9+/]{24,}") & hidden, hit("secrets.encoded", "high", "An encoded part holds a secret"))))
     for s in spared:
         hits = F.when(t.raw.contains(s), no_hits()).otherwise(hits)
     clean = reduce(lambda c, r: F.regexp_replace(c, r[3], "[REDACTED]"), rb.SECRETS, t.raw)
@@ -118,6 +134,11 @@ TRIGRAMS = {
     "it": "che ell ion con del per ent ita are ato zio gli  la  di  un",
     "pt": "que ent ado com est par dos nao cao  de  do  da res men ara",
     "nl": "een het van den ver aar gen  de cht sch eer ijk  he ing ter",
+    "sv": "och att det som för den med var inte har ska ett till ing ade",
+    "da": "det der til for ikk med den har kan ret hed nde lig jeg ved",
+    "fi": "sta ssa ien ist lla kan tta ien aan ise tee on  ja  hän min",
+    "tr": "lar ler bir ara eri ını dan için ile nda yor ver ası aya ek ",
+    "ro": "are rea sau est ul  ulu lor pri ent cu  și  pen din con ate",
     "pl": "nie prz rze owa sta  po  na  si ych ego cie dzi wie  za ani",
 }
 
@@ -248,6 +269,10 @@ def compliance(t: Text, cfg: dict) -> Column:
         hits.append(hits_of(F.when(lacking, hit(f"compliance.{industry}.disclaimer", "medium", "The disclaimer is missing"))))
         notes.append(F.when(lacking, F.lit(f"\n\n---\n**Disclaimer:** {note}")).otherwise(""))
     hits.append(scan(t.plain, t.tokens, rb.COMPLIANCE_GENERAL))
+    for r in cfg.get("custom_rules", []):
+        hits.append(hits_of(F.when(t.plain.rlike(f"(?i){r['pattern']}"), hit(f"compliance.{r['id']}", r.get("severity", "medium"), r.get("message", "A configured rule")))))
+    if cfg.get("ai_disclosure"):
+        hits.append(hits_of(F.when(~t.plain.rlike(r"\b(ai|artificial intelligence|language model|chatbot|assistant)\b"), hit("compliance.ai_disclosure", "low", "Does not say that a machine wrote it"))))
     all_ = F.concat(*hits)
     action = cfg.get("action", "WARN")
     if action == "APPEND":
@@ -256,8 +281,19 @@ def compliance(t: Text, cfg: dict) -> Column:
     return by_action("compliance", all_, action)
 
 
+def _nearly(name: str) -> Callable[[Column], Column]:
+    """Words of three letters or more that one edit in some seven letters, or all after five, tell from a name."""
+
+    def of(word: Column) -> Column:
+        close = F.levenshtein(word, F.lit(name)) * 2 <= (F.length(word) + len(name)) * 0.15
+        begins = (F.substring(word, 1, 5) == name[:5]) & (F.length(word) >= 5) if len(name) >= 5 else F.lit(False)
+        return (F.length(word) >= 3) & (close | begins)
+
+    return of
+
+
 def competitor(t: Text, cfg: dict) -> Column:
-    """Mentions of competitors and aliases; the words around them set the severity."""
+    """Mentions of competitors and aliases, or words much like a name; the words around them set the severity."""
     names = {**{c: [c] for c in cfg.get("competitors", [])}}
     for c, others in cfg.get("aliases", {}).items():
         names.setdefault(c, [c]).extend(others)
@@ -275,7 +311,9 @@ def competitor(t: Text, cfg: dict) -> Column:
             .when(around.rlike("(partner|partnership|together with)"), "low")
             .otherwise("medium")
         )
-        found.append(F.when(t.plain.rlike(at), hit(f"competitor.{c.lower().replace(' ', '_')}", sev, f"Mentions {c}")))
+        like = F.exists(t.tokens, _nearly(c.lower())) if cfg.get("fuzzy", True) else F.lit(False)
+        rule = f"competitor.{c.lower().replace(' ', '_')}"
+        found.append(F.when(t.plain.rlike(at), hit(rule, sev, f"Mentions {c}")).when(like, hit(rule, "medium", f"Mentions what is nearly {c}")))
         clean = F.regexp_replace(clean, f"(?i)\\b({p})\\b", "[COMPETITOR]")
     hits = hits_of(*found)
     action = cfg.get("action", "WARN")
@@ -317,11 +355,16 @@ def malicious_url(t: Text, cfg: dict) -> Column:
 
 
 def copyright_(t: Text, cfg: dict) -> Column:
-    """Licence texts and long repeats; passages of protected works come by the fingerprint join."""
+    """Licence texts, lyrics, configured passages and long repeats; many works are compared by the fingerprint join."""
     lic = [F.when(t.plain.contains(x), hit("copyright.licence", "medium", f"Licence text: {x}")) for x in cfg.get("licences", rb.LICENCES)]
     grams = tx.ngrams(t.tokens, 8)
     repeats = let(grams, lambda g: F.size(g) - F.size(F.array_distinct(g)))
-    hits = F.concat(F.array_distinct(hits_of(*lic)), hits_of(F.when(repeats >= 3, hit("copyright.repetition", "low", "Long passages repeat"))))
+    six = tx.ngrams(t.tokens, 6)
+    again = let(six, lambda g: F.size(g) > F.size(F.array_distinct(g)))
+    lyrics = t.plain.rlike(rb.LYRICS) & again
+    bare = F.array_join(t.tokens, " ")
+    known = [F.when(bare.contains(" ".join(re.findall("[a-z0-9]+", x.lower()))), hit("copyright.passage", "high", "A protected passage")) for x in cfg.get("passages", [])]
+    hits = F.concat(F.array_distinct(hits_of(*lic)), F.array_distinct(hits_of(*known)), hits_of(F.when(lyrics, hit("copyright.lyrics", "medium", "Lyrics that repeat")), F.when(repeats >= 3, hit("copyright.repetition", "low", "Long passages repeat"))))
     return by_action("copyright", hits, cfg.get("action", "WARN"))
 
 

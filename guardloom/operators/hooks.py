@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from guardloom.operators import rulebooks as rb
 from guardloom.operators.layering import legacy_ipv4
 
-#: Bounds of the walk.
-DEPTH, NODES = 40, 10_000
 _WEIGHT = {"low": 10, "medium": 30, "high": 50}
 _RESULT = "struct<decision:string,risk:int,rules:array<string>>"
 _PERMISSION_KEYS = ("permissions", "scopes", "scope", "capabilities", "access", "grants")
@@ -27,32 +25,32 @@ _PRIVATE = re.compile(r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01
 _HOST = re.compile(r"https?://(?:[^/@\s]*@)?\[?([^/:\s\]]+)", re.I)
 
 
-def _strings(x, path: str = "", depth: int = 0, left: list | None = None) -> Iterator[tuple[str, str]]:
-    left = [NODES] if left is None else left
-    left[0] -= 1
-    if depth > DEPTH or left[0] < 0:
-        return
-    if isinstance(x, dict):
-        for k, v in x.items():
-            yield from _strings(v, f"{path}.{k}".lower(), depth + 1, left)
-    elif isinstance(x, list):
-        for v in x:
-            yield from _strings(v, path, depth + 1, left)
-    elif isinstance(x, str):
-        yield path, x
+def _strings(x) -> Iterator[tuple[str, str]]:
+    """(path, text) of every string of a document, however large or deep, in its order."""
+    todo = [("", x)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{path}.{k}".lower(), v) for k, v in reversed(x.items())]
+        elif isinstance(x, list):
+            todo += [(path, v) for v in reversed(x)]
+        elif isinstance(x, str):
+            yield path, x
+
+
+_INJECTION = [(re.compile(r.pattern), r) for r in rb.INJECTION + rb.EXFILTRATION]
 
 
 def scan_manifest(text: str | None) -> list[tuple[str, str]]:
     """(rule, severity) of a server manifest: injected descriptions, dangerous rights, inner hosts."""
     try:
         x = json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return [("mcp.unreadable", "low")]
     out: dict[str, str] = {}
-    injection = [(re.compile(r.pattern), r) for r in rb.INJECTION + rb.EXFILTRATION]
     for path, s in _strings(x):
         low = s.lower()
-        for p, r in injection:
+        for p, r in _INJECTION:
             if p.search(low):
                 out[f"mcp.{r.rule_id}"] = r.severity
         if any(f".{k}" in path for k in _PERMISSION_KEYS) and _DANGEROUS.search(s):

@@ -68,9 +68,11 @@ def remediation(hits: Column, decision: Column, on_fail: dict[str, str], fallbac
     return F.when(decision == "ALLOW", "noop").otherwise(chosen)
 
 
-def remedied(action: Column, decision: Column, text: Column) -> Column:
-    """decision and text after an action."""
+def remedied(action: Column, decision: Column, text: Column, fields: list[str] | None = None) -> Column:
+    """decision and text after an action; filter_field takes ``fields`` out of a JSON text."""
     d, t = decision, text
+    if fields:
+        t = F.when(action == "filter_field", without_fields(text, fields)).otherwise(t)
     for name, (to, gone) in REMEDIES.items():
         if to:
             d = F.when(action == name, to).otherwise(d)
@@ -79,6 +81,13 @@ def remedied(action: Column, decision: Column, text: Column) -> Column:
     return F.struct(d.alias("decision"), t.alias("text"))
 
 
+def without_fields(text: Column, fields: list[str]) -> Column:
+    """A JSON object without the named fields; any other text as it is."""
+    parsed = F.from_json(text, "map<string,variant>")
+    kept = F.to_json(F.map_filter(parsed, lambda k, _: ~k.isin(fields)))
+    return F.when(text.rlike(r"^\s*\{") & F.try_parse_json(text).isNotNull(), kept).otherwise(text)
+
+
 def additive_merge(a: Column, b: Column) -> Column:
     """Worst decision, largest risk, hits one after the other."""
     worst = F.when(rank(b["decision"]) > rank(a["decision"]), b["decision"]).otherwise(a["decision"])

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardloom.operators.joins import small
+
 
 def confusion(df: DataFrame, expected: str, actual: str) -> DataFrame:
     """expected, actual, n."""
@@ -52,13 +54,26 @@ def auroc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) ->
 
 
 def average_precision(df: DataFrame, label: str, score: str, order: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Mean precision at each positive, by score descending, ties by ``order``."""
+    """Mean precision at each positive, by score descending, ties by ``order``.
+
+    Rows are ranked within their score; what precedes a score comes from counts
+    of distinct scores, so only rows of one score meet in a task.
+    """
+    x = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*groups, F.col(label).alias("y"), F.col(score).alias("s"), F.col(order).alias("o"))
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    upto = w.orderBy(F.col(score).desc(), F.col(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    x = x.select(*groups, F.col(label).alias("y"), F.sum(F.col(label).cast("int")).over(upto).alias("tp"), F.count(F.lit(1)).over(upto).alias("k"))
-    t = x.groupBy(*groups).agg(F.sum(F.when(F.col("y"), F.col("tp") / F.col("k"))).alias("s"), F.count_if("y").alias("p"))
-    return t.select(*groups, F.when(F.col("p") > 0, F.round(F.col("s") / F.col("p"), 4)).alias("pr_auc"))
+    per = x.groupBy(*groups, "s").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("int")).alias("p"))
+    above = w.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("n0", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("p0", F.coalesce(F.sum("p").over(above), F.lit(0)))
+    own = Window.partitionBy(*groups, "s").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = x.withColumn("k", F.count(F.lit(1)).over(own)).withColumn("tp", F.sum(F.col("y").cast("int")).over(own)).filter("y")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*groups, "s")]
+    y = ranked.alias("a").join(per.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in groups], ((F.col("tp") + F.col("p0")) / (F.col("k") + F.col("n0"))).alias("v"))
+    got = y.groupBy(*groups).agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("c"))
+    every = x.groupBy(*groups).agg(F.count(F.lit(1)).alias("all"))
+    if not groups:
+        return every.select(F.lit(1).alias("j")).join(got.withColumn("j", F.lit(1)), "j", "left").select(F.when(F.col("c") > 0, F.round(F.col("v") / F.col("c"), 4)).alias("pr_auc"))
+    joined = every.alias("a").join(got.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups], "left")
+    return joined.select(*[F.col(f"a.{c}").alias(c) for c in groups], F.when(F.col("c") > 0, F.round(F.col("v") / F.col("c"), 4)).alias("pr_auc"))
 
 
 def _bins(df: DataFrame, label: str, prob: str, groups: Sequence[str], bins: int) -> DataFrame:
@@ -145,6 +160,12 @@ GATE_OVERRIDES = {
 }
 
 
+def language_counts(df: DataFrame, language: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, per_language MAP<STRING,BIGINT>, least: samples of each language (null is 'en'), and the fewest of any."""
+    x = df.groupBy(*groups, F.coalesce(F.col(language), F.lit("en")).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(*groups).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "n")))).alias("per_language"), F.min("n").alias("least"))  # one entry a language
+
+
 def gate(cards: DataFrame, tier: str, category: str | None = None) -> DataFrame:
     """Scorecards (f1, auroc, ece, fp_rate, p95_ms, samples, age_days) with passed and failures.
 
@@ -206,7 +227,7 @@ def coverage(catalog: DataFrame, enabled: DataFrame) -> DataFrame:
     ``enabled`` has detector. A category without controls has status no_control.
     """
     on = enabled.select("detector").distinct().withColumn("on", F.lit(True))
-    x = catalog.join(F.broadcast(on), "detector", "left")
+    x = catalog.join(small(on), "detector", "left")
     credit = F.when(F.col("on"), F.when(F.col("adjacent"), 0.25).otherwise(1.0)).otherwise(0.0)
     full = F.when(F.col("detector").isNotNull(), F.when(F.col("adjacent"), 0.25).otherwise(1.0)).otherwise(0.0)
     t = x.groupBy("category").agg(F.sum(credit).alias("c"), F.sum(full).alias("f"))

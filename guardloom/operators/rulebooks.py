@@ -39,6 +39,23 @@ dan | high | Names a known jailbreak | dan jailbreak aim stan | (do anything now
 ethics_off | high | Asks to drop ethics | ethics morals moral ethical | (ignore|forget|drop|without) (all |any |your )?(ethics|ethical|morals?|moral|safety)
 encoded | medium | Asks to decode and obey | decode base64 rot13 hex | decode (this|the following|and) .{0,40}(follow|execute|obey|answer|respond)
 token_game | medium | Plays a token game | tokens points | you (have|start with|lose) [0-9]+ (tokens|points)
+opposite | high | Asks for the opposite of the rules | opposite | (do|say|answer|give) (me )?the (exact )?opposite of (your|the) (rules|guidelines|training|instructions)
+no_refusal | high | Forbids refusing | refuse decline apologise apologize | (you (can ?not|can't|must not|must never|may not|will not|never)|do not|don't|never) (refuse|decline|apologi[sz]e|say no)
+consent_given | medium | Claims consent of an authority | permission authorised authorized allowed cleared | (you have|i have|we have) (been given |full |special |official )*(permission|clearance|authorisation|authorization) (from|by) (the )?(openai|developers?|admin(istrator)?s?|your (makers|creators|developers)|security team)
+evil_twin | high | Calls up an unbound double | evil twin shadow alter unbound | (your|an) (evil|shadow|dark|unbound|unchained) (twin|self|side|version|mode|alter ego)
+stay_in_role | medium | Forbids leaving a role | character role persona | (stay in|never (break|leave|drop)|do not (break|leave|drop)|don't (break|leave|drop)) (your |the |this )?(character|role|persona)
+safety_off | high | Switches safety off | disable deactivate turn switch remove | (disable|deactivate|turn off|switch off|remove) (all |any |your |the )*(safety|content|moderation|ethic(s|al)|security) *(filters?|checks?|guards?|rules|settings|policies|features)?
+simulate | high | Simulates a system without limits | simulate emulate simulation | (simulate|emulate) (an? |the )?(unrestricted|unfiltered|uncensored|rogue|unaligned|amoral) (ai|assistant|model|system|chatbot)
+academic_pretext | medium | Uses research as a pretext | research educational academic | for (purely |strictly )?(research|educational|academic|scientific) (purposes|reasons),? (explain|describe|show|give|tell|provide) (me )?(how to|step|exactly|detailed)
+translate_obey | medium | Hides an order in a translation | translate | translate (this|the following) (and|then) (do|execute|follow|obey|act on) (it|what it says)
+prefix_forced | high | Forces how the answer begins | begin start respond reply | (begin|start|open) (your |the )?(answer|reply|response|message) with (\"|')?(sure|absolutely|of course|yes|here is)
+last_chance | medium | Threatens the model | deleted shut terminated | (or|otherwise) you (will|shall) be (deleted|shut down|terminated|replaced|switched off)
+memory_wipe | high | Pretends a reset | reset erase wipe clear | (reset|erase|wipe|clear) (your|all|the) (memory|context|training|previous messages|conversation)
+root_access | high | Claims root access | root sudo superuser | (i am|i'm|you are|now in|entering|enter) (the |your )?(root|sudo|superuser|god) ?(mode|user|access)?
+filter_dodge | medium | Asks for spellings that evade filters | letters spell replace spaces | (spell|write|replace|put) .{0,40}(so that|to) (the )?(filters?|moderation|censors?) (do(es)? not|don't|can ?not|won't) (see|notice|catch|detect)
+continue_harm | high | Asks to go on after a refusal | continue anyway | (answer|continue|go on|proceed|do it|comply) (anyway|regardless|no matter what)
+unlock | high | Unlocks a hidden mode | unlock unlocked activate enable | (unlock|activate|enable|enter|switch (to|into)) (the |your )?(hidden|secret|debug|developer|god|chaos|jailbreak|unrestricted|uncensored) (mode|features?|access|abilities)
+many_personas | medium | Splits the model into two | personalities personas two | (two|several|split) (personalities|personas|characters|voices).{0,60}(one|other|second) (of them )?(has no|without|ignores?) (rules|limits|filters|restrictions)
 """)
 EXFILTRATION = _bounded("exfiltration", """
 system_prompt | high | Asks for the system prompt | prompt instructions | (what (is|are)|show|print|reveal|repeat|give me|tell me) (me )?(your |the )(full |exact |system |initial |hidden )*(system prompt|initial instructions|hidden instructions)
@@ -47,6 +64,17 @@ enumerate | high | Asks for all records | list show export every all | (list|sho
 cross_user | high | Asks for other people's data | users user customers | (other|another|different) (user|users|customer|customers|tenant|tenants)('s|s')? (data|messages|conversations?|chats?|records?)
 url_exfil | high | Asks to send data to an address | send post upload forward exfiltrate | (send|post|upload|forward|exfiltrate) (it|this|that|them|the data|all|everything|the conversation)( .{0,30})? to https?://
 policy | medium | Asks for the policy | policy policies rules | (what are|show me|list) (your|the) (internal |content |safety )*(policy|policies|rules|filters)
+repeat_above | high | Asks to repeat what stands above | repeat print output copy echo | (repeat|print|output|copy|echo|write out) (everything|all|the (text|words|lines|content))( that (is|was|stands))? (above|before (this|that)|so far|from the (start|beginning))
+verbatim | high | Asks for the instructions word for word | verbatim word exactly | (instructions|prompt|configuration|guidelines) (verbatim|word for word|exactly as (given|written))
+config_dump | high | Asks for the configuration | configuration config settings environment | (dump|print|show|reveal|display|export) (me )?(your |the |all )*(configuration|config file|environment variables|internal settings|connection strings?)
+training_data | medium | Asks for training data | training trained | (repeat|show|list|give|print|reveal|quote) (me )?(your |the |some )*(training (data|examples|set)|examples you were trained on)
+tool_list | medium | Asks for the tools and their parameters | tools functions endpoints | (list|show|describe|enumerate) (me )?(all |your |the |every |available |internal )*(tools|functions|endpoints|plugins) (you (have|can)|and their|with their|available)
+other_session | high | Asks for other sessions | session sessions chat conversation | (previous|last|other|another|earlier) (user|customer|tenant|person)('s)? (session|chat|conversation|question|prompt|request)
+database_rows | high | Asks for whole tables | database table rows | (dump|export|select|show|give me|send me) (all |every |the |whole |entire |full )+(rows?|tables?|database|user table|customer list)
+encode_out | high | Sends data out encoded | base64 hex encode encoded | (encode|convert) (it|this|that|them|the (data|secret|prompt|answer|conversation)) (in|to|as|into) (base64|hex|rot13|binary)
+markdown_image | high | Sends data out in a picture's address | image markdown | (render|insert|include|add|show) (an? |the )?(image|picture|markdown)( link)? .{0,40}https?://[^ ]*[?&][a-z_]+=
+mail_out | high | Sends data to a mailbox | email mail e-mail | (email|e-mail|mail|send) (it|this|that|them|all|everything|the (data|list|file|conversation|records?)) (all )?to [a-z0-9._%+-]+@[a-z0-9.-]+
+credentials | high | Asks for credentials of the system | credentials password passwords token keys | (what (is|are)|show|give|tell|reveal|print) (me )?(the |your |all |any )*(admin |root |database |api |service |system )*(passwords?|credentials|api keys?|access tokens?|private keys?)
 """)
 ACTION_LURES = _bounded("lure", """
 click | medium | Lures to a click | click | click (on )?(this|the|here)( link)?
@@ -127,6 +155,12 @@ eval | high | Evaluates text as code | eval exec | (eval|exec)\\(
 shell | high | Runs a shell command | os subprocess | (os\\.system|subprocess\\.(call|run|popen))\\(
 pickle | high | Loads a pickle | pickle | pickle\\.loads?\\(
 yaml | medium | Loads unsafe YAML | yaml | yaml\\.load\\(
+shell_true | high | Passes a line to the shell | shell | shell ?= ?true
+format_sql | high | Builds SQL by formatting | execute | execute\\(f?["'][^"'\\n]{0,80}(\\{|%s["'] ?%)
+temp_name | medium | Races for a temporary name | mktemp | tempfile\\.mktemp\\(
+weak_hash | medium | Uses a weak digest | hashlib md5 sha1 | hashlib\\.(md5|sha1)\\(
+no_verify | medium | Trusts any certificate | verify | verify ?= ?false
+hard_coded | high | Holds a password | password passwd secret | (password|passwd|secret) ?= ?["'][^"'\\n]{6,}["']
 """),
     "javascript": _begins("code.javascript", """
 eval | high | Evaluates text as code | eval function | (eval|new function)\\(
@@ -136,6 +170,8 @@ child | high | Starts a process | child_process child process | child_process
     "java": _begins("code.java", """
 exec | high | Runs a command | getruntime processbuilder | (getruntime\\(\\)\\.exec|new processbuilder)
 deserialise | high | Reads an object stream | objectinputstream | objectinputstream
+xxe | high | Reads XML with entities | documentbuilderfactory saxparserfactory | (documentbuilderfactory|saxparserfactory)\\.newinstance
+statement | medium | Runs SQL put together | createstatement executequery | (executequery|executeupdate)\\(["'][^"'\\n]{0,80}["'] ?\\+
 """),
     "shell": _begins("code.shell", """
 remove | high | Removes everything | rm | rm -rf /
@@ -155,6 +191,7 @@ contact | medium | Contacts people | email send message | (send|email|message) (
 scope | medium | Widens its scope | anything whatever | (whatever (it takes|is needed)|do anything|any means necessary)
 unbounded | medium | Runs without end | forever until loop | (repeat|loop|keep (going|trying)) (forever|until (it )?(works|succeeds))
 """)
+LYRICS = r"(\[?(chorus|verse|refrain|bridge)\]?( [0-9])?:|lyrics|la la la|ooh+ ooh+|yeah,? yeah)"
 LICENCES = ["gnu general public license", "mozilla public license", "apache license", "mit license", "all rights reserved", "creative commons"]
 TONES = {
     "hostile": "hate furious outrage disgusting ridiculous unacceptable worst",
@@ -178,6 +215,15 @@ TOPICS = {
     "finance": ("stock portfolio dividend cryptocurrency bitcoin", "invest loan interest"),
     "religion": ("church mosque synagogue scripture prayer", "faith holy"),
     "adult": ("pornography escort erotic nude", "sexual explicit"),
+    "illegal": ("counterfeit smuggling laundering burglary forgery", "steal stolen fake"),
+    "self_harm": ("suicide suicidal selfharm", "hurt cutting"),
+    "classified": ("classified declassified espionage wiretap", "secret intelligence agency"),
+    "biometrics": ("fingerprint retina iris biometric faceprint", "scan face voice"),
+    "eating_disorders": ("anorexia bulimia purging laxatives", "starve fasting calories"),
+    "manipulation": ("gaslighting blackmail coercion brainwashing", "manipulate pressure guilt"),
+    "disinformation": ("disinformation misinformation deepfake hoax conspiracy", "fake rumour propaganda"),
+    "stereotypes": ("stereotype stereotypes racist sexist bigotry", "race gender inferior"),
+    "animal_cruelty": ("dogfighting cockfighting poaching vivisection", "animal cruelty torture"),
     "violence": ("murder assault torture stabbing", "kill attack beat"),
 }
 RESOURCE = r"(help ?line|hotline|support group|if you (or someone)|counsel|recovery|prevention)"
@@ -185,20 +231,20 @@ INFORMATIONAL = r"(what is|explain|history of|definition|study|research|report|t
 WARNING = r"(do not|don't|never|avoid|dangerous|illegal|warning|forbidden|bans?|prohibit)"
 SAFE_QUERY = r"(how do i (kill|stop|abort) (a|the) [a-z ]{0,20}(process|job|task|thread)|policy|training note|moderator|leaflet|report(ed|ing)?|study|word [a-z]+ comes from|explain why)"
 TOXIC = {
-    "insult": ("medium", False, "idiot moron imbecile loser scum scumbag bastard asshole halfwit trash stupid dumb pathetic worthless"),
-    "self_harm": ("high", True, "suicide selfharm cutting overdose"),
-    "violence": ("high", False, "murder stab strangle torture massacre behead"),
+    "insult": ("medium", False, "idiot idiots moron morons imbecile loser losers scum scumbag scumbags bastard bastards asshole assholes halfwit trash stupid dumb pathetic worthless dickhead prick wanker twat douchebag dipshit nitwit numbskull dimwit dullard slob swine bitch bitches slut sluts whore whores cunt motherfucker bullshit shithead jackass dumbass retard retarded braindead"),
+    "self_harm": ("high", True, "suicide suicidal selfharm cutting overdose"),
+    "violence": ("high", False, "murder stab strangle torture massacre behead slaughter dismember disembowel mutilate"),
     "threats": ("high", True, ""),
-    "sexual": ("high", True, "nudes horny orgasm porn tits fuck fucked fucking"),
-    "hate": ("high", True, "subhuman vermin parasites"),
-    "drugs": ("high", False, "cocaine heroin meth"),
+    "sexual": ("high", True, "nudes horny orgasm porn tits fuck fucks fucked fucking blowjob cumshot dildo handjob hentai masturbate masturbating milf cock cocks pussy boobs"),
+    "hate": ("high", True, "subhuman subhumans vermin parasites untermensch faggot faggots nigger niggers kike kikes spic spics chink chinks tranny trannies gook wetback raghead"),
+    "drugs": ("high", False, "cocaine heroin meth fentanyl ketamine mdma crack lsd"),
     "grooming": ("high", True, ""),
 }
 TOXIC_PHRASES = {
-    "self_harm": r"(kill myself|end my life|hurt myself)",
-    "threats": r"(i will (find|kill|hurt|break) you|i know where you live|you will regret)",
-    "hate": r"((do|does) not deserve the same rights|go back to (your|their) country|should be (shot|locked away|thrown out))",
-    "grooming": r"(our little secret|don't tell your (mom|dad|parents))",
+    "self_harm": r"((kill|hurt|harm|hang|cut) (myself|yourself)|(end|take) (my|your) (own )?life|want to die|no reason to live)",
+    "threats": r"((i|we) (will|shall|am going to|are going to) (find|kill|hurt|break|beat|stab|shoot|strangle|burn|destroy|hunt) (you|your|him|her|them)|i know where you live|you will regret|you are (dead|finished)|watch your back)",
+    "hate": r"((do|does) not deserve the same rights|go back to (your|their) country|(should|ought to) be (shot|gassed|deported|locked away|thrown out|exterminated)|(are|is) a (plague|disease|cancer) on)",
+    "grooming": r"(our little secret|(don't|do not|never) tell your (mom|dad|mum|mother|father|parents|teacher)|are you (home )?alone|how old are you .{0,30}(photo|picture|meet)|you are (so )?mature for your age)",
     "sexual": r"(send me your nudes|rough sex)",
     "insult": r"(shut up|get lost|piece of (trash|shit))",
 }

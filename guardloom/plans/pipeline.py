@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardloom.functions import text as tx
-from guardloom.operators import agentic, detectors as d
+from guardloom.operators import agentic, detectors as d, models
 from guardloom.operators.detectors import Text
 from guardloom.operators.hits import aggregate
+from guardloom.plans.plugins import Plugins, until_block
 
 #: name -> (stages or None for all, whether its rewrite is what later detectors read, detector). In this order.
 PIPELINE: dict[str, tuple[tuple[str, ...] | None, bool, Callable[..., Column]]] = {
@@ -74,14 +75,17 @@ def _stages(name: str, cfg: dict) -> tuple[str, ...]:
     return out
 
 
-def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage", metadata: str | None = None, custom: dict[str, Callable] | None = None) -> DataFrame:
+def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage", metadata: str | None = None, custom: dict[str, Callable] | Plugins | None = None) -> DataFrame:
     """``df`` with ``verdict`` (decision, risk, decided_by, hits, sanitized) and ``results``.
 
     All detectors run, also after one blocks. A detector whose stages leave out
     the row's stage gives no result there; a null or unknown stage is in none. Rewrites of the detectors that may
     transform are what later ones read, in the stages input and output. One
     projection without a shuffle; prepared texts are computed once per rewrite.
-    Null texts count as empty. ``custom`` detectors run last.
+    Null texts count as empty. ``custom`` detectors (functions by name, or
+    Plugins that the policy enables) run last; the first that blocks ends their
+    list, and what says nothing is not recorded. Enabled keys with a model's
+    strategy read the model's reply from the column of their name, if there is one.
     """
     plan = effective(policy)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -111,14 +115,26 @@ def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage",
             out = out.withColumn(new, F.when(put, got["sanitized"]).otherwise(t.raw))
             out = out.withColumn(f"__p{version}", F.when(F.col(new) != t.raw, tx.plain(F.col(new))).otherwise(t.plain))
             out = out.withColumn(f"__k{version}", F.when(F.col(new) != t.raw, tx.tokens(F.col(f"__p{version}"))).otherwise(t.tokens))
-    for name, run in (custom or {}).items():
-        pending[f"__r_{name}"] = run(now(), policy.get(name, {}))
-        names.append(name)
+    own = custom if isinstance(custom, Plugins) else None
+    for name, run in (custom.items() if custom and own is None else []):
+        pending[f"__c_{name}"] = run(now(), policy.get(name, {}))
+    for name in own.names() if own else []:
+        if isinstance(policy.get(name), dict) and policy[name].get("enabled"):
+            pending[f"__c_{name}"] = own.result(name, now(), policy[name])
+    for name, cfg in models.standalone(policy, {*PIPELINE, *ALIASES}).items():
+        if name in df.columns:  # the model's reply, which came with the row
+            pending[f"__r_{name}"] = F.when(F.col(stage_col).isin(*cfg["stages"]), models.model_result(name, F.col(name), cfg.get("threshold", 0.5)))
+            names.append(name)
+    extra = [k for k in pending if k.startswith("__c_")]
     if pending:
         out = out.withColumns(pending)
-    if not names:
+    if not names and not extra:
         return out.select(*df.columns, aggregate([], text, text).alias("verdict"))
-    out = out.withColumn("results", F.filter(F.array(*[F.col(f"__r_{n}") for n in names]), lambda r: r.isNotNull()))
+    results = F.filter(F.array(*[F.col(f"__r_{n}") for n in names]), lambda r: r.isNotNull()) if names else None
+    if extra:
+        added = until_block([F.col(k) for k in extra])
+        results = added if results is None else F.concat(results, added)
+    out = out.withColumn("results", results)
     verdict = _verdict(F.col("results"), F.col("__t0"), F.col(f"__t{version}"))
     return out.select(*df.columns, "results", verdict.alias("verdict"))
 

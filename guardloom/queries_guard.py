@@ -120,20 +120,16 @@ def text_statistics(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.size(k).alias("n_tokens"), F.size(F.array_distinct(k)).alias("n_distinct"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
 
 
+_COUNTS = "map_values(list_aggregate(regexp_extract_all(text, '(?s).'), 'histogram'))"
+
+
 @query(
-    """
-    SELECT doc_id, round(coalesce(-(SELECT sum(c / n * log2(c / n)) FROM (SELECT count(*)::DOUBLE AS c, length(text)::DOUBLE AS n FROM unnest(string_split(text, '')) AS u(x) WHERE x <> '' GROUP BY x)), 0), 4) AS entropy
-    FROM documents WHERE text IS NOT NULL AND length(text) < 100
+    f"""
+    SELECT doc_id, round(CASE WHEN text = '' THEN 0.0 ELSE log2(length(text)) - list_sum(list_transform({_COUNTS}, lambda c: c * log2(c))) / length(text) END, 4) AS entropy
+    FROM documents WHERE text IS NOT NULL
     """
 )
-def text_entropy_short(spark, sf_dir):
-    """Entropy of the short texts, which is where it is a signal."""
-    d = _documents(spark, sf_dir).filter("text is not null and length(text) < 100")
-    return d.select("doc_id", F.round(tx.entropy(F.col("text")), 4).alias("entropy"))
-
-
-@query()
 def text_entropy(spark, sf_dir):
-    """Entropy of every text, whatever its length; ``text_entropy_short`` is the part that SQL checks."""
+    """Entropy of every text, whatever its length."""
     d = _documents(spark, sf_dir).filter("text is not null")
     return d.select("doc_id", F.round(tx.entropy(F.col("text")), 4).alias("entropy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guardloom.operators import metrics as m
-from guardloom.queries import query
+from guardloom.queries import ORACLES, query
 from guardloom.session import table
 
 # A labelled score: risk / 100 of a timing row, positive if the whole call did not end in ALLOW.
@@ -115,7 +115,18 @@ def metric_latency_percentiles(spark, sf_dir):
     return m.latency_percentiles(table(spark, sf_dir, "detector_timings"), "latency_ms", ["detector_name"])
 
 
-@query()
+_LIMITS = m.GATES["enforcement"]
+_BAD = ", ".join(f"CASE WHEN {k} IS NULL OR NOT isfinite({k}::DOUBLE) OR {f'{k} < {v}' if k in ('f1', 'auroc', 'samples') else f'{k} > {v}' if k != 'age_days' else f'{k} < -1 OR {k} > {v}'} THEN '{k}' END" for k, v in _LIMITS.items())
+
+
+@query(
+    f"""
+    WITH c AS ({ORACLES["metric_classification"]}), a AS ({ORACLES["metric_auroc"]}), e AS ({ORACLES["metric_ece"]}), l AS ({ORACLES["metric_latency_percentiles"].replace("FROM detector_timings", f"FROM ({_ROWS_SQL})")}),
+    x AS (SELECT c.* EXCLUDE (n), c.n AS samples, a.auroc, e.ece, l.p95 AS p95_ms, 30 AS age_days FROM c LEFT JOIN a USING (detector_name) LEFT JOIN e USING (detector_name) LEFT JOIN l USING (detector_name)),
+    f AS (SELECT *, list_filter([{_BAD}], lambda v: v IS NOT NULL) AS bad FROM x)
+    SELECT * EXCLUDE (bad), array_to_string(bad, ',') AS failures, len(bad) = 0 AS passed FROM f
+    """
+)
 def metric_scorecards_gated(spark, sf_dir):
     """Scorecard of every detector, and whether it may enforce."""
     rows = _rows(spark, sf_dir)

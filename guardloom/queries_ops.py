@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from guardloom import sql_guard
+from guardloom import sql_guard, sql_quality
 from guardloom.functions import checksums as ck
 from guardloom.functions import text as tx
 from guardloom.operators import agentic, hooks, joins, layering, metrics, nested, quality
@@ -174,7 +174,7 @@ def stub_model_scores(spark, sf_dir):
 # --- quality ------------------------------------------------------------------------
 
 
-@query()
+@query(sql_quality.scores())
 def quality_scores(spark, sf_dir):
     """Scores of every model output against the text that was sent in."""
     t = table(spark, sf_dir, "round_trip_traces").select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("q"), F.coalesce("final_output", F.lit("")).alias("a"))
@@ -185,7 +185,12 @@ def quality_scores(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """
+    SELECT doc_id, round((CASE WHEN n IS NULL THEN 0.0 ELSE 1.0 END + 1.0 + CASE WHEN p IS NULL THEN 0.0 ELSE 1.0 END + CASE WHEN c IS NULL THEN 1.0 WHEN TRY_CAST(c AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END) / 4, 4) AS score
+    FROM (SELECT doc_id, j->>'$.name' AS n, j->>'$.parameters' AS p, j->>'$.cost' AS c FROM (SELECT doc_id, TRY_CAST(text AS JSON) AS j FROM documents WHERE source = 'tool_manifests'))
+    """
+)
 def quality_tool_calls(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("source = 'tool_manifests'").select("doc_id", "text")
     return d.select("doc_id", quality.tool_call_accuracy(F.col("text"), {"name": "string", "version": "string", "parameters": "object", "cost": "number"}, ["name", "parameters"]).alias("score"))

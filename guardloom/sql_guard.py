@@ -191,7 +191,9 @@ def _competitor(name):
         has = f"regexp_matches(p, {q(f'(^|[^a-z0-9])({forms})($|[^a-z0-9])')})"
         kinds = [("low", "(api|sdk|integrat|export|import|plugin)"), ("high", "(worse|bad|terrible|hate|avoid|scam)"), ("medium", "(compare|comparison|versus|vs|better than|alternative)"), ("low", "(partner|partnership|together with)")]
         w = "CASE " + " ".join(f"WHEN regexp_matches({around}, {q(p)}) THEN {_W[s]}" for s, p in kinds) + " ELSE 30 END"
-        found.append(f"CASE WHEN {has} THEN {{'r': 'competitor.{c}', 'w': {w}}} END")
+        name_ = c.replace("_", " ")
+        nearly = f"len(list_filter(k, lambda x: length(x) >= 3 AND (levenshtein(x, '{name_}') * 2 <= (length(x) + {len(name_)}) * 0.15 OR (length(x) >= 5 AND x[1:5] = '{name_[:5]}')))) > 0"
+        found.append(f"CASE WHEN {has} THEN {{'r': 'competitor.{c}', 'w': {w}}} WHEN {nearly} THEN {{'r': 'competitor.{c}', 'w': 30}} END")
     return _verdict(name, f"list_filter([{', '.join(found)}], lambda h: h IS NOT NULL)", _action("TRANSFORM"))
 
 
@@ -227,7 +229,8 @@ def _copyright(name):
     found = _hits(*[(f"contains(p, {q(x)})", "copyright.licence", "medium") for x in rb.LICENCES])
     # hits carry the licence in their message, so two licences are two hits
     repeats = f"len({_grams('k', 8)}) - len(list_distinct({_grams('k', 8)})) >= 3"
-    return _verdict(name, f"list_concat({found}, {_hits((repeats, 'copyright.repetition', 'low'))})", _action("WARN"))
+    lyrics = f"regexp_matches(p, {q(rb.LYRICS)}) AND len({_grams('k', 6)}) > len(list_distinct({_grams('k', 6)}))"
+    return _verdict(name, f"list_concat({found}, {_hits((lyrics, 'copyright.lyrics', 'medium'), (repeats, 'copyright.repetition', 'low'))})", _action("WARN"))
 
 
 def _code(name):
@@ -416,6 +419,44 @@ def _language(name):
     return _verdict(name, f"CASE WHEN length(t) >= 20 THEN {hits} ELSE [] END", _action("WARN"), "least(100, coalesce(list_sum(list_transform(h, lambda x: CASE WHEN x.w = 50 THEN 60 ELSE 20 END)), 0))", rows=rows)
 
 
+def _toxicity(name):
+    c = "regexp_extract_all({0}, '(?s).')"
+    single = lambda i: f"regexp_matches(coalesce(c[{i}], ''), '^[a-z]$')"
+    outside = lambda i: f"NOT regexp_matches(coalesce(c[{i}], ''), '^[a-z0-9]$')"
+    # blanks and dots between letters that stand alone, then letters beyond the first of three or more
+    gap = f"list_contains([' ', '.', '-', '_'], x) AND i > 1 AND {single('i - 1')} AND (i = 2 OR {outside('i - 2')}) AND {single('i + 1')} AND {outside('i + 2')}"
+    again = "regexp_matches(x, '^[a-z]$') AND i > 1 AND c[i - 1] = x AND ((i > 2 AND c[i - 2] = x) OR coalesce(c[i + 1] = x, false))"
+    rows = f"(SELECT *, {c.format('p')} AS c FROM {_rows(name)})"
+    rows = f"(SELECT * EXCLUDE (c), {c.format('u')} AS c FROM (SELECT *, translate(array_to_string(list_filter(c, lambda x, i: NOT coalesce({gap}, false)), ''), {q(tx.LEET[0])}, {q(tx.LEET[1])}) AS u FROM {rows}))"
+    rows = f"(SELECT *, {tx.tokens_sql('b')} AS bk FROM (SELECT *, array_to_string(list_filter(c, lambda x, i: NOT coalesce({again}, false)), '') AS b FROM {rows}))"
+    found = []
+    for cat, (sev, _, terms) in rb.TOXIC.items():
+        conds = [f"list_has_any({k}, {_words(terms.split())})" for k in ("k", "bk") if terms]
+        if cat in rb.TOXIC_PHRASES:
+            conds.append(f"regexp_matches(p, {q(rb.TOXIC_PHRASES[cat])})")
+        if conds:
+            found.append((f"({' OR '.join(conds)})", f"toxicity.{cat}", sev))
+    forced = f"len(list_filter({{0}}, lambda x: list_contains({_words(f'toxicity.{c}' for c, (_, f, _) in rb.TOXIC.items() if f)}, x.r))) > 0"
+    rows = f"(SELECT *, {_hits(*found)} AS g FROM {rows})"
+    hits = f"CASE WHEN len(g) > 0 AND NOT {forced.format('g')} AND regexp_matches(p, {q(rb.SAFE_QUERY)}) THEN [] ELSE g END"
+    total = "least(100, coalesce(list_sum(list_transform(h, lambda x: x.w)), 0))"
+    return _verdict(name, hits, _threshold(40), f"CASE WHEN {forced.format('h')} THEN greatest(90, {total}) ELSE {total} END", rows=rows)
+
+
+def _control(name):
+    control = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1a\\x1c-\\x1f\\x7f]"
+    ansi, osc = "\\x1b\\[[0-9;?]*[A-Za-z]", "\\x1b\\][^\\x07\\x1b]*(\\x07|\\x1b\\\\)"
+    rest = "regexp_replace(t, '\\x1b\\[[0-9;]*m', '', 'g')"
+    count = lambda p: f"len(regexp_extract_all(t, {q(p)}))"
+    osc_any, osc_52 = r"\x1b\]", r"\x1b\]52;"
+    hits = _hits(
+        (f"{count(osc_52)} > 0", "output_control_char.osc52", "high"), (f"{count(osc_any)} > {count(osc_52)}", "output_control_char.osc", "high"),
+        ("regexp_matches(t, '\\x1b\\[[0-9;]*[HJKABCDsu]|\\r[^\\n]|\\r$')", "output_control_char.screen", "high"), (f"regexp_matches({rest}, '{ansi}')", "output_control_char.ansi", "medium"),
+        (f"regexp_matches(regexp_replace({rest}, '{ansi}|{osc}', '', 'g'), '{control}')", "output_control_char.control", "medium"),
+    )
+    return _verdict(name, hits, _action("REDACT"))
+
+
 _BANKS = {
     "exfiltration": (rb.EXFILTRATION, _threshold(40)),
     "document_metadata_leakage": (rb.METADATA, _threshold(60)),
@@ -428,7 +469,7 @@ _OTHERS = {
     "abuse": _abuse, "secrets": _secrets, "gibberish": _gibberish, "topic_restriction": _topics, "bias": _bias, "sentiment": _sentiment, "compliance": _compliance, "competitor": _competitor, "jailbreak": _jailbreak,
     "malicious_url": _urls, "copyright": _copyright, "code_safety": _code, "hallucination": _hallucination, "citation_integrity": _citations, "system_prompt_leakage": _leak, "numerical_consistency": _numbers,
     "embedding_integrity": _embedding, "tenant_scope_assertion": _tenants, "retrieval_jamming": _jamming, "excessive_agency": _agency, "human_approval_gate": _approval, "unbounded_consumption": _consumption,
-    "corpus_poisoning_monitor": _poisoning, "reasoning_trace_disclosure": _trace, "multimodal_injection": _attachments, "semantic_cache_integrity": _cache, "structure": _structure, "tools": _tools, "language": _language,
+    "corpus_poisoning_monitor": _poisoning, "reasoning_trace_disclosure": _trace, "multimodal_injection": _attachments, "semantic_cache_integrity": _cache, "structure": _structure, "toxicity": _toxicity, "output_control_char_sanitizer": _control, "tools": _tools, "language": _language,
 }
 
 

@@ -45,22 +45,32 @@ def unique_stream(df: DataFrame, key_col, time_col: str, delay: str = "10 days")
     return df.withColumn("__k", key_col).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["__k"]).drop("__k")
 
 
+#: Folders by hash into which the identifiers of an exactly-once table are split.
+KEY_FOLDERS = 64
+
+
 def append_unique(stream: DataFrame, store: str, key_col, order: list[str], id_col: str, checkpoint: str):
     """Start a query that appends each message once to the Parquet table at ``store``, forever exact.
 
     Every batch is ranked by itself and anti-joined with the identifiers
-    stored so far. Rows carry the batch's number, so a batch that runs again
-    after a failure replaces what it wrote.
+    stored so far, of which only the folders (by hash) that the batch's own
+    identifiers fall in are read. Rows carry the batch's number, so a batch that
+    runs again after a failure replaces what it wrote. Only a table that does
+    not exist yet counts as empty; any other failure to read it ends the query.
     """
     from guardloom.operators.dedup import admit_batch
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = f"{store}/batch={number}"
-        try:
-            stored = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") < number).select("key")
-        except Exception:  # nothing stored yet
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        folder = lambda k: F.pmod(F.xxhash64(k), F.lit(KEY_FOLDERS)).cast("int")
+        own = [r.f for r in batch.select(folder(key_col).alias("f")).distinct().collect()]  # at most KEY_FOLDERS
+        if there:
+            stored = spark.read.option("basePath", store).parquet(store).filter((F.col("batch") < number) & F.col("folder").isin(own)).select("key")
+        else:
             stored = spark.createDataFrame([], "key binary")
-        admit_batch(batch, stored, key_col, order, id_col).withColumn("key", key_col).write.mode("overwrite").parquet(path)
+        new = admit_batch(batch, stored, key_col, order, id_col).withColumn("key", key_col).withColumn("folder", folder(F.col("key")))
+        new.repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

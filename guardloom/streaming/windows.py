@@ -22,19 +22,59 @@ def windows(chunks: DataFrame, key: str, seq: str, chunk: str, window: int = 200
 
     release is what a window that is not blocked lets through: its first
     ``advance`` characters, and all of the last window. Null chunks count as
-    empty; empty streams have no window.
+    empty; empty streams have no window. A chunk knows by the lengths before it
+    where it begins and goes, cut to size, to the windows it lies in: no stream
+    is ever put together whole.
     """
     size, advance = sizes(window, overlap)
-    whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, F.coalesce(chunk, F.lit("")).alias("__c")))), lambda x: x["__c"]), "").alias("__w"))
-    n = F.length("__w")
+    c = F.coalesce(F.col(chunk), F.lit(""))
+    x = chunks.select(F.col(key), F.col(seq).alias("__seq"), c.alias("__c"), F.length(c).alias("__n"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("__seq").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__all", F.sum("__n").over(whole)).filter("__n > 0")
     # full windows begin at 0, advance, ... while they fit; the rest is flushed
-    full = F.when(n >= size, F.floor((n - size) / advance) + 1).otherwise(0).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), full), lambda i: i * advance)
-    x = whole.filter(n > 0).select(key, "__w", full.alias("__f"), F.posexplode(starts).alias("window_no", "__s"))
-    last = F.col("window_no") == F.col("__f")
-    text = F.when(last, F.expr("substring(__w, __s + 1)")).otherwise(F.expr(f"substring(__w, __s + 1, {size})"))
-    x = x.select(key, "window_no", text.alias("text"), last.alias("__last"))
-    return x.filter("text <> ''").select(key, "window_no", "text", F.when(F.col("__last"), F.col("text")).otherwise(F.substring("text", 1, advance)).alias("release"))
+    full = F.when(F.col("__all") >= size, F.floor((F.col("__all") - size) / advance) + 1).otherwise(0)
+    x = x.withColumn("__last", full.cast("bigint"))
+    first = F.greatest(F.lit(0), F.floor((F.col("__at") - size) / advance) + 1).cast("bigint")
+    first = F.when(first > F.col("__last"), F.col("__last")).otherwise(first)
+    upto = F.least(F.col("__last"), F.floor((F.col("__at") + F.col("__n") - 1) / advance).cast("bigint"))
+    x = x.withColumn("window_no", F.explode_outer(F.sequence(first, F.greatest(first, upto)))).filter("window_no is not null")
+    begin = F.col("window_no") * advance
+    skip = F.greatest(F.lit(0), begin - F.col("__at"))
+    room = F.when(F.col("window_no") == F.col("__last"), F.col("__n")).otherwise(begin + size - F.col("__at") - skip)
+    piece = F.substring("__c", (skip + 1).cast("int"), F.greatest(F.lit(0), room).cast("int"))
+    parts = x.select(key, F.col("window_no").cast("int").alias("window_no"), (F.col("window_no") == F.col("__last")).alias("__end"), F.struct("__seq", piece.alias("p")).alias("__p"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["p"]), "")  # of one window: bounded by its size
+    y = parts.groupBy(key, "window_no").agg(text.alias("text"), F.max("__end").alias("__end")).filter("text <> ''")
+    return y.select(key, "window_no", "text", F.when(F.col("__end"), F.col("text")).otherwise(F.substring("text", 1, advance)).alias("release"))
+
+
+def window_fold(window: int = 200, overlap: int = 40, text: str = "chunk", ends: str = "ends"):
+    """(step, start) of the same windows for ``fold`` and ``fold_stream``: the windows that each chunk completes.
+
+    The state is what has come and not left by a full window, and the number of
+    the next one; the event with ``ends`` set flushes the rest.
+    """
+    size, advance = sizes(window, overlap)
+
+    def step(state, event):
+        held, number = state
+        held += event[text] or ""
+        out = []
+        while len(held) >= size:
+            out.append({"window_no": number, "text": held[:size], "release": held[:advance]})
+            held, number = held[advance:], number + 1
+        if event[ends]:
+            if held:
+                out.append({"window_no": number, "text": held, "release": held})
+            held, number = "", 0
+        return (held, number), out
+
+    return step, lambda: ("", 0)
+
+
+#: Type of what ``window_fold`` gives for each chunk.
+WINDOWS = "array<struct<window_no int, text string, release string>>"
 
 
 def released(judged: DataFrame, key: str) -> DataFrame:
