@@ -4,13 +4,15 @@ Look-alike characters are mapped first (widths, blanks, invisible characters,
 ligatures, letters of other scripts). What remains is grouped by the Unicode
 collation, under which composed and combining accents are equal while accents,
 case, punctuation and raised digits differ. Each class gets one canonical
-member, which is joined back.
+member, which is joined back; it is written in a form that does not depend on
+which members there are, so the results of different tables compare as well.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +67,9 @@ def _table() -> tuple[str, str, dict[str, str], dict[str, str]]:
         for src, dst in part.items():
             assert len(src) == len(dst), (src, dst)
             one.update(zip(src, dst))
-    for cp in [*range(0x0370, 0x0590), *range(0x1F00, 0x2000)]:  # composed look-alikes, as their decomposition maps
+    for cp in [*range(0x0370, 0x0590), 0x1E9B, *range(0x1F00, 0x2000)]:  # composed look-alikes, as their decomposition maps
         d = unicodedata.normalize("NFD", chr(cp))
-        if d[1:] and d[0] in one:
+        if d != chr(cp) and d[0] in one:
             to = unicodedata.normalize("NFC", one[d[0]] + d[1:])
             one[chr(cp)] = to if len(to) == 1 else one[d[0]]
             if len(to) > 1:
@@ -121,6 +123,10 @@ def look_key(col: Column | str) -> Column:
     return F.collate(skeleton(col), "UNICODE")
 
 
+#: Every character that has a canonical decomposition, but Hangul syllables.
+_COMPOSED = [cp for cp in [*range(0x00C0, 0xAC00), *range(0xF900, 0x1FFFF), *range(0x2F800, 0x2FA20)] if (d := unicodedata.decomposition(chr(cp))) and d[0] != "<"]
+
+
 def _coarse_table() -> tuple[str, str]:
     """The look-alike table with accents dropped as well, by rule.
 
@@ -130,7 +136,7 @@ def _coarse_table() -> tuple[str, str]:
     """
     to, gone = dict(zip(_FROM, _TO)), set(_GONE)
     gone |= {chr(cp) for cp in [*range(0x1100, 0x1200), *range(0xAC00, 0xD7A4)]}
-    for cp in [*range(0x00C0, 0x3130), *range(0xF900, 0xFB50)]:
+    for cp in _COMPOSED:
         d = unicodedata.normalize("NFD", chr(cp))
         if d != chr(cp):
             to.setdefault(chr(cp), d[0])
@@ -139,6 +145,7 @@ def _coarse_table() -> tuple[str, str]:
         while (y := to.get(x, unicodedata.normalize("NFD", x)[:1])) != x:
             x = y
         to[c] = x
+    gone |= {c for c, x in to.items() if x in gone}  # a mark that is another one
     kept = {c: x for c, x in to.items() if c not in gone}
     return "".join(kept) + "".join(sorted(gone)), "".join(kept.values())
 
@@ -177,28 +184,87 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(ids, "__id", "left_semi").select("__id", "__t", F.md5("__t").alias("__m"))
 
 
-def _oddness(text: Column) -> Column:
-    """How many characters of a text are not the plain ones; the canonical member has the fewest."""
-    odd = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\p{P}\p{S} \n]", "")) + F.length(F.regexp_replace(text, r"[^＀-￯ﬀ-ﬆⅠ-ⅿ‐‑]", ""))
-    mixed = F.expr(r"regexp_count(__t, '[\\p{IsLatin}][\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}]|[\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}][\\p{IsLatin}]')")
-    return odd + mixed
+#: Letters that are read as Latin ones, by script; within a word that has other letters of the script they are its own.
+def _back() -> dict[str, dict[str, str]]:
+    """By script: Latin letter -> its own; letters with accents as their decomposition says."""
+    lists = list(LOOKALIKES.items())
+    out = {}
+    for script, part, cps in (("Cyrillic", lists[:2], range(0x0400, 0x0530)), ("Greek", lists[2:4], [*range(0x0370, 0x0400), *range(0x1F00, 0x2000)]), ("Armenian", lists[4:5], ())):
+        to = {a: b for src, dst in part for a, b in zip(src, dst)}
+        back = {b: a for a, b in reversed(to.items())}
+        for cp in cps:
+            d = unicodedata.normalize("NFD", chr(cp))
+            if d[1:] and d[0] in to:
+                latin = unicodedata.normalize("NFC", to[d[0]] + d[1:])
+                if len(latin) == 1:
+                    back.setdefault(latin, unicodedata.normalize("NFC", chr(cp)))
+        out[script] = back
+    return out
+
+
+_BACK = _back()
+
+
+def _one_script(col: Column) -> Column:
+    """A skeleton with words that hold a letter of another script written in that script throughout.
+
+    Such a letter is in every member of a class, so all get the same words.
+    """
+    words = F.regexp_extract_all(col, F.lit(r"(\p{L}[\p{L}\p{M}]*|[^\p{L}]+)"), 1)
+
+    def written(w: Column) -> Column:
+        out = w
+        for script, back in _BACK.items():
+            out = F.when(w.rlike(rf"\p{{Is{script}}}"), F.translate(w, "".join(back), "".join(back.values()))).otherwise(out)
+        return out
+
+    return F.when(col.rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"), F.array_join(F.transform(words, written), "")).otherwise(col)
+
+
+def _composed(col: str) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in s], dtype=object)
+
+    return run(col)
+
+
+def _unstable() -> str:
+    """A class of what composition may change: combining marks, Hangul letters, characters that do not stay composed."""
+    moved, runs = [cp for cp in _COMPOSED if unicodedata.normalize("NFC", chr(cp)) != chr(cp)], []
+    for cp in moved:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return r"[\p{M}\x{1100}-\x{11FF}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+_UNSTABLE = _unstable()
+
+
+def consistent(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the text's one form, by its characters alone.
+
+    Look-alikes mapped, words of other scripts in their own letters, accents
+    composed. Only texts with combining marks go through Python.
+    """
+    x = df.withColumn(out, _one_script(skeleton(text_col)))
+    loose = F.coalesce(F.col(out).rlike(_UNSTABLE), F.lit(False))
+    return x.filter(~loose).unionByName(x.filter(loose).withColumn(out, _composed(out)))
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """Classes of equal looks among candidates: look (collated), canonical, n_rows, varied.
 
-    The canonical member is the one with the fewest odd characters, then the
-    smallest in code point order. Members are never gathered: minima are kept
-    while counting, so a class may hold any share of the rows. ``varied`` says
-    that the class has more than one spelling.
+    The canonical member is written in the consistent form, which all members
+    of a class have in common; should two forms differ, the smallest counts.
+    Members are never gathered: minima are kept while counting, so a class may
+    hold any share of the rows. ``varied`` says that it has more than one spelling.
     """
     t = rows.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
-    t = t.select("__t", "__n", look_key("__t").alias("look"), _oddness(F.col("__t")).alias("__odd"))
-    return t.groupBy("look").agg(
-        F.min_by("__t", F.struct("__odd", "__t")).alias("canonical"),
-        F.sum("__n").alias("n_rows"),
-        (F.min("__t") != F.max("__t")).alias("varied"),
-    )
+    t = t.select("__t", "__n", look_key("__t").alias("look"), _one_script(skeleton("__t")).alias("__c"))
+    return t.groupBy("look").agg(F.min("__c").alias("canonical"), F.sum("__n").alias("n_rows"), (F.min("__t") != F.max("__t")).alias("varied"))
 
 
 def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -211,14 +277,14 @@ def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, canonical: every text in its class's one form.
 
-    A text that no other text looks like is its own form. Null texts stay null;
-    texts that draw nothing become ''.
+    A text that no other text looks like has its own consistent form, the same
+    that it would have among others. Null texts stay null; texts that draw
+    nothing become ''.
     """
     found = _members(df, id_col, text_col).select(F.col("__id").alias(id_col), "canonical")
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__t"))
-    own = F.coalesce("canonical", "__t")
-    blank = own.rlike(rf"^(?:[\s{BLANKS}]|{INVISIBLE})*$")
-    return rows.join(found, id_col, "left").select(id_col, F.when(blank, F.lit("")).otherwise(own).alias("canonical"))
+    rows = df.select(F.col(id_col), F.col(text_col).alias("__t")).join(found, id_col, "left")
+    both = consistent(rows.select(id_col, F.coalesce("canonical", "__t").alias("__own")), "__own", "__c")
+    return both.select(id_col, F.when(F.col("__own").isNotNull(), F.coalesce("__c", F.lit(""))).alias("canonical"))
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
