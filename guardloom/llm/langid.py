@@ -30,10 +30,10 @@ CENTROIDS = 2
 LEAD = 0.04
 #: ... and with such a confidence.
 SURE = 0.7
-#: Share of the training sentences of a centroid that its rejection radius keeps.
-KEEP = 0.995
-#: A cosine above this is never a rejection, however tight a centroid's own sentences lie.
-NEAR = 0.08
+#: Share of the training sentences of a centroid that lie within its radius.
+KEEP = 0.98
+#: ... and by what share of that radius (a least cosine) a sentence may fall short of it.
+SLACK = 0.5
 #: A sentence with a code character for so many words, and two or more in all, is code.
 CODE = 5
 #: Softness of the confidence.
@@ -202,6 +202,9 @@ def fit(texts: list[tuple[str, str]], clusters: int = CENTROIDS) -> Centroids:
             if lang not in ("ru", "ja", "ar", "zh", "ko", "el", "uk") and (bare := _unaccented(s)) != s:
                 sents.append(bare)
                 langs.append(languages.index(lang))
+    if not sents:  # nothing is near to no centroid
+        none = np.empty(0, np.int64)
+        return Centroids([], none, np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), np.empty(0, np.float32))
     y = np.array(langs)
     row, feat, n = features(sents)
     tf = (1 + np.log(n)).astype(np.float32)
@@ -220,7 +223,7 @@ def fit(texts: list[tuple[str, str]], clusters: int = CENTROIDS) -> Centroids:
                 continue
             group = np.zeros(len(sents), np.int64) - 1
             group[own] = np.arange(len(own)) * clusters // max(1, len(own)) if final else 0
-            k_now = clusters if final and len(own) >= 20 * clusters else 1
+            k_now = clusters if final and len(own) >= 2 * clusters else 1
             group[own] = np.minimum(group[own], k_now - 1)
             mine = np.isin(row, own)
             r, f, v = row[mine], feat[mine], w[mine]
@@ -243,7 +246,7 @@ def fit(texts: list[tuple[str, str]], clusters: int = CENTROIDS) -> Centroids:
             keep = right
     for c in range(len(owner)):
         own = cos[(near == c) & right, c]
-        model.radius[c] = min(NEAR, np.quantile(own, 1 - KEEP)) if len(own) else NEAR
+        model.radius[c] = (1 - SLACK) * np.quantile(own, 1 - KEEP) if len(own) else 1.0
     return model
 
 
@@ -267,7 +270,7 @@ def decide(model: Centroids, texts: list[str | None]) -> list[list[tuple[str, fl
             sents += own
             where += [i] * len(own)
     out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
-    if not sents:
+    if not sents or not len(model.owner):
         return out
     best, accepted = model.by_language(sents)
     size = np.array([len(s) for s in sents])
