@@ -2,18 +2,22 @@
 
 Each document gets a rate r = min(cap, exp(l * n / m)): of all rates that give
 its source the wanted tokens they are the closest to one copy each, in relative
-entropy. The multipliers l solve a convex dual, by Newton steps of which each
-is one aggregation over counts of (source, length). Rates are then rounded to
-whole copies by systematic sampling, which keeps the totals.
+entropy. The multipliers l solve a convex dual that falls apart by source: its
+Newton iterations run in the tasks, on each source's counts of documents by
+length. Rates are then rounded to whole copies by systematic sampling, which
+keeps the totals.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardloom.operators.joins import small
 from guardloom.session import materialize
 
 #: Newton steps at most; a step that leaves its bracket is replaced by a bisection.
@@ -22,8 +26,6 @@ STEPS = 60
 CLOSE = 1e-6
 #: Documents of a source that are rounded together, about.
 ROUNDED_TOGETHER = 2_000
-#: Targets that are read to the driver, at most; more raise an error.
-MAX_SOURCES = 10_000
 
 
 def lengths(docs: DataFrame, source_col: str, tokens_col: str) -> DataFrame:
@@ -35,105 +37,86 @@ def lengths(docs: DataFrame, source_col: str, tokens_col: str) -> DataFrame:
     return t.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """source -> (share, cap); the table is one row per source and its size is checked."""
-    rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} targets")
-    return {r.source: (float(r.target_share), max(0, int(r.max_repeats if r.max_repeats is not None else 1))) for r in rows}
-
-
-def budgets(have: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens wanted of each source.
+def wanted(hist: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """source, have, docs, mean, cap, want: the sources that can carry a share, with the tokens wanted of each.
 
     Shares are those among the targeted sources that have tokens and a cap. By
     default the total is the largest at which every such source can hold its
     share within its cap; for a given total, sources that are too small give
-    all they can and the others keep their tokens.
+    all they can and the others keep their tokens. Two numbers reach the driver.
     """
-    able = {s: (p, c) for s, (p, c) in targets.items() if have.get(s, 0) > 0 and c > 0}
-    mass = sum(p for p, _ in able.values())
-    if not mass:
-        return {}
-    most = min(have[s] * c / (p / mass) for s, (p, c) in able.items())
-    size = most if total is None else total
-    return {s: min(size * p / mass, float(have[s] * c)) for s, (p, c) in able.items()}
-
-
-def solve(hist: DataFrame, want: dict[str, float], caps: dict[str, int], mean: dict[str, float]) -> dict[str, float]:
-    """The multiplier of each source: sum of n * min(cap, exp(l * n / mean)) = want.
-
-    ``hist`` is read once per step; only one row per source comes back. The sum
-    rises with l, so a bracket is kept for every source and all are solved at once.
+    facts = hist.groupBy("source").agg(F.sum(F.col("n_docs") * F.col("n_tokens")).alias("have"), F.sum("n_docs").alias("docs"))
+    t = targets.select("source", F.col("target_share").cast("double").alias("p"), F.greatest(F.lit(0), F.coalesce(F.col("max_repeats"), F.lit(1))).cast("double").alias("cap"))
+    able = facts.join(t.filter("source is not null and p > 0 and cap > 0"), "source").filter("have > 0")
+    mass = able.agg(F.sum("p").alias("m"), F.min(F.col("have") * F.col("cap") / F.col("p")).alias("most")).first()
+    m = mass.m or 1.0
+    size = (mass.most or 0.0) * m if total is None else float(total)
+    want = F.least(F.lit(size) * F.col("p") / F.lit(m), F.col("have") * F.col("cap"))
+    return able.select("source", "have", "docs", (F.col("have") / F.col("docs")).alias("mean"), "cap", want.alias("want"))
+
+
+def solve(n: np.ndarray, docs: np.ndarray, mean: float, cap: float, want: float) -> float:
+    """The multiplier of one source: sum of docs * n * min(cap, exp(l * n / mean)) = want.
+
+    The sum rises with l, so a bracket is kept, and a Newton step that leaves
+    it is replaced by a bisection. A source that must give all it has gets one
+    at which every rate is the cap.
     """
-    low, high = {s: -60.0 for s in want}, {s: 60.0 for s in want}
-    now = {s: 0.0 for s in want}
-    open_ = set(want)
+    tokens = n * docs
+    if want >= tokens.sum() * cap * (1 - 1e-12):
+        return 60.0 * mean / max(1.0, n.min())
+    low, high, now = -60.0 * mean / n.min(), 60.0 * mean / n.min(), 0.0
     for _ in range(STEPS):
-        if not open_:
+        rate = np.exp(np.minimum(now * n / mean, 50.0))
+        gap = float((tokens * np.minimum(rate, cap)).sum()) - want
+        if abs(gap) <= CLOSE * want:
             break
-        known = F.create_map(*[F.lit(x) for s in sorted(open_) for x in (s, now[s] / mean[s])])
-        cap = F.create_map(*[F.lit(x) for s in sorted(open_) for x in (s, float(caps[s]))])
-        n = F.col("n_tokens").cast("double")
-        rate = F.exp(F.least(known[F.col("source")] * n, F.lit(50.0)))
-        free = rate < cap[F.col("source")]
-        t = hist.filter(F.col("source").isin(sorted(open_)))
-        sums = t.groupBy("source").agg(
-            F.sum(F.col("n_docs") * n * F.least(rate, cap[F.col("source")])).alias("got"),
-            F.sum(F.when(free, F.col("n_docs") * n * n * rate).otherwise(0.0)).alias("slope"),
-        )
-        for r in sums.collect():
-            s, gap = r.source, r.got - want[r.source]
-            if abs(gap) <= CLOSE * want[s]:
-                open_.discard(s)
-                continue
-            if gap > 0:
-                high[s] = now[s]
-            else:
-                low[s] = now[s]
-            step = now[s] - gap / (r.slope / mean[s]) if r.slope else math.inf
-            now[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] < 1e-12:
-                open_.discard(s)
+        low, high = (low, now) if gap > 0 else (now, high)
+        slope = float((tokens * n / mean * rate)[rate < cap].sum())
+        step = now - gap / slope if slope else math.inf
+        now = step if low < step < high else (low + high) / 2
     return now
 
 
+def multipliers(hist: DataFrame, wants: DataFrame) -> DataFrame:
+    """source, multiplier (per token), cap, groups: what a document's rate is worked out from.
+
+    A source's counts by length meet in one task; they are as many as there are
+    lengths, not documents.
+    """
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        one = part.iloc[0]
+        order = np.argsort(part["n_tokens"].to_numpy())
+        l = solve(part["n_tokens"].to_numpy(float)[order], part["n_docs"].to_numpy(float)[order], float(one["mean"]), float(one["cap"]), float(one["want"]))
+        return pd.DataFrame({"source": [key[0]], "multiplier": [l / float(one["mean"])], "cap": [float(one["cap"])], "groups": [max(1, int(one["docs"]) // ROUNDED_TOGETHER)]})
+
+    both = hist.join(small(wants), "source")
+    return both.groupBy("source").applyInPandas(run, "source string, multiplier double, cap double, groups bigint")
+
+
 def mix(docs: DataFrame, id_col: str, source_col: str, tokens_col: str, targets: DataFrame, total: float | None = None) -> DataFrame:
     """id, source, n_tokens, rate, copies of every document that is used at least once.
 
     copies is the rate rounded down or up and so never above the source's cap.
     Sources without a target, documents without tokens and null sources are not
-    used. Copies of a source are rounded in groups of about ROUNDED_TOGETHER by
-    hash, sorted by length, so no source is ever sorted in one task.
+    used. What is known of the sources is joined to the documents, broadcast
+    only if it is small. Copies of a source are rounded in groups of about
+    ROUNDED_TOGETHER by hash, sorted by length, so no source is ever sorted in
+    one task.
     """
     thin = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.col(tokens_col).cast("bigint").alias("n_tokens"))
     hist = materialize(lengths(thin, "source", "n_tokens"))
-    wanted = read_targets(targets)
-    facts = hist.filter(F.col("source").isin(sorted(wanted))).groupBy("source").agg(F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"), F.sum("n_docs").alias("d")).collect()
-    have, size = {r.source: r.t for r in facts}, {r.source: r.d for r in facts}
-    want = budgets(have, wanted, total)
-    if not want:
-        none = F.lit(None)
-        return thin.limit(0).select(id_col, "source", "n_tokens", none.cast("double").alias("rate"), none.cast("bigint").alias("copies"))
-    caps = {s: wanted[s][1] for s in want}
-    mean = {s: have[s] / size[s] for s in want}
-    # a source that must give all it can needs no multiplier
-    full = {s for s in want if want[s] >= have[s] * caps[s] * (1 - 1e-12)}
-    dual = solve(hist, {s: w for s, w in want.items() if s not in full}, caps, mean)
-    known = F.create_map(*[F.lit(x) for s in sorted(want) for x in (s, 50.0 if s in full else dual[s] / mean[s])])
-    cap = F.create_map(*[F.lit(x) for s in sorted(want) for x in (s, float(caps[s]))])
-    groups = F.create_map(*[F.lit(x) for s in sorted(want) for x in (s, max(1, size[s] // ROUNDED_TOGETHER))])
-    src = F.col("source")
-    used = thin.filter(src.isin(sorted(want)) & (F.col("n_tokens") > 0))
-    rate = F.least(F.exp(F.least(known[src] * F.col("n_tokens"), F.lit(50.0))), cap[src])
-    mixed = F.xxhash64(F.lit("mix"), id_col)
-    used = used.withColumn("rate", rate).withColumn("__g", F.pmod(mixed, groups[src].cast("bigint")))
+    known = materialize(multipliers(hist, wanted(hist, targets, total)))
+    used = thin.filter("source is not null and n_tokens > 0").join(small(known), "source")
+    used = used.withColumn("rate", F.least(F.exp(F.least(F.col("multiplier") * F.col("n_tokens"), F.lit(50.0))), F.col("cap")))
+    used = used.withColumn("__g", F.pmod(F.xxhash64(F.lit("mix"), id_col), F.col("groups")))
     order = Window.partitionBy("source", "__g").orderBy("n_tokens", id_col)
     upto = F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     start = F.pmod(F.xxhash64(F.lit("start"), "source", "__g"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     used = used.withColumn("__u", upto + start)
     copies = (F.floor(F.col("__u") + F.lit(1e-9)) - F.floor(F.col("__u") - F.col("rate") + F.lit(1e-9))).cast("bigint")
-    copies = F.least(copies, cap[src].cast("bigint"))
+    copies = F.least(copies, F.col("cap").cast("bigint"))
     return used.withColumn("copies", copies).filter("copies > 0").select(id_col, "source", "n_tokens", "rate", "copies")
 
 
