@@ -143,6 +143,12 @@ def _percentile_sql(groups: str) -> str:
     """
 
 
+@query(_SKETCH_SQL)
+def p4_sketches(spark, sf_dir):
+    """What is stored per day: bucket counts that merge by addition."""
+    return _day_sketches(spark, sf_dir)
+
+
 @query(_percentile_sql("detector_name"))
 def p4_percentiles(spark, sf_dir):
     """Per detector, merged from the sketches of its days."""
@@ -155,12 +161,6 @@ def p4_percentiles_by_day(spark, sf_dir):
     return sketch.percentiles(_day_sketches(spark, sf_dir), ["detector_name", "day"], _SHARES)
 
 
-@query(_SKETCH_SQL)
-def p4_sketches(spark, sf_dir):
-    """What is stored per day: bucket counts that merge by addition."""
-    return _day_sketches(spark, sf_dir)
-
-
 # --- 8 token ids --------------------------------------------------------------------
 
 
