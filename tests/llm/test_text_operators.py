@@ -58,6 +58,26 @@ def test_same_look_brute_force(spark):
     assert got == want and got
 
 
+def test_canonical_form_of_one_text_alone(spark):
+    """A text comes out alike whether its twins are in the table or not."""
+    twins = ["caf\u00e9 \uff4f\uff4b", "cafe\u0301 ok", "c\u0430f\u00e9\u00a0ok", "\u043c\u043eя \u043dочь", "\u043coя нoчь", "\u03bf\u03b4\u03cc\u03c2", "oδ\u03bf\u0301ς", "\U0002F800 x", "\u4E3D x", "\ufb01n"]
+    frame = lambda rows: spark.createDataFrame(rows, "n bigint, t string")
+    got = {r.n: r.canonical for r in lookalike.canonical_forms(frame(list(enumerate(twins))), "n", "t").collect()}
+    assert got[0] == got[1] == got[2] == "caf\u00e9 ok" and got[3] == got[4] == "моя ночь" and got[5] == got[6] and got[7] == got[8] and got[9] == "fin"
+    for n, t in enumerate(twins):
+        assert lookalike.canonical_forms(frame([(n, t)]), "n", "t").first().canonical == got[n]
+    again = {r.n: r.canonical for r in lookalike.canonical_forms(frame(list(got.items())), "n", "t").collect()}
+    assert again == got  # the form of a form is itself
+
+
+def test_coarse_hash_covers_all_canonical_decompositions(spark):
+    cps = [cp for cp in lookalike._COMPOSED if len(unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(cp)))) <= 3]
+    rows = [(cp, chr(cp), unicodedata.normalize("NFD", chr(cp))) for cp in cps]
+    x = spark.createDataFrame(rows, "cp int, a string, b string")
+    assert len(cps) > 1_500
+    assert x.filter(lookalike.coarse_hash("a") != lookalike.coarse_hash("b")).count() == 0
+
+
 # --- 2 ------------------------------------------------------------------------------
 
 
@@ -95,6 +115,21 @@ def test_segments_edges(spark, model):
     assert langid.segments(odd_rows(spark).limit(0), model, "rec_no", "text").count() == 0
 
 
+def test_no_language_without_labelled_texts(spark):
+    empty = langid.fit([])
+    assert langid.decide(empty, ["The house is green and old.", None]) == [[], []]
+    assert langid.segments(odd_rows(spark), empty, "rec_no", "text").count() == 0
+
+
+def test_languages_that_are_not_known_are_rejected(model):
+    """Every centroid has a radius of its own, and what lies beyond it has no language."""
+    assert len({round(float(r), 4) for r in model.radius}) > len(model.radius) // 2
+    strange = ["Vláda schválila nový zákon o dani z příjmů.", "Regeringen har beslutat om nya regler för skolan i år.", "Hallitus päätti uusista säännöistä kouluille tänä vuonna.", "Hükümet bu yıl okullar için yeni kurallar belirledi."]
+    assert langid.decide(model, strange) == [[]] * 4
+    known = ["The government has decided on new rules for schools this year.", "La nouvelle règle vaut pour toutes les écoles du pays."]
+    assert [d[0][0] for d in langid.decide(model, known)] == ["en", "fr"]
+
+
 # --- 3 ------------------------------------------------------------------------------
 
 
@@ -333,6 +368,19 @@ def test_mixture(spark):
     assert mixture.mix(docs, "doc_id", "source", "n_tokens", targets.limit(0)).count() == 0
 
 
+def test_multiplier_of_one_source():
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        n = np.sort(rnd.choice(np.arange(1, 3_000), 40, replace=False)).astype(float)
+        docs, cap = rnd.integers(1, 500, 40).astype(float), float(rnd.integers(1, 6))
+        mean = (n * docs).sum() / docs.sum()
+        for share in (1e-4, 0.3, 0.999, 1.0):
+            want = share * (n * docs).sum() * cap
+            l = mixture.solve(n, docs, mean, cap, want)
+            got = (n * docs * np.minimum(cap, np.exp(np.minimum(l * n / mean, 50.0)))).sum()
+            assert got == pytest.approx(want, rel=1e-5)
+
+
 # --- 10 -----------------------------------------------------------------------------
 
 
