@@ -12,6 +12,7 @@ from guardloom.operators import agentic, detectors as d, models
 from guardloom.operators.detectors import Text
 from guardloom.operators.hits import aggregate
 from guardloom.plans.plugins import Plugins, until_block
+from guardloom.session import spread
 
 #: name -> (stages or None for all, whether its rewrite is what later detectors read, detector). In this order.
 PIPELINE: dict[str, tuple[tuple[str, ...] | None, bool, Callable[..., Column]]] = {
@@ -89,10 +90,7 @@ def guard(df: DataFrame, text_col: str, policy: dict, stage_col: str = "stage",
     """
     plan = effective(policy)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want // 2:
-        df = df.repartition(want)  # one small file would be one task
-    out = df.withColumn("__t0", text).withColumn("__p0", tx.plain(F.col("__t0"))).withColumn("__k0", tx.tokens(F.col("__p0")))
+    out = spread(df).withColumn("__t0", text).withColumn("__p0", tx.plain(F.col("__t0"))).withColumn("__k0", tx.tokens(F.col("__p0")))
     version, names, pending = 0, [], {}
     if metadata:  # parsed once for all detectors
         out = out.withColumn("__m", agentic.meta(F.col(metadata)))

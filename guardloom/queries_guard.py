@@ -10,7 +10,7 @@ from guardloom.operators import agentic
 from guardloom.plans import pipeline as pl
 from guardloom.queries import query
 from guardloom.samples import SAMPLES
-from guardloom.session import table
+from guardloom.session import spread, table
 
 
 def _documents(spark, sf_dir):
@@ -80,10 +80,10 @@ def _detector(name: str, settings: dict):
         d = _documents(spark, sf_dir)
         meta = _metadata()
         if name == "system_prompt_leakage":
-            d = d.join(_tenant_prompts(spark, sf_dir), "tenant_id", "left")
+            d = spread(d).join(_tenant_prompts(spark, sf_dir), "tenant_id", "left")
             known = agentic.shingle_digests(F.coalesce("__prompt", F.lit("")), settings["key"])
             meta = F.to_json(F.struct(known.alias("system_prompt_fingerprints")))
-        d = d.select("doc_id", "text", meta.alias("metadata")).unionByName(_sampled(spark, name)).withColumn("stage", F.lit("output"))
+        d = (d if name == "system_prompt_leakage" else spread(d)).select("doc_id", "text", meta.alias("metadata")).unionByName(_sampled(spark, name).coalesce(1)).withColumn("stage", F.lit("output"))
         policy = {name: {"enabled": True, "stages": list(pl.STAGES), **settings}}
         g = pl.guard(d, "text", policy, metadata="metadata")
         return g.select("doc_id", "verdict.decision", "verdict.risk", F.transform("verdict.hits", lambda h: h["rule_id"]).alias("rules")).select("doc_id", "decision", "risk", F.array_join("rules", ",").alias("rules"))
@@ -131,5 +131,5 @@ _COUNTS = "map_values(list_aggregate(regexp_extract_all(text, '(?s).'), 'histogr
 )
 def text_entropy(spark, sf_dir):
     """Entropy of every text, whatever its length."""
-    d = _documents(spark, sf_dir).filter("text is not null")
+    d = spread(_documents(spark, sf_dir)).filter("text is not null")
     return d.select("doc_id", F.round(tx.entropy(F.col("text")), 4).alias("entropy"))

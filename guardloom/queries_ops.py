@@ -13,7 +13,7 @@ from guardloom.operators.hits import rank, rank_sql
 from guardloom.plans import policy as po
 from guardloom.plans.round_trip import round_trip
 from guardloom.queries import query
-from guardloom.session import table
+from guardloom.session import spread, table
 
 
 # --- joins --------------------------------------------------------------------------
@@ -30,7 +30,7 @@ _GRAMS = "list_distinct(list_transform(generate_series(1, len(k) - 7), lambda i:
 )
 def join_fingerprints(spark, sf_dir):
     """Documents that share 8-word shingles with the policy notes (the protected texts), by shingle counts."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     protected = d.filter("source = 'policy_notes'").select(F.col("doc_id").alias("protected_id"), F.col("text").alias("protected_text"))
     return joins.fingerprint_overlap(d, "doc_id", "text", protected, "protected_id", "protected_text")
 
@@ -177,7 +177,7 @@ def stub_model_scores(spark, sf_dir):
 @query(sql_quality.scores())
 def quality_scores(spark, sf_dir):
     """Scores of every model output against the text that was sent in."""
-    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("q"), F.coalesce("final_output", F.lit("")).alias("a"))
+    t = spread(table(spark, sf_dir, "round_trip_traces").select("trace_no", "stages", "final_output")).select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("q"), F.coalesce("final_output", F.lit("")).alias("a"))
     q = F.coalesce("q", F.lit(""))
     return t.select(
         "trace_no", quality.groundedness(F.col("a"), F.array(q)).alias("groundedness"), quality.relevance(q, F.col("a")).alias("relevance"), quality.coherence(F.col("a")).alias("coherence"),
@@ -323,7 +323,7 @@ def schema_field_errors(spark, sf_dir):
 @query()
 def round_trips(spark, sf_dir):
     """Each trace's prompt and output under a small policy, guarded in order."""
-    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("prompt"), F.col("final_output").alias("answer"))
+    t = spread(table(spark, sf_dir, "round_trip_traces").select("trace_no", "stages", "final_output")).select("trace_no", nested.first_field("stages", nested.STAGES, "input_text").alias("prompt"), F.col("final_output").alias("answer"))
     policy = {n: {"enabled": True} for n in ("secrets", "exfiltration", "jailbreak", "toxicity", "pii")}
     x = round_trip(t, "prompt", "answer", policy)
     return x.select("trace_no", F.col("input_verdict.decision").alias("input_decision"), F.col("output_verdict.decision").alias("output_decision"), "final_decision", F.sha2(F.coalesce("final_output_shown", F.lit("")), 256).alias("shown_sha256"))

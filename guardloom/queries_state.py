@@ -10,7 +10,7 @@ from guardloom.operators.banks import risk_sql, scan, scan_sql
 from guardloom.functions import text as tx
 from guardloom.operators.hits import hit_risk
 from guardloom.queries import query
-from guardloom.session import table
+from guardloom.session import spread, table
 from guardloom.streaming import windows as sw
 
 
@@ -99,7 +99,7 @@ def ingest_bursts(spark, sf_dir):
 
 def _chunks(spark, sf_dir):
     """Model outputs as streams: a trace's output in lines."""
-    t = table(spark, sf_dir, "round_trip_traces").select("trace_no", F.posexplode(F.split("final_output", r"(?<=[.!?]) ")).alias("seq", "chunk"))
+    t = spread(table(spark, sf_dir, "round_trip_traces").select("trace_no", "final_output")).select("trace_no", F.posexplode(F.split("final_output", r"(?<=[.!?]) ")).alias("seq", "chunk"))
     return t
 
 

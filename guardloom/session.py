@@ -65,6 +65,15 @@ def forget() -> None:
             return
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work on texts enough partitions: a table in one small file would be one task.
+
+    Meant for what is read or built without a shuffle; a table of many files is left as it is.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes (files' size for plain scans)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

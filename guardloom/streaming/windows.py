@@ -45,6 +45,8 @@ def windows(chunks: DataFrame, key: str, seq: str, chunk: str, window: int = 200
     piece = F.substring("__c", (skip + 1).cast("int"), F.greatest(F.lit(0), room).cast("int"))
     parts = x.select(key, F.col("window_no").cast("int").alias("window_no"), (F.col("window_no") == F.col("__last")).alias("__end"), F.struct("__seq", piece.alias("p")).alias("__p"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["p"]), "")  # of one window: bounded by its size
+    # a number of its own: adaptive execution would put few bytes into one task, which then judges them all
+    parts = parts.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "window_no")
     y = parts.groupBy(key, "window_no").agg(text.alias("text"), F.max("__end").alias("__end")).filter("text <> ''")
     return y.select(key, "window_no", "text", F.when(F.col("__end"), F.col("text")).otherwise(F.substring("text", 1, advance)).alias("release"))
 
