@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_stream(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str], step: Callable, start: Callable, out: str, out_type: str, ttl_ms: int = 3_600_000) -> DataFrame:
+def fold_stream(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: Sequence[str], step: Callable, start: Callable, out: str, out_type: str, ttl_ms: int | None = None) -> DataFrame:
     """``operators.state.fold`` with the state kept between micro-batches.
 
-    The state of a key is dropped after ``ttl_ms`` of processing time without
-    events. Within a batch events are taken in ``order``; what arrives later
-    than that is folded on arrival.
+    Within a batch events are taken in ``order`` (a key's events of one batch are
+    held for that); what arrives later than that is folded on arrival. State is
+    kept for good, so the result is that of the table, unless ``ttl_ms`` is set:
+    then a key's state is dropped after so much processing time without events.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -34,10 +35,11 @@ def fold_stream(df: DataFrame, key: Sequence[str], order: Sequence[str], cols: S
             now, y = step(now, event)
             found.append(y)
         state.update((pickle.dumps(now),))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield whole.assign(**{out: found})
 
-    return rows.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def unique_stream(df: DataFrame, key_col, time_col: str, delay: str = "10 days") -> DataFrame:
