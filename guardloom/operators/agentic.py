@@ -280,6 +280,22 @@ def tools(t: Text, cfg: dict, m: Column) -> Column:
     if allowed is not None:
         checks.append((~name.isin(allowed), hit("tools.not_allowed", "high", F.concat(F.lit("Not an allowed tool "), name))))
     checks.append((F.exists(values, lambda v: F.length(v) > cfg.get("max_arg", 10_000)), hit("tools.argument_length", "high", "An argument is too long")))
+    for tool, schema in cfg.get("schemas", {}).items():
+        mine, known = name == tool, schema.get("properties", {})
+        keys = F.coalesce(F.map_keys(args), tx.words())
+        lacking = F.array_except(tx.words(*schema.get("required", [])), keys)
+        checks.append((mine & (F.size(lacking) > 0), hit("tools.argument_missing", "high", F.concat(F.lit("Missing argument "), F.get(lacking, F.lit(0))))))
+        if schema.get("additionalProperties") is False:
+            checks.append((mine & (F.size(F.array_except(keys, tx.words(*known))) > 0), hit("tools.argument_unknown", "high", "An argument that the tool does not have")))
+        for arg, rule in known.items():
+            v = args[arg]
+            form = {"integer": v.rlike(r"^-?\d+$"), "number": v.try_cast("double").isNotNull(), "boolean": v.isin("true", "false")}.get(rule.get("type"))
+            if form is not None:
+                checks.append((mine & v.isNotNull() & ~form, hit("tools.argument_type", "high", f"{arg} is no {rule['type']}")))
+            if "maxLength" in rule:
+                checks.append((mine & (F.length(v) > rule["maxLength"]), hit("tools.argument_length", "high", f"{arg} is too long")))
+            if "enum" in rule:
+                checks.append((mine & v.isNotNull() & ~v.isin(rule["enum"]), hit("tools.argument_value", "high", f"{arg} has another value")))
     if domains is not None:
         host = lambda v: F.lower(F.regexp_extract(v, r"(?i)^https?://([^/:?#]+)", 1))
         checks.append((F.exists(values, lambda v: (host(v) != "") & ~host(v).isin(domains)), hit("tools.domain", "high", "A host that is not allowed")))

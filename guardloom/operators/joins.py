@@ -64,6 +64,20 @@ def budget_of(calls: DataFrame, budgets: DataFrame, env: str, key: str) -> DataF
     return calls.join(small(best), [env, key], "left").select(*calls.columns, "__b.max_cost_usd", "__b.max_calls")
 
 
+def spent(calls: DataFrame, budgets: DataFrame, env: str, key: str, time: str, now: str, seconds: int) -> DataFrame:
+    """env, key, calls, cost_usd, max_calls, max_cost_usd, denied: what was spent in the ``seconds`` up to ``now``.
+
+    A call is denied once its most specific budget is reached. Sums are made
+    before budgets are looked up; a null cost counts as 0.
+    """
+    end = F.to_timestamp(F.lit(now))
+    recent = calls.filter((F.col(time) > end - F.make_interval(secs=F.lit(seconds))) & (F.col(time) <= end))
+    sums = recent.groupBy(env, key).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"))
+    got = budget_of(sums, budgets, env, key)
+    over = F.coalesce(F.col("calls") >= F.col("max_calls"), F.lit(False)) | F.coalesce(F.col("cost_usd") >= F.col("max_cost_usd"), F.lit(False))
+    return got.withColumn("denied", over)
+
+
 def artifact_diff(baseline: DataFrame, reported: DataFrame) -> DataFrame:
     """path, change: added, removed or changed by sha256; equal ones give no row."""
     a, b = baseline.select("path", F.col("sha256").alias("a")), reported.select("path", F.col("sha256").alias("b"))

@@ -34,6 +34,28 @@ def resolve(tree: dict, tenant: str = "", app: str = "", agent: str = "default",
     return out
 
 
+def shaped(tree: object, scope: str = "") -> dict:
+    """A flat policy from any shape it is written in.
+
+    A dotted ``scope`` picks a part first. Of a layered tree it is the default;
+    a ``detectors`` list of (name, enabled, config) becomes a map, enabled unless
+    said otherwise; a flat policy is itself. Anything else is an error.
+    """
+    at = tree
+    for part in filter(None, scope.split(".")):
+        if not isinstance(at, dict) or part not in at:
+            raise KeyError(f"no {part} in {scope}")
+        at = at[part]
+    if not isinstance(at, dict):
+        raise TypeError("a policy is a map")
+    if isinstance(at.get("default"), dict):
+        return at["default"]
+    listed = at.get("detectors")
+    if isinstance(listed, list):
+        return {d["name"]: {"enabled": d.get("enabled", True)} | (d.get("config") or {}) for d in listed if isinstance(d, dict) and d.get("name")}
+    return at
+
+
 def version(policy: dict) -> str:
     """First 16 hex digits of the sha256 of the sorted compact JSON."""
     return hashlib.sha256(json.dumps(policy, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,32 @@ def spool(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    """Append records as JSON lines; the commit protocol publishes whole tasks only."""
-    df.write.mode("append").json(path)
+def append_audit(df: DataFrame, path: str, fail_closed: bool = True) -> bool:
+    """Append records as JSON lines; the commit protocol publishes whole tasks only.
+
+    Whether they are stored: a failure is raised, so that nothing goes out
+    unrecorded, unless ``fail_closed`` is unset; then it is logged.
+    """
+    try:
+        df.write.mode("append").json(path)
+    except Exception:
+        if fail_closed:
+            raise
+        logging.getLogger(__name__).exception("records were not stored at %s", path)
+        return False
+    return True
+
+
+def append_judge_calls(df: DataFrame, path: str, price_in: float, price_out: float) -> bool:
+    """Append calls of a judge (tokens_in, tokens_out) with their cost; prices are per thousand tokens."""
+    cost = (F.coalesce("tokens_in", F.lit(0)) * price_in + F.coalesce("tokens_out", F.lit(0)) * price_out) / 1000
+    return append_audit(df.withColumn("cost_usd", cost), path)
+
+
+def append_reviews(df: DataFrame, path: str) -> bool:
+    """Append what a person is asked to decide (request_id, detector, text): one row per question, pending."""
+    asked = F.sha2(F.concat_ws("|", F.coalesce("request_id", F.lit("")), F.coalesce("detector", F.lit(""))), 256)
+    return append_audit(df.withColumn("review_id", F.substring(asked, 1, 32)).withColumn("status", F.lit("pending")), path)
 
 
 def telemetry_query(stream: DataFrame, path: str, checkpoint: str, seconds: int = 10):

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from guardloom.functions import claims
-from guardloom.operators import detectors, hooks, layering, metrics, models, state
+from guardloom import session
+from guardloom.operators import detectors, hooks, joins, layering, metrics, models, state
 from guardloom.operators.hits import hit, hits_of, result
 from guardloom.plans import pipeline as pl
-from guardloom.plans import plugins, requests
+from guardloom.plans import plugins, policy, requests
+from guardloom.sources import files
 from guardloom.streaming import stateful, windows
 
 
@@ -86,9 +88,9 @@ def test_contract_strategy_and_standalone(spark):
     assert models.strategy({"strategy": {"order": ["local_deterministic"]}}) is None and models.strategy({}) is None
     got = models.strategy({"strategy": {"order": ["local_deterministic", "local_ml"]}, "backends": {"local_ml": {"url": "u"}}}, {"backends": {"local_ml": {"auth_value": "k"}, "remote_llm": {"url": "v"}}})
     assert got["order"] == ["local_deterministic", "local_ml"] and got["backends"] == {"local_ml": {"url": "u", "auth_value": "k"}}
-    policy = {"vendor": {"enabled": True, "strategy": {"order": ["remote_api"]}}, "bare": {"enabled": True}}
+    own = {"vendor": {"enabled": True, "strategy": {"order": ["remote_api"]}}, "bare": {"enabled": True}}
     d = spark.createDataFrame([("x", "input", (0.91, None)), ("y", "tool", (0.91, None)), ("z", "input", (0.1, "WARN"))], "text string, stage string, vendor struct<score:double,decision:string>")
-    v = {r.text: r.verdict for r in pl.guard(d, "text", policy).collect()}
+    v = {r.text: r.verdict for r in pl.guard(d, "text", own).collect()}
     assert (v["x"].decision, v["x"].risk, v["y"].decision, v["z"].decision) == ("BLOCK", 91, "ALLOW", "WARN")
 
 
@@ -200,3 +202,83 @@ def test_average_precision_with_ties(spark):
     assert metrics.average_precision(d, "y", "s", "i", ["g"]).first().pr_auc == round(total / hits, 4)
     assert metrics.average_precision(d.filter("not y"), "y", "s", "i").first().pr_auc is None
     assert detectors.PII_TYPES
+
+
+def test_tool_schemas(spark):
+    schema = {"read": {"required": ["path"], "properties": {"path": {"type": "string", "maxLength": 10}, "n": {"type": "integer"}, "mode": {"enum": ["a", "b"]}}, "additionalProperties": False}}
+    rows = [(1, {"path": "x"}), (2, {"n": "3"}), (3, {"path": "x", "n": "three"}), (4, {"path": "x" * 11}), (5, {"path": "x", "q": "y"}), (6, {"path": "x", "mode": "c"}), (7, None)]
+    d = spark.createDataFrame([(i, "read", a, None) for i, a in rows] + [(8, "write", {}, None)], "id int, tool_name string, tool_args map<string,string>, tool_result string")
+    x = d.select("id", "tool_name", "tool_args", "tool_result")
+    got = {r.id: r.decision for r in requests.tool_calls(x, ["id"], {"tools": {"schemas": schema}}).collect()}
+    assert got == {1: "ALLOW", 2: "BLOCK", 3: "BLOCK", 4: "BLOCK", 5: "BLOCK", 6: "BLOCK", 7: "BLOCK", 8: "ALLOW"}
+
+
+def test_shapes_of_policies():
+    tree = {"default": {"pii": {"enabled": True}}, "tenants": {"t": {"detectors": [{"name": "bias", "config": {"action": "BLOCK"}}, {"name": "abuse", "enabled": False}, {}]}}}
+    assert policy.shaped(tree) == {"pii": {"enabled": True}}
+    assert policy.shaped(tree, "tenants.t") == {"bias": {"enabled": True, "action": "BLOCK"}, "abuse": {"enabled": False}}
+    assert policy.shaped({"pii": {}}) == {"pii": {}}
+    with pytest.raises(KeyError):
+        policy.shaped(tree, "tenants.u")
+    with pytest.raises(TypeError):
+        policy.shaped([1])
+
+
+def test_sinks(spark, tmp_path):
+    d = spark.createDataFrame([("r", "pii", 1_000, 500), (None, None, None, None)], "request_id string, detector string, tokens_in int, tokens_out int")
+    assert files.append_judge_calls(d, str(tmp_path / "judge"), 2.0, 4.0)
+    assert sorted(r.cost_usd for r in spark.read.json(str(tmp_path / "judge")).collect()) == [0.0, 4.0]
+    assert files.append_reviews(d, str(tmp_path / "review")) and files.append_reviews(d, str(tmp_path / "review"))
+    assert spark.read.json(str(tmp_path / "review")).select("review_id").distinct().count() == 2
+    (tmp_path / "file").write_text("x")
+    assert files.append_audit(d, str(tmp_path / "file" / "below"), fail_closed=False) is False
+    with pytest.raises(Exception):
+        files.append_audit(d, str(tmp_path / "file" / "below"))
+
+
+def test_spending_within_a_window(spark):
+    rows = [("prod", "pii", "2025-06-01 10:00:00", 5.0), ("prod", "pii", "2025-06-01 10:50:00", 1.0), ("prod", "pii", "2025-06-01 10:59:00", None), ("dev", "bias", "2025-06-01 10:58:00", 9.0)]
+    c = spark.createDataFrame(rows, "env string, detector string, at string, cost_usd double").withColumn("at", F.to_timestamp("at"))
+    b = spark.createDataFrame([("prod", "pii", 2.0, 2), ("*", "*", 9.0, 100)], "env string, detector_key string, max_cost_usd double, max_calls bigint")
+    got = {r.env: (r.calls, r.cost_usd, r.denied) for r in joins.spent(c, b, "env", "detector", "at", "2025-06-01 11:00:00", 1_800).collect()}
+    assert got == {"prod": (2, 1.0, True), "dev": (1, 9.0, True)}
+
+
+def test_shared_folder_is_no_folder_of_one_machine(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+        _jsc = spark.sparkContext._jsc
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+    class Session:
+        sparkContext = Context()
+
+    class Java:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return Unset()
+
+    monkeypatch.setattr(Context, "_jsc", Java())
+    monkeypatch.setattr(Context, "getConf", lambda self: {})
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
+def test_what_is_written_is_deleted(spark):
+    session.forget()
+    df = session.materialize(spark.range(5))
+    path = session._written[-1][1]
+    assert df.count() == 5
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(where)
+    session.forget()
+    assert not fs.exists(where) and not session._written
