@@ -300,3 +300,27 @@ def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = members.select("__id", "__m")
     pairs = two.select("ma", "mb").join(rows.select(F.col("__m").alias("ma"), F.col("__id").alias("x")), "ma").join(rows.select(F.col("__m").alias("mb"), F.col("__id").alias("y")), "mb")
     return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+
+
+# --- the same in SQL ----------------------------------------------------------------
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def form_sql(t: str) -> str:
+    """The consistent form of a text as DuckDB SQL; equal forms are equal looks. NUL, which SQL texts cannot hold, is left out."""
+    kept = t
+    for marks, letters in _MARKED.items():
+        kept = f"regexp_replace({kept}, '([{letters}])', '\\1{marks}', 'g')"
+    gone = _GONE.replace("\0", "")
+    out = f"translate({kept}, {_literal(_FROM + gone)}, {_literal(_TO)})"
+    out = f"regexp_replace({out}, '{_ASTRAL_INVISIBLE}', '', 'g')"
+    for lig, to in _LIGATURES.items():
+        out = f"replace({out}, {_literal(lig)}, {_literal(to)})"
+    word = "w"
+    for script, back in _BACK.items():
+        word = f"CASE WHEN regexp_matches(w, '\\p{{{script}}}') THEN translate(w, {_literal(''.join(back))}, {_literal(''.join(back.values()))}) ELSE {word} END"
+    words = f"regexp_extract_all(trim({out}, ' '), '(?s)\\p{{L}}[\\p{{L}}\\p{{M}}]*|[^\\p{{L}}]+')"
+    return f"nfc_normalize(array_to_string(list_transform({words}, lambda w: {word}), ''))"

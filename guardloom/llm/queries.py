@@ -29,12 +29,15 @@ def query(sql: str | None = None):
 # --- 1 look-alike texts -------------------------------------------------------------
 
 
-@query()
+_FORMS_SQL = f"SELECT rec_no, text, {lookalike.form_sql('text')} AS form FROM infer_requests"
+
+
+@query(f"WITH f AS ({_FORMS_SQL}) SELECT a.rec_no AS rec_no_a, b.rec_no AS rec_no_b FROM f AS a JOIN f AS b ON a.form = b.form AND a.rec_no < b.rec_no AND a.text <> b.text")
 def p1_found(spark, sf_dir):
     return lookalike.same_look_pairs(table(spark, sf_dir, "infer_requests"), "rec_no", "text")
 
 
-@query()
+@query(f"SELECT rec_no, form AS canonical FROM ({_FORMS_SQL})")
 def p1_canonical(spark, sf_dir):
     return lookalike.canonical_forms(table(spark, sf_dir, "infer_requests"), "rec_no", "text")
 
