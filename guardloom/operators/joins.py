@@ -19,19 +19,38 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= SMALL else df
 
 
+def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The smallest id of each text, the text, and ``copies``: how many rows have it. Null texts have none."""
+    x = df.filter(F.col(text_col).isNotNull()).groupBy(F.md5(text_col).alias("__d"), F.length(text_col).alias("__n"))
+    return x.agg(F.min(id_col).alias(id_col), F.first(text_col).alias(text_col), F.count(F.lit(1)).alias("copies")).drop("__d", "__n")
+
+
+def copies_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and class_id: the smallest id of the rows with the same text; the membership behind ``fingerprint_overlap``.
+
+    Ids and digests alone are moved; the join's other side has one row per text.
+    """
+    x = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.md5(text_col).alias("__d"), F.length(text_col).alias("__n"))
+    first = x.groupBy("__d", "__n").agg(F.min(id_col).alias("class_id"))
+    return x.join(first, ["__d", "__n"]).select(id_col, "class_id")
+
+
 def fingerprint_overlap(texts: DataFrame, id_col: str, text_col: str, protected: DataFrame, pid_col: str, ptext_col: str, n: int = 8, at_least: int = 2) -> DataFrame:
-    """id, protected id, shared: texts that share ``at_least`` word shingles with another, protected text.
+    """id, protected id, shared: texts that share ``at_least`` word shingles with a protected one.
 
-    Shingles meet in an equi-join on their digests; a text does not meet
-    itself (same id), copies under other ids do. Counts are added before the shuffle.
+    Both sides are represented by the smallest id of each text (``copies_of``
+    tells which rows a class has), so copies cost nothing. A text that occurs
+    once and is protected itself does not meet itself. Shingles meet in an
+    equi-join on their digests; counts are added before the shuffle.
     """
-    def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
+
+    def shingles(df: DataFrame, text: str, *keep: str) -> DataFrame:
         grams = F.array_distinct(tx.ngrams(tx.tokens(F.col(text)), n))
-        return df.select(F.col(key), F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("__h"))
+        return df.select(*keep, F.explode_outer(F.transform(grams, lambda g: F.xxhash64(g))).alias("__h")).filter("__h is not null")
 
-    mine = shingles(texts, id_col, text_col)
-    theirs = shingles(protected.select(F.col(pid_col), F.col(ptext_col)), pid_col, ptext_col)
-    hit = mine.join(theirs, "__h").filter(F.col(id_col) != F.col(pid_col)).groupBy(id_col, pid_col).agg(F.count(F.lit(1)).alias("shared"))
+    mine = shingles(distinct_texts(texts, id_col, text_col), text_col, id_col, "copies")
+    theirs = shingles(distinct_texts(protected, pid_col, ptext_col), ptext_col, pid_col)
+    hit = mine.join(theirs, "__h").filter((F.col(id_col) != F.col(pid_col)) | (F.col("copies") > 1)).groupBy(id_col, pid_col).agg(F.count(F.lit(1)).alias("shared"))
     return hit.filter(F.col("shared") >= at_least)
 
 

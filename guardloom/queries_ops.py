@@ -24,17 +24,24 @@ _GRAMS = "list_distinct(list_transform(generate_series(1, len(k) - 7), lambda i:
 
 @query(
     f"""
-    WITH g AS (SELECT doc_id, source, unnest({_GRAMS}) AS g FROM (SELECT doc_id, source, {tx.tokens_sql('text')} AS k FROM documents))
-    SELECT a.doc_id, b.doc_id AS protected_id, CAST(count(*) AS BIGINT) AS shared FROM g AS a JOIN g AS b ON a.g = b.g AND b.source = 'policy_notes' AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= 2
+    WITH t AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, min(CASE WHEN source = 'policy_notes' THEN doc_id END) AS protected_id, {tx.tokens_sql('text')} AS k FROM documents WHERE text IS NOT NULL GROUP BY text),
+    g AS (SELECT doc_id, copies, protected_id, unnest({_GRAMS}) AS g FROM t)
+    SELECT a.doc_id, b.protected_id, CAST(count(*) AS BIGINT) AS shared FROM g AS a JOIN g AS b ON a.g = b.g AND b.protected_id IS NOT NULL AND (a.doc_id <> b.protected_id OR a.copies > 1) GROUP BY ALL HAVING count(*) >= 2
     """
 )
 def join_fingerprints(spark, sf_dir):
-    """Documents that share 8-word shingles with the policy notes (the protected texts), by shingle counts."""
+    """Texts that share 8-word shingles with the policy notes (the protected texts), each side by its smallest id."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     protected = d.filter("source = 'policy_notes'").select(F.col("doc_id").alias("protected_id"), F.col("text").alias("protected_text"))
     return joins.fingerprint_overlap(d, "doc_id", "text", protected, "protected_id", "protected_text")
 
 
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE text IS NOT NULL")
+def join_fingerprint_classes(spark, sf_dir):
+    """Which text of ``join_fingerprints`` every document has."""
+    return joins.copies_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 _SCOPES = {
     "*:*:*:*": {"risk_limit": 60},
     "org-galnim:*:*:*": {"risk_limit": 40},
