@@ -133,13 +133,15 @@ class Model:
 
     def items(self, toks: list[str]) -> list[float]:
         """The scores along the text: tokens, and the seed pairs between them."""
-        one = self.one
-        out = [one.get(t, UNKNOWN) for t in toks]
-        two = self.two
-        found = [(i, two[p]) for i, p in enumerate(zip(toks, toks[1:]), 1) if p in two]
-        for i, s in reversed(found):
-            out.insert(i, s)
-        return out
+        one, two = self.one, self.two
+        own = [one.get(t, UNKNOWN) for t in toks]
+        out, at = [], 0
+        for i, p in enumerate(zip(toks, toks[1:]), 1):
+            if p in two:
+                out += own[at:i]
+                out.append(two[p])
+                at = i
+        return out + own[at:] if at else own
 
     def probability(self, score: float, n: int) -> float:
         """Of a best segment of such a score or more in a harmless text of n items."""

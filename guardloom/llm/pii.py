@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left as bisect
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -294,11 +295,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """
     t, at = fold(text)
     low = t.lower()
-    spans: list[tuple[int, int, str]] = []
+    spans: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b, _ in spans):
-            spans.append((start, end, kind))
+        i = bisect(spans, (start, end))
+        if (i == len(spans) or end <= spans[i][0]) and (i == 0 or start >= spans[i - 1][1]):
+            spans.insert(i, (start, end, kind))
 
     gates = _open_gates(low)
 
@@ -351,7 +353,6 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if not _GIVEN_SET.isdisjoint(t.split()):
         for m in _GIVEN_NAME.finditer(t):
             add(*m.span("n"), "person_name")
-    spans.sort()
     return spans if at is None else [(at[a], at[b - 1] + 1, k) for a, b, k in spans]
 
 

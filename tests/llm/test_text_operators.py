@@ -195,6 +195,22 @@ def test_all_segments_against_definition():
         assert [(a, b) for _, a, b in abuse.segments(x)] == slow(x)
 
 
+def test_long_texts_in_linear_time(scorer):
+    """Scores along a text, and personal data in it, cost in proportion to its length."""
+    tokens = abuse.Speller(scorer.vocabulary).tokens("you are a stupid idiot and you smell ")
+    assert scorer.items(tokens) == [x for i, t in enumerate(tokens) for x in ([scorer.two[tokens[i - 1], t]] if i and (tokens[i - 1], t) in scorer.two else []) + [scorer.one.get(t, abuse.UNKNOWN)]]
+
+    def took(f, x):
+        began = time.perf_counter()
+        f(x)
+        return time.perf_counter() - began
+
+    assert took(scorer.items, tokens * 40_000) < 60 * max(1e-3, took(scorer.items, tokens * 2_000))
+    line = "Write to ann@example.org or call +44 20 7946 0958 today. "
+    assert took(pii.find, line * 4_000) < 60 * max(1e-3, took(pii.find, line * 200))
+    assert len(pii.find(line * 50)) == 100
+
+
 def test_segments_in_linear_time():
     def took(n, x):
         best = 1e9
